@@ -15,8 +15,40 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from quiremill.llm.sitelines import found_lines
+
+    return found_lines(table(spark, d, "text_lines"), table(spark, d, "works"))
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Each work's lines without those of its site."""
+    from quiremill.llm.sitelines import without_site_lines
+
+    kept = without_site_lines(table(spark, d, "text_lines"), table(spark, d, "works"))
+    return kept.select("line_id", "work_id", "line_index", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_clean": p5_clean,
     "p8_found": p8_found,
 }
 
-SQL: dict[str, str] = {}
+#: Lines of works with their form and site.
+_FORMS = r"""
+  w as (select work_id, case when gutenberg_id is not null then 'gutenberg' else regexp_replace(lower(regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') end as site,
+        regexp_replace(lower(coalesce(work, '')), '[^\p{L}]+', '', 'g') as title
+        from works qualify row_number() over (partition by work_id order by ingested_at desc, work_row desc) = 1),
+  l as (select line_id, work_id, site, title, regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', '', 'g') as k from text_lines join w using (work_id) where site is not null and site <> ''),
+  p as (select *, case when title <> '' then instr(k, title) else 0 end as i from l),
+  f as (select line_id, work_id, site, i, case when i > 0 then left(k, i - 1) || '#' || substr(k, i + length(title)) else k end as form from p),
+  n as (select site, count(distinct work_id) as n from f group by site),
+  hit as (select site, form from f where length(form) - (i > 0)::int >= 20 group by site, form
+          having count(distinct work_id) >= 3 and count(distinct work_id) >= 0.1 * (select n from n where n.site = f.site))
+"""
+
+SQL: dict[str, str] = {
+    "p5_found": f"with {_FORMS} select line_id from f where length(form) - (i > 0)::int >= 20 and (site, form) in (select (site, form) from hit)",
+    "p5_clean": f"with {_FORMS} select line_id, work_id, line_index, text from text_lines where line_id not in (select line_id from f where length(form) - (i > 0)::int >= 20 and (site, form) in (select (site, form) from hit))",
+}
