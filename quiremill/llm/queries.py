@@ -5,10 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quiremill.session import table
 
 
+def _unified(spark: SparkSession, d: str) -> DataFrame:
+    from quiremill.llm.lookalikes import unify
+
+    parts = [unify(table(spark, d, t), key, text).withColumn("table_name", F.lit(t)) for t, key, text in (("text_lines", "line_id", "text"), ("annotations", "annotation_row", "anchor_text"))]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _unified(spark, d).select("table_name", "row_key")
+
+
+def p6_usual(spark: SparkSession, d: str) -> DataFrame:
+    """The changed rows in their usual form."""
+    return _unified(spark, d).select("table_name", "row_key", "usual")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from quiremill.llm.leaks import leaked_items
 
@@ -32,6 +49,8 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_clean": p5_clean,
+    "p6_found": p6_found,
+    "p6_usual": p6_usual,
     "p8_found": p8_found,
 }
 
@@ -48,7 +67,17 @@ _FORMS = r"""
           having count(distinct work_id) >= 3 and count(distinct work_id) >= 0.1 * (select n from n where n.site = f.site))
 """
 
+#: Characters that never are the usual ones, for RE2.
+_VARIANT = r"[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF65}-\x{FF9F}\x{FB00}-\x{FB06}\x{2E80}-\x{2FDF}\x{F900}-\x{FAFF}\x{1D400}-\x{1D7FF}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{2010}\x{2011}\x{FE63}\x{FF0D}\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
+_MIXED = r"\p{Latin}[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}]\p{Latin}"
+
+
+def _unusual(t: str, key: str, text: str) -> str:
+    return f"select '{t}' as table_name, {key} as row_key from {t} where regexp_matches({text}, '{_VARIANT}') or nfc_normalize({text}) <> {text} or regexp_matches({text}, '{_MIXED}')"
+
+
 SQL: dict[str, str] = {
+    "p6_found": f"{_unusual('text_lines', 'line_id', 'text')} union all {_unusual('annotations', 'annotation_row', 'anchor_text')}",
     "p5_found": f"with {_FORMS} select line_id from f where length(form) - (i > 0)::int >= 20 and (site, form) in (select (site, form) from hit)",
     "p5_clean": f"with {_FORMS} select line_id, work_id, line_index, text from text_lines where line_id not in (select line_id from f where length(form) - (i > 0)::int >= 20 and (site, form) in (select (site, form) from hit))",
 }
