@@ -124,7 +124,8 @@ def unify(rows: DataFrame, key: str, text: str) -> DataFrame:
     """
     kind = dict(rows.dtypes)[key]
     all_rows = rows.select(F.col(key).alias("row_key"), F.col(text).alias("text")).where("text is not null")
-    suspects = all_rows.where(F.col("text").rlike(for_java(SUSPECT)))
+    # Texts of ASCII alone are in their usual form; that is cheaper to see than by pattern.
+    suspects = all_rows.where((F.octet_length("text") > F.char_length("text")) & F.col("text").rlike(for_java(SUSPECT)))
     mixed = suspects.where(F.col("text").rlike(f"[{OTHER_SCRIPTS}]")).mapInPandas(_mixed, f"row_key {kind}, token string, word string, only boolean")
     vocabulary = all_rows.select("text").mapInArrow(_vocabulary, "word string").distinct().withColumn("in_corpus", F.lit(True))
     accepted = (

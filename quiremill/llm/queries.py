@@ -46,12 +46,24 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("line_id", "work_id", "line_index", "text")
 
 
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    from quiremill.llm.quality import document_statistics
+
+    return document_statistics(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_statistics(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p6_usual": p6_usual,
     "p8_found": p8_found,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
 }
 
 #: Lines of works with their form and site.
