@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -50,6 +51,29 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, starts
 
 
+#: Code points that are worked on at a time; a longer text is a piece of its own.
+PIECE = 1 << 20
+
+
+def pieces(texts: list[str], limit: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Slices of the texts of about `limit` code points and at most 16,384 texts."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size and (size + len(t) > limit or i - begin >= 1 << 14):
+            yield begin, i
+            begin, size = i, 0
+        size += len(t) + 1
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array `known`."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def classes(codes: np.ndarray) -> np.ndarray:
     return tables()[0][np.minimum(codes, SIZE - 1)]
 

@@ -60,35 +60,50 @@ PRIOR = {
     "longest": ((30, 2, 0.2, 0.1), (25, 3, 0.4, 0.1), (25, 2, 0.3, 0.1), (12, 4, 2, 4)),
     "variety": ((0.1, 1, 30), (0.1, 1, 20), (0.1, 1, 20), (4, 2, 14)),
 }
+#: Bits of a word's hash that count; the low ones make room for the number of a text in a piece.
+HIGH = np.uint64(0xFFFFFFFFFFFFC000)
 WEIGHT = 2.0  # lines that one unit of a prior weighs
 
 
 def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hash of each word and the number of documents of the batch that hold it; a null word counts the documents."""
+    """Hash of each word, without its low bits, and the number of documents of the batch that hold it."""
     for b in batches:
         texts = b["text"].tolist()
-        codes, starts = C.encode(texts)
-        low = C.lowered(codes)
-        s, e = C.word_bounds(C.classes(codes))
-        h = C.run_hashes(low, s, e)
-        doc = np.searchsorted(starts, s, "right")
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
-        first = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.empty(0, bool)
-        words, n = np.unique(h[first], return_counts=True)
-        yield pd.DataFrame({"word": pd.array([*words.view(np.int64), None], dtype="Int64"), "docs": [*n, len(texts)]})
+        found = []
+        for lo, hi in C.pieces(texts):
+            codes, starts = C.encode(texts[lo:hi])
+            s, e = C.word_bounds(C.classes(codes))
+            doc = np.searchsorted(starts, s, "right") - 1
+            found.append(_unique((C.run_hashes(C.lowered(codes), s, e) & HIGH) | doc.astype(np.uint64)) & HIGH)
+        words, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        yield pd.DataFrame({"word": words.view(np.int64), "docs": n})
+
+
+def _unique(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def common_words(documents: DataFrame, share: float = COMMON_SHARE) -> np.ndarray:
     """Hashes of the words in at least `share` of the documents, sorted; at most mean distinct words / share."""
     counts = documents.select("text").mapInPandas(word_counts, "word bigint, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs"))
     n = documents.count()
-    rows = counts.where((F.col("docs") >= max(1.0, share * n)) & F.col("word").isNotNull()).select("word").toPandas()
+    rows = counts.where(F.col("docs") >= max(1.0, share * n)).select("word").toPandas()
     return np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
 
 
-def line_statistics(texts: list[str], common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The binned statistics of each line that isn't blank, its text's number and its length."""
+def line_statistics(texts: list[str], common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The binned statistics of each line that isn't blank, its text's number and its length, and of
+    each text words, common words, letters in words, symbols and characters that aren't blank."""
+    parts = [_statistics(texts[a:b], common) for a, b in C.pieces(texts)]
+    if not parts:
+        return np.zeros((0, len(BINS)), np.int8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 5))
+    shift = [a for a, _ in C.pieces(texts)]
+    x, doc, length, of_text = zip(*parts)
+    return np.concatenate(x), np.concatenate([d + k for d, k in zip(doc, shift)]), np.concatenate(length), np.concatenate(of_text)
+
+
+def _statistics(texts: list[str], common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     codes, starts = C.encode(texts)
     kind = C.classes(codes)
     ends = np.flatnonzero(kind == C.NEWLINE)
@@ -103,13 +118,15 @@ def line_statistics(texts: list[str], common: np.ndarray) -> tuple[np.ndarray, n
 
     s, e = C.word_bounds(kind)
     hashes = C.run_hashes(low, s, e)
-    known = np.isin(hashes, common)
+    known = C.within(hashes & HIGH, common)
     of = line[s]
     words = np.bincount(of, minlength=n)
     shared = np.bincount(of, weights=known, minlength=n)
     letters = np.bincount(of, weights=e - s, minlength=n)
     longest = np.zeros(n, np.int64)
-    np.maximum.at(longest, of, e - s)
+    if len(of):
+        head_word = np.flatnonzero(np.diff(of, prepend=-1))
+        longest[of[head_word]] = np.maximum.reduceat(e - s, head_word)
 
     gap = np.zeros(n, np.int64)  # runs of three or more spaces inside a line
     is_space = kind == C.SPACE
@@ -120,7 +137,7 @@ def line_statistics(texts: list[str], common: np.ndarray) -> tuple[np.ndarray, n
     cells = counts[:, C.TAB] + counts[:, C.PIPE] + counts[:, C.SEMICOLON] + gap
 
     # The first and last characters that aren't blank.
-    real = np.flatnonzero(~np.isin(kind, (C.SPACE, C.TAB, C.NEWLINE)))
+    real = np.flatnonzero(kind > C.NEWLINE)
     head, tail = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if len(real):
         rl = line[real]
@@ -157,10 +174,9 @@ def line_statistics(texts: list[str], common: np.ndarray) -> tuple[np.ndarray, n
     again[order] = np.bincount(group)[group] if n else 0
 
     # Share of different words in lines of ten words or more.
-    order = np.lexsort((hashes, of))
-    k, d = hashes[order], of[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.empty(0, bool)
-    variety = np.where(words >= 10, np.bincount(d[new], minlength=n) / np.maximum(words, 1), 1.0)
+    with np.errstate(over="ignore"):
+        _, at = np.unique(hashes + of.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), return_index=True)
+    variety = np.where(words >= 10, np.bincount(of[at], minlength=n) / np.maximum(words, 1), 1.0)
 
     raw = {
         "length": ends - begins, "common": np.where(words > 0, shared / np.maximum(words, 1), 0.0), "symbols": counts[:, C.SYMBOL] / solid, "digits": counts[:, C.DIGIT] / solid,
@@ -168,7 +184,9 @@ def line_statistics(texts: list[str], common: np.ndarray) -> tuple[np.ndarray, n
     }
     binned = np.stack([np.searchsorted(np.array(BINS[k], float), raw[k].astype(float), "left") for k in BINS], axis=1) if n else np.zeros((0, len(BINS)), np.int64)
     keep = ~blank
-    return binned[keep].astype(np.int8), doc[keep], (ends - begins)[keep]
+    by_text = lambda v: np.bincount(doc, weights=v, minlength=len(texts))
+    of_text = np.stack([by_text(v) for v in (words, shared, letters, counts[:, C.SYMBOL], (ends - begins) - counts[:, C.SPACE] - counts[:, C.TAB])], axis=1)
+    return binned[keep].astype(np.int8), doc[keep], (ends - begins)[keep], of_text
 
 
 # What the code page 1252 has in place of the control characters.
@@ -240,7 +258,7 @@ def fit_model(documents: DataFrame, labels: DataFrame, common: np.ndarray, sampl
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, doc, _ = line_statistics(b["text"].tolist(), common)
+            x, doc, _, _ = line_statistics(b["text"].tolist(), common)
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[doc], "label": b["label"].to_numpy()[doc], "x": [r.tobytes() for r in x]})
 
     kind = dict(documents.dtypes)["doc_id"]
@@ -280,25 +298,17 @@ def document_statistics(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def describe(b: pd.DataFrame, common: np.ndarray, model: LineModel) -> pd.DataFrame:
     texts = b["text"].tolist()
     n = len(texts)
-    x, doc, length = line_statistics(texts, common)
+    x, doc, length, of_text = line_statistics(texts, common)
     p, _ = model.posterior(x, doc)
     weight = np.minimum(length, 200) ** 0.5
     total = np.bincount(doc, weights=weight, minlength=n)
     share = np.stack([np.bincount(doc, weights=weight * p[:, s], minlength=n) / np.maximum(total, 1e-9) for s in range(4)], axis=1)
-    codes, starts = C.encode(texts)
-    kinds = C.classes(codes)
-    s, e = C.word_bounds(kinds)
-    of = np.searchsorted(starts, s, "right") - 1
-    words = np.bincount(of, minlength=n)
-    known = np.bincount(of, weights=np.isin(C.run_hashes(C.lowered(codes), s, e), common), minlength=n)
-    text_of = np.repeat(np.arange(n), np.diff(starts))
-    symbols = np.bincount(text_of[kinds == C.SYMBOL], minlength=n)
-    solid = np.bincount(text_of[~np.isin(kinds, (C.SPACE, C.TAB, C.NEWLINE))], minlength=n)
+    words, known, letters, symbols, solid = of_text.T
     lines = np.bincount(doc, minlength=n)
     ended = np.bincount(doc, weights=x[:, list(BINS).index("ending")] == 0, minlength=n)
     best = np.where(share[:, PROSE] >= 0.5, PROSE, 1 + share[:, 1:].argmax(axis=1))
     return pd.DataFrame({
-        "doc_id": b["doc_id"], "lines": lines, "words": words, "mean_word_length": np.bincount(of, weights=e - s, minlength=n) / np.maximum(words, 1), "symbol_ratio": symbols / np.maximum(solid, 1),
+        "doc_id": b["doc_id"], "lines": lines, "words": words.astype(np.int64), "mean_word_length": letters / np.maximum(words, 1), "symbol_ratio": symbols / np.maximum(solid, 1),
         "ended_lines": ended / np.maximum(lines, 1), "common_words": known / np.maximum(words, 1), **{k: share[:, i] for i, k in enumerate(STATES)},
         "kind": [STATES[k] if m else None for k, m in zip(best, lines)],
     })
