@@ -26,6 +26,19 @@ def p6_usual(spark: SparkSession, d: str) -> DataFrame:
     return _unified(spark, d).select("table_name", "row_key", "usual")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from quiremill.llm.language import mislabelled
+
+    return mislabelled(table(spark, d, "documents"), table(spark, d, "works"), table(spark, d, "inline_samples"))
+
+
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every work, sample and line with its language and confidence."""
+    from quiremill.llm.language import languages
+
+    return languages(table(spark, d, "documents"), table(spark, d, "works"), table(spark, d, "inline_samples"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from quiremill.llm.leaks import leaked_items
 
@@ -61,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p6_usual": p6_usual,
+    "p7_found": p7_found,
+    "p7_languages": p7_languages,
     "p8_found": p8_found,
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
