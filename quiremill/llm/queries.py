@@ -45,6 +45,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from quiremill.llm.cutoff import judged
+
+    return judged(table(spark, d, "segments")).where("cut").select("seg_row", "field_name")
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each model's values are cut off, and at what limit."""
+    from quiremill.llm.cutoff import cut_rates
+
+    return cut_rates(table(spark, d, "segments"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from quiremill.llm.sitelines import found_lines
 
@@ -70,6 +83,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p5_found": p5_found,
     "p5_clean": p5_clean,
     "p6_found": p6_found,
