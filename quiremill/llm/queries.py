@@ -82,6 +82,23 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
 
 
+#: Where the tokenizers' files lie, and the one that documents are measured with.
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    from quiremill.llm.mixing import mixture
+
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture really reaches."""
+    from quiremill.llm.mixing import reached
+
+    return reached(p9_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_rates": p4_rates,
@@ -92,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_languages": p7_languages,
     "p8_found": p8_found,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
 }
