@@ -45,6 +45,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from quiremill.llm.names import linked_names
+
+    works = table(spark, d, "works")
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("name")) for f in ("translator", "work")))).alias("v")
+    return linked_names(works.select(each).select("v.*"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from quiremill.llm.cutoff import judged
 
@@ -100,6 +108,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
     "p5_found": p5_found,
