@@ -45,6 +45,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from quiremill.llm.bitext import aligned
+
+    return aligned(table(spark, d, "segments"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from quiremill.llm.names import linked_names
 
@@ -108,6 +114,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
