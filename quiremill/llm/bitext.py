@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from quiremill.llm.cutoff import judged
 from quiremill.session import cut
 
-#: Log-likelihood ratio, and rise of the word's chance, from which a pair of units is an entry.
-RATIO, RISE = 15.0, 0.25
+#: Log-likelihood ratio, and rise of the word's chance by the unit and of the unit's by the word, from which a pair is an entry.
+RATIO, RISE, BACK = 15.0, 0.25, 0.06
 #: Entries of the lexicon that are kept, those of the highest ratio: a vocabulary's worth, not a corpus's.
 ENTRIES = 400_000
 #: Share of either sentence that the other must cover for a pair to count, and the cost of leaving both alone.
-COVER, NULL = 0.62, 0.52
+COVER, NULL = 0.55, 0.42
 #: Share of a span's weight that a further sentence must newly cover, and share of its own that must be covered.
-GAIN, OWN = 0.1, 0.7
+GAIN, OWN = 0.08, 0.58
 #: Weight of names and numbers, as of a unit in one of e^NAME sentences.
 NAME = 5.0
 
@@ -119,7 +119,8 @@ class Lexicon:
             base = a / self.total
             rise = (n / b - base) / np.maximum(1 - base, 1e-9)
             ratio = log_likelihood(n, a, b, self.total)
-            good = np.flatnonzero((ratio >= RATIO) & (rise >= RISE))
+            back = (n / a - b / self.total) / np.maximum(1 - b / self.total, 1e-9)
+            good = np.flatnonzero((ratio >= RATIO) & (rise >= RISE) & (back >= BACK))
             good = good[np.argsort(-ratio[good], kind="stable")][:ENTRIES]
             for e, v, r in zip(pairs["e"].to_numpy()[good], pairs["v"].to_numpy()[good], rise[good]):
                 self.entries[v].append((e, float(r)))
