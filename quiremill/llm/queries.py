@@ -45,6 +45,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from quiremill.llm.scans import defects
+
+    return defects(table(spark, d, "text_lines"), table(spark, d, "line_labels"), table(spark, d, "works"))
+
+
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Each work in whole paragraphs."""
+    from quiremill.llm.scans import paragraphs
+
+    return paragraphs(table(spark, d, "text_lines"), table(spark, d, "line_labels"), table(spark, d, "works"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from quiremill.llm.bitext import aligned
 
@@ -114,6 +127,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_paragraphs": p1_paragraphs,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
