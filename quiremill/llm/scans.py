@@ -42,7 +42,7 @@ OVERLAP = 0.24
 
 # Letters that scanners take for others or for signs.
 CONFUSIONS = (
-    ("m", "rn"), ("m", "in"), ("m", "nn"), ("d", "cl"), ("h", "li"), ("h", "b"), ("w", "vv"), ("u", "ii"), ("n", "ri"), ("n", "u"), ("n", "h"), ("e", "c"), ("e", "o"), ("a", "o"), ("a", "e"), ("c", "e"), ("o", "0"), ("o", "e"), ("l", "1"), ("l", "|"), ("l", "i"), ("l", "!"),
+    ("m", "rn"), ("m", "in"), ("m", "nn"), ("d", "cl"), ("đ", "cl"), ("ư", "ir"), ("h", "li"), ("h", "b"), ("w", "vv"), ("u", "ii"), ("n", "ri"), ("n", "u"), ("n", "h"), ("e", "c"), ("e", "o"), ("a", "o"), ("a", "e"), ("c", "e"), ("o", "0"), ("o", "e"), ("l", "1"), ("l", "|"), ("l", "i"), ("l", "!"),
     ("i", "l"), ("i", "1"), ("i", "!"), ("i", "j"), ("t", "f"), ("t", "l"), ("t", "r"), ("f", "t"), ("s", "5"), ("s", "f"), ("b", "6"), ("b", "h"), ("g", "9"), ("g", "q"), ("q", "g"), ("r", "v"), ("v", "r"), ("u", "n"), ("u", "v"), ("v", "y"), ("y", "v"), ("z", "2"), ("k", "lc"), ("p", "n"), ("H", "N"), ("B", "8"), ("S", "5"), ("O", "0"), ("I", "l"), ("E", "F"), ("T", "F"), ("A", "4"),
 )
 #: What stands at the end of a line in place of a hyphen.
@@ -114,7 +114,8 @@ def pairs(nonfurniture: DataFrame) -> DataFrame:
     return x.withColumns({
         "p_next": F.when(F.col("n_body"), 1).otherwise(0),
         "p_indent": F.when(F.col("n_body"), _bin(F.col("n_indent"), 0, 2, 3, 4)).otherwise(0),
-        "p_blank": F.coalesce(F.col("n_blank").cast("int"), F.lit(1)),
+        # Blank lines around furniture that was taken out say nothing about the paragraph.
+        "p_blank": F.when(F.col("n_index") > F.col("line_index") + 1, 0).otherwise(F.coalesce(F.col("n_blank").cast("int"), F.lit(1))),
         "p_scanned": F.col("scanned").cast("int"),
         "p_stop": F.col("text").rlike(r"[.!?\x{2026}\x{3002}]['\"\x{201D}\x{2019}\x{BB}\x{300D}]?$").cast("int"),
         "p_lower": F.coalesce(F.col("n_word").rlike(r"^\p{Ll}").cast("int"), F.lit(0)),
