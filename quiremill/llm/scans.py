@@ -64,42 +64,55 @@ def _bin(c: Column, *bounds: float) -> Column:
 
 
 SHAPE = ["f_caps", "f_level", "f_role", "f_indent", "f_blank", "f_digits", "f_length", "f_spaced", "f_stop"]
+BLANK, CAPS, NUMBER, DIGITS, SPACED, STOP, LOWER, BROKEN, LETTER, HYPHEN, ENDED = (1 << k for k in range(11))
+
+
+def narrow(lines: DataFrame) -> DataFrame:
+    """What the next steps need of each line, taken where it is read, so that texts are never shuffled:
+    line_id, wk (hash of the work), line_index, indent, size, bits, and where it matters the letters, the first and the last word."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    last, first = F.right(t, F.lit(1)), F.left(t, F.lit(1))
+    few_lower = (F.length(t) <= 120) & t.rlike(r"^[^\p{Ll}]*(?:\p{Ll}[^\p{Ll}]*){0,3}$") & t.rlike(r"(?:\p{Lu}[^\p{Lu}]*){4}")
+    number = (F.length(t) <= 16) & t.rlike(r"[0-9ivxlcdmIVXLCDM]") & t.rlike(_NUMBER)
+    x = lines.select("line_id", F.xxhash64("work_id").alias("wk"), "line_index", F.coalesce("indent", F.lit(0)).alias("indent"), F.length(t).alias("size"), F.coalesce("blank_before", F.lit(False)).alias("blank"), few_lower.alias("caps"), number.alias("number"), t.alias("t"), last.alias("last"), first.alias("first"))
+    break_mark = F.col("last").isin("-", "\u00AC", "~", "=", "\u00AD", "\u2010", "\u2011")
+    bit = lambda c, b: F.when(c, b).otherwise(0)
+    bits = (
+        bit(F.col("blank"), BLANK) + bit(F.col("caps"), CAPS) + bit(F.col("number"), NUMBER) + bit(F.col("caps") & F.col("t").rlike(r"^[\[(]?[0-9lIO]+|[0-9lIO]+[\])]?$"), DIGITS) + bit(F.col("caps") & F.col("t").rlike(r"^(?:\S ){4}"), SPACED)
+        + bit(F.col("last").isin(".", "!", "?", ",", ";"), STOP) + bit((F.lower("first") == F.col("first")) & (F.upper("first") != F.col("first")), LOWER) + bit(break_mark, BROKEN) + bit(F.lower("first") != F.upper("first"), LETTER) + bit(F.col("last").isin("-", "\u2010", "\u2011"), HYPHEN)
+        + bit(F.regexp_replace(F.right("t", F.lit(2)), "['\"\u201D\u2019\u00BB\u300D]$", "").rlike(r"[.!?\x{2026}\x{3002}]$"), ENDED)
+    )
+    return x.select("line_id", "wk", "line_index", "indent", "size", bits.alias("bits"), F.when((F.length("t") <= 120) & (F.col("caps") | F.col("blank") | (F.col("indent") > 0)), letters(F.col("t"))).alias("key"), F.substring_index("t", " ", 1).alias("n_word"), F.when(break_mark, F.substring_index("t", " ", -1)).alias("tail"))
 
 
-def lines_with_shape(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataFrame:
-    """Lines with the features of their shape, their likeness to titles, and whether the work is scanned."""
-    title = works.where("work_id is not null").groupBy("work_id").agg(letters(F.max_by(F.coalesce("work", F.lit("")), F.struct("ingested_at", "work_row"))).alias("title"))
-    label = labels.groupBy("line_id").agg(F.max(F.struct("role", "level", "join_next")).alias("l")).select("line_id", "l.*")
-    x = (
-        lines.select("line_id", "work_id", "line_index", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("blank_before", F.lit(False)).alias("blank"), F.coalesce("indent", F.lit(0)).alias("indent"))
-        .join(label, "line_id", "left")
-        .withColumns({"role": F.coalesce("role", F.lit("prose")), "level": F.coalesce("level", F.lit(0))})
-        .join(title, "work_id", "left")
-    )
-    by = Window.partitionBy("work_id")
-    short = F.length("text") <= 120
-    upper = F.length(F.regexp_replace("text", r"[^\p{Lu}]+", ""))
-    x = x.withColumn("key", F.when(short & ((F.col("role") != "prose") | (F.upper("text") == F.col("text")) | (F.col("indent") > 0)), letters(F.col("text"))).otherwise(""))
-    x = x.withColumn("caps", (F.length("key") >= 4) & (upper * 10 >= F.length("key") * 7))
+def has(bit: int) -> Column:
+    return F.col("bits").bitwiseAND(bit) > 0
+
+
+def lines_with_shape(lines: DataFrame, labels: DataFrame, works: DataFrame, site: DataFrame) -> DataFrame:
+    """Narrow lines with their labels, the features of their shape, their likeness to titles, and whether the work is scanned."""
+    title = works.where("work_id is not null").groupBy(F.xxhash64("work_id").alias("wk")).agg(letters(F.max_by(F.coalesce("work", F.lit("")), F.struct("ingested_at", "work_row"))).alias("title"))
+    label = labels.groupBy("line_id").agg(F.max(F.struct("role", "level", "join_next")).alias("l")).select("line_id", F.coalesce("l.role", F.lit("prose")).alias("role"), F.coalesce("l.level", F.lit(0)).alias("level"), F.col("l.join_next").alias("join_next"))
+    x = narrow(lines).join(label, "line_id", "left").withColumns({"role": F.coalesce("role", F.lit("prose")), "level": F.coalesce("level", F.lit(0))})
+    x = x.join(site.withColumn("site_line", F.lit(True)), "line_id", "left").withColumn("site_line", F.coalesce("site_line", F.lit(False)))
+    x = x.withColumn("key", F.when(has(CAPS) | (F.col("role") == "heading"), F.col("key"))).join(title, "wk", "left")
+    by = Window.partitionBy("wk")
     # A work is scanned when its paragraphs are indented.
-    x = x.withColumn("scanned", F.max(((F.col("role") == "prose") & F.col("indent").between(2, 4) & ~F.col("caps") & (F.length("text") > 30)).cast("int")).over(by) == 1)
-    x = x.withColumn("is_number", F.col("scanned") & (F.length("text") <= 16) & (F.col("blank") | (F.col("indent") > 0)) & (F.col("level") == 0) & F.col("text").rlike(r"[0-9ivxlcdmIVXLCDM]") & F.col("text").rlike(_NUMBER))
+    x = x.withColumn("scanned", F.max(((F.col("role") == "prose") & F.col("indent").between(2, 4) & ~has(CAPS) & (F.col("size") > 30)).cast("int")).over(by) == 1)
+    x = x.withColumn("is_number", F.col("scanned") & has(NUMBER) & (has(BLANK) | (F.col("indent") > 0)) & (F.col("level") == 0))
     real = (F.col("role") == "heading") & (F.col("level") >= 1)
     head = F.last(F.when(real & (F.col("level") >= 2), F.col("key")), ignorenulls=True).over(by.orderBy("line_index", "line_id").rowsBetween(Window.unboundedPreceding, -1))
     x = x.withColumn("head", head)
-    near = lambda other: F.when(F.col("caps") & (F.length(other) >= 4), F.levenshtein("key", other) <= F.greatest(F.length("key"), F.length(other)) * 0.2).otherwise(False)
-    x = x.withColumn("repeats", near(F.col("title")) | near(F.col("head")))
+    near = lambda other: F.when(has(CAPS) & F.col("key").isNotNull() & (F.length(other) >= 4), F.levenshtein("key", other) <= F.greatest(F.length("key"), F.length(other)) * 0.2).otherwise(False)
+    x = x.withColumn("repeats", F.coalesce(near(F.col("title")) | near(F.col("head")), F.lit(False)))
+    return x.drop("title", "head", "key")
+
+
+def _shape_columns(x: DataFrame) -> DataFrame:
     return x.withColumns({
-        "f_caps": F.col("caps").cast("int"),
-        "f_level": F.least("level", F.lit(3)),
-        "f_role": F.when(F.col("role") == "heading", 1).when(F.col("role") == "verse_line", 2).otherwise(0),
-        "f_indent": _bin(F.col("indent"), 0, 2, 3, 4, 8),
-        "f_blank": F.col("blank").cast("int"),
-        "f_digits": F.when(F.col("caps"), F.col("text").rlike(r"^[\[(]?[0-9lIO]+|[0-9lIO]+[\])]?$").cast("int")).otherwise(0),
-        "f_length": _bin(F.length("text"), 15, 30, 50, 75),
-        "f_spaced": F.when(F.col("caps"), F.col("text").rlike(r"^(?:\S ){4}").cast("int")).otherwise(0),
-        "f_stop": F.col("text").rlike(r"[.!?,;]$").cast("int"),
-    }).drop("title", "head")
+        "f_caps": has(CAPS).cast("int"), "f_level": F.least("level", F.lit(3)), "f_role": F.when(F.col("role") == "heading", 1).when(F.col("role") == "verse_line", 2).otherwise(0), "f_indent": _bin(F.col("indent"), 0, 2, 3, 4, 8),
+        "f_blank": has(BLANK).cast("int"), "f_digits": has(DIGITS).cast("int"), "f_length": _bin(F.col("size"), 15, 30, 50, 75), "f_spaced": has(SPACED).cast("int"), "f_stop": has(STOP).cast("int"),
+    })
 
 
 PAIR = ["p_next", "p_indent", "p_blank", "p_scanned", "p_stop", "p_lower", "p_full", "p_broken"]
@@ -107,21 +120,26 @@ PAIR = ["p_next", "p_indent", "p_blank", "p_scanned", "p_stop", "p_lower", "p_fu
 
 def pairs(nonfurniture: DataFrame) -> DataFrame:
     """Lines without furniture, each with the features of it and the line after it."""
-    w = Window.partitionBy("work_id").orderBy("line_index", "line_id")
+    return pairs_of(nonfurniture, Window.partitionBy("wk").orderBy("line_index", "line_id"))
+
+
+def pairs_of(nonfurniture: DataFrame, w) -> DataFrame:
     nxt = lambda c: F.lead(c).over(w)
-    widest = F.max(F.when(F.col("body"), F.length("text"))).over(Window.partitionBy("work_id"))
-    x = nonfurniture.withColumns({"n_body": nxt("body"), "n_indent": nxt("indent"), "n_blank": nxt("blank"), "n_index": nxt("line_index"), "n_word": F.regexp_extract(nxt("text"), r"^(\S*)", 1), "n_text": nxt("text"), "widest": widest})
+    widest = F.max(F.when(F.col("body"), F.col("size"))).over(Window.partitionBy("wk"))
+    x = nonfurniture.withColumns({"n_body": nxt("body"), "n_indent": nxt("indent"), "n_bits": nxt("bits"), "n_index": nxt("line_index"), "after": nxt("n_word"), "widest": widest})
+    n_has = lambda b: F.coalesce(F.col("n_bits").bitwiseAND(b) > 0, F.lit(False))
     return x.withColumns({
         "p_next": F.when(F.col("n_body"), 1).otherwise(0),
         "p_indent": F.when(F.col("n_body"), _bin(F.col("n_indent"), 0, 2, 3, 4)).otherwise(0),
         # Blank lines around furniture that was taken out say nothing about the paragraph.
-        "p_blank": F.when(F.col("n_index") > F.col("line_index") + 1, 0).otherwise(F.coalesce(F.col("n_blank").cast("int"), F.lit(1))),
+        "p_blank": F.when(F.col("n_index") > F.col("line_index") + 1, 0).when(F.col("n_bits").isNull(), 1).otherwise(n_has(BLANK).cast("int")),
         "p_scanned": F.col("scanned").cast("int"),
-        "p_stop": F.col("text").rlike(r"[.!?\x{2026}\x{3002}]['\"\x{201D}\x{2019}\x{BB}\x{300D}]?$").cast("int"),
-        "p_lower": F.coalesce(F.col("n_word").rlike(r"^\p{Ll}").cast("int"), F.lit(0)),
-        "p_full": _bin(F.length("text") / F.greatest("widest", F.lit(1)), 0.3, 0.5, 0.7, 0.85),
-        "p_broken": F.col("text").rlike(BREAK).cast("int"),
-    }).drop("widest", "n_blank", "n_indent")
+        "p_stop": has(ENDED).cast("int"),
+        "p_lower": n_has(LOWER).cast("int"),
+        "p_full": _bin(F.col("size") / F.greatest("widest", F.lit(1)), 0.3, 0.5, 0.7, 0.85),
+        "p_broken": has(BROKEN).cast("int"),
+        "n_letter": n_has(LETTER),
+    }).drop("widest", "n_bits", "n_indent")
 
 
 def _sampled(works: DataFrame) -> DataFrame:
@@ -138,10 +156,9 @@ def _ints(df: DataFrame, names: list[str], label: str) -> tuple[np.ndarray, np.n
 
 def fit_lines(lines: DataFrame, labels: DataFrame, works: DataFrame, site: DataFrame) -> tuple[Boost, Boost]:
     """The classifiers of running heads and of pairs of lines."""
-    some = _sampled(works)
-    x = lines_with_shape(lines.join(F.broadcast(some), "work_id", "left_semi"), labels, works.join(F.broadcast(some), "work_id", "left_semi")).join(site.withColumn("site_line", F.lit(True)), "line_id", "left")
-    x = cut_table(x.withColumn("site_line", F.coalesce("site_line", F.lit(False))))
-    taught = x.where("scanned and not site_line and not is_number and (caps or level >= 1 or indent > 0 or line_id % 7 = 0)").withColumn("y", F.col("repeats") & (F.col("level") == 0))
+    some = F.broadcast(_sampled(works))
+    x = cut_table(_shape_columns(lines_with_shape(lines.join(some, "work_id", "left_semi"), labels, works.join(some, "work_id", "left_semi"), site).where("wk is not null")))
+    taught = x.where(F.col("scanned") & ~F.col("site_line") & ~F.col("is_number") & (has(CAPS) | (F.col("level") >= 1) | (F.col("indent") > 0) | (F.pmod(F.xxhash64("line_id"), F.lit(7)) == 0))).withColumn("y", F.col("repeats") & (F.col("level") == 0))
     heads = Boost(SHAPE, rounds=16).fit(*_ints(taught, SHAPE, "y"))
     p = pairs(_told(x, heads).where("not furniture"))
     known = p.where((F.col("n_index") == F.col("line_index") + 1) & F.col("body") & F.col("join_next").isNotNull())
@@ -152,33 +169,30 @@ def fit_lines(lines: DataFrame, labels: DataFrame, works: DataFrame, site: DataF
 def _told(x: DataFrame, heads: Boost) -> DataFrame:
     """Which lines are running heads, furniture at all, and body text."""
     shape = F.expr(f"({heads.sql()}) > 0")
-    head = F.col("scanned") & ~F.col("site_line") & F.col("caps") & (F.col("level") == 0) & (F.col("role") != "verse_line") & (F.col("repeats") | shape)
+    head = F.col("scanned") & ~F.col("site_line") & has(CAPS) & (F.col("level") == 0) & (F.col("role") != "verse_line") & (F.col("repeats") | shape)
     x = x.withColumn("running_head", head & ~F.col("is_number")).withColumn("furniture", F.col("running_head") | F.col("is_number"))
     return x.withColumn("body", (F.col("role") == "prose") & ~F.col("furniture") & ~F.col("site_line"))
 
 
-def judged_lines(lines: DataFrame, labels: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Furniture, and the other lines with body, goes_on (the paragraph does), join_next, broken, and the words at the line's ends."""
-    site = found_lines(lines, works)
-    site = cut_table(site)
+def judged_lines(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataFrame:
+    """line_id, wk, line_index, scanned, running_head, is_number, body, join_next, goes_on (the paragraph
+    does), broken, continues, hyphen, and the words at the line's end (tail) and after it (after).
+
+    Without texts: those are read again where they lie.
+    """
+    site = cut_table(found_lines(lines, works))
     heads, joins = fit_lines(lines, labels, works, site)
-    x = lines_with_shape(lines, labels, works).join(site.withColumn("site_line", F.lit(True)), "line_id", "left").withColumn("site_line", F.coalesce("site_line", F.lit(False)))
-    told = _told(x, heads)
-    # Only what the next steps need is written: furniture by name, other lines with their neighbours' words.
-    told = cut_table(told.select("line_id", "work_id", "line_index", "text", "blank", "indent", "join_next", "scanned", "running_head", "is_number", "furniture", "body"))
-    p = pairs(told.where("not furniture"))
-    goes_on = F.col("body") & F.coalesce("n_body", F.lit(False)) & F.expr(f"({joins.sql()}) > 0")
-    w = Window.partitionBy("work_id").orderBy("line_index", "line_id")
-    p = p.withColumn("goes_on", goes_on).withColumn("broken", F.col("goes_on") & F.col("text").rlike(BREAK) & F.col("n_word").rlike(r"^[\p{L}]"))
-    p = p.withColumn("continues", F.coalesce(F.lag("broken").over(w), F.lit(False)))
-    return told.where("furniture"), p.select("line_id", "work_id", "line_index", "text", "scanned", "body", "join_next", "goes_on", "broken", "continues", "n_word", "n_text")
-
-
-def _inner_text() -> Column:
-    """The line's text without what is broken off at its ends, and with its broken word whole."""
-    t = F.when(F.col("continues"), F.regexp_replace("text", r"^\S+\s*", "")).otherwise(F.col("text"))
-    whole = F.concat(F.regexp_replace(t, r"\S+$", ""), F.regexp_replace(F.regexp_extract(t, r"(\S+)$", 1), BREAK, ""), F.col("n_word"))
-    return F.when(F.col("broken"), whole).otherwise(t)
+    told = _told(_shape_columns(lines_with_shape(lines, labels, works, site)), heads).drop(*SHAPE)
+    keep = ["line_id", "wk", "line_index", "scanned", "running_head", "is_number", "body", "join_next", "indent", "size", "bits", "n_word", "tail"]
+    told = told.select(*keep)
+    # Furniture is set aside by giving it a partition of its own; the neighbours of other lines are other lines.
+    w = Window.partitionBy("wk", "furniture").orderBy("line_index", "line_id")
+    x = told.withColumn("furniture", F.col("running_head") | F.col("is_number"))
+    p = pairs_of(x, w)
+    goes_on = ~F.col("furniture") & F.col("body") & F.coalesce("n_body", F.lit(False)) & F.expr(f"({joins.sql()}) > 0")
+    p = p.withColumn("goes_on", goes_on).withColumn("broken", F.col("goes_on") & has(BROKEN) & F.col("n_letter"))
+    p = p.withColumns({"continues": F.coalesce(F.lag("broken").over(w), F.lit(False)), "hyphen": has(HYPHEN)})
+    return p.select("line_id", "wk", "line_index", "scanned", "running_head", "is_number", "body", "join_next", "goes_on", "broken", "continues", "hyphen", F.when(F.col("broken"), F.col("tail")).alias("tail"), F.when(F.col("broken"), F.col("after")).alias("after"))
 
 
 def tidy(word: str) -> str:
@@ -192,17 +206,21 @@ def tidy(word: str) -> str:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of the batch with their number, by whether the work is scanned."""
+    """Distinct words of the batch with their number, by whether the work is scanned. Words of capitals alone are left out."""
     for b in batches:
-        scanned = b.column(1)
         for flag in (True, False):
-            texts = b.column(0).filter(pc.equal(scanned, flag))
+            texts = b.column(0).filter(pc.equal(b.column(1), flag))
             counts = pc.value_counts(pc.list_flatten(pc.split_pattern_regex(texts, pattern=_WORD)))
             words, n = counts.field("values"), counts.field("counts")
-            usual = [tidy(w) for w in words.to_pylist()]
+            usual = [_known_as(w) for w in words.to_pylist()]
             yield pa.RecordBatch.from_arrays([words, pa.array(usual, pa.string()), pa.array([flag] * len(words), pa.bool_()), n.cast(pa.int64())], names=["raw", "word", "scanned", "n"])
 
 
+def _known_as(word: str) -> str:
+    word = tidy(word)
+    return "" if len(word) > 1 and word.isupper() or len(word) > 40 else word
+
+
 def _bigrams(c: Column) -> Column:
     padded = F.concat(F.lit("^"), c, F.lit("$"))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(padded, i, 2)))
@@ -295,7 +313,7 @@ def fit_ranking(vocabulary: pd.DataFrame, right: pd.DataFrame, seed: int = 5) ->
 
 
 def corrections(body: DataFrame) -> DataFrame:
-    """raw (as it stands in the lines), meant and chance of the misread words; body: text and scanned of lines of body text."""
+    """raw (as it stands in the lines), meant and chance of the misread words; body: text and scanned of lines and of whole words that are broken in them."""
     counted = cut_table(body.mapInArrow(_words, "raw string, word string, scanned boolean, n bigint").where("word <> ''").groupBy("raw", "word", "scanned").agg(F.sum("n").alias("n")))
     capital = F.col("word").rlike(r"^\p{Lu}")
     low = F.concat(F.lower(F.substring("word", 1, 1)), F.expr("substr(word, 2)"))
@@ -335,16 +353,52 @@ def corrections(body: DataFrame) -> DataFrame:
 
 
 def _holding(wrong: pa.Array):
+    """A mapInArrow function: lines to those of their words that are misread, and whether each stands first or last."""
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = pc.split_pattern_regex(b.column(1), pattern=_WORD)
-            hit = pc.is_in(pc.list_flatten(lists), value_set=wrong)
-            rows = pc.unique(pc.list_parent_indices(lists).filter(hit))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows)], names=["line_id"])
+            flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+            hit = np.flatnonzero(pc.is_in(flat, value_set=wrong).to_numpy(zero_copy_only=False))
+            first = np.searchsorted(parent, parent[hit], "left") == hit
+            last = np.searchsorted(parent, parent[hit], "right") - 1 == hit
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(parent[hit])), flat.take(pa.array(hit)), pa.array(first), pa.array(last)], names=["line_id", "raw", "first", "last"])
 
     return over
 
 
+def _texts(lines: DataFrame, judged: DataFrame) -> DataFrame:
+    """line_id, text and scanned of all lines: the works that are scanned are looked up by hash."""
+    scanned = judged.where("scanned").select("wk").distinct()
+    if scanned.count() * 16 <= BROADCAST_LIMIT:
+        scanned = F.broadcast(scanned)
+    return lines.where("text is not null").select("line_id", "text", F.xxhash64("work_id").alias("wk")).join(scanned.withColumn("s", F.lit(True)), "wk", "left").select("line_id", "text", F.coalesce("s", F.lit(False)).alias("scanned"))
+
+
+def _whole() -> Column:
+    return F.concat(F.regexp_replace("tail", BREAK, ""), F.col("after"))
+
+
+def _misread(lines: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """line_id and raw of the misread words of body text, broken ones as a whole, and the corrections."""
+    texts = _texts(lines, judged)
+    broken = judged.where("broken and scanned").select("line_id", _whole().alias("text"), "scanned")
+    fixed = cut_table(corrections(texts.select("text", "scanned").union(broken.select("text", "scanned"))))
+    size = fixed.agg(F.count(F.lit(1)), F.sum(F.octet_length("raw"))).first()
+    seen = texts.where("scanned").select("line_id", "text").union(broken.select(F.col("line_id"), F.concat(F.lit("\0 "), F.col("text"), F.lit(" \0"))))
+    kind = dict(lines.dtypes)["line_id"]
+    if (size[1] or 0) + 16 * size[0] <= BROADCAST_LIMIT:
+        wrong = pa.array([r[0] for r in fixed.select("raw").distinct().collect()], pa.string())
+        hits = seen.mapInArrow(_holding(wrong), f"line_id {kind}, raw string, first boolean, last boolean")
+    else:
+        words = F.split("text", _WORD)
+        each = seen.select("line_id", F.size(words).alias("n"), F.posexplode(words).alias("i", "raw"))
+        hits = each.join(fixed.select("raw").distinct(), "raw").select("line_id", "raw", (F.col("i") == 0).alias("first"), (F.col("i") == F.col("n") - 1).alias("last"))
+    # Halves of broken words are no words.
+    found = hits.join(judged.where("scanned and body").select("line_id", "broken", "continues"), "line_id").where("not (first and continues) and not (last and broken)")
+    return found.select("line_id", "raw"), fixed
+
+
 def defects(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataFrame:
     """line_id and defect: split_word, misread, running_head, page_number or wrong_join.
 
@@ -352,58 +406,53 @@ def defects(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataFrame:
     paragraph; null texts are empty lines; a line labelled twice has its greatest label. Lines of
     unknown works have no title to repeat. An empty table gives no rows.
     """
-    furniture, rest = judged_lines(lines, labels, works)
-    rest = cut_table(rest.where("body").withColumn("inner", _inner_text()).select("line_id", "scanned", "join_next", "goes_on", "broken", "text", "n_word", "inner"))
-    body = rest.select("inner", "scanned")
-    fixed = cut_table(corrections(body))
-    size = fixed.agg(F.count(F.lit(1)), F.sum(F.octet_length("raw"))).first()
-    scanned = rest.where("scanned").select("line_id", F.col("inner").alias("text"))
-    kind = dict(lines.dtypes)["line_id"]
-    if (size[1] or 0) + 16 * size[0] <= BROADCAST_LIMIT:
-        wrong = pa.array([r[0] for r in fixed.select("raw").distinct().collect()], pa.string())
-        misread = scanned.mapInArrow(_holding(wrong), f"line_id {kind}")
-    else:
-        misread = scanned.select("line_id", F.explode(F.split("text", _WORD)).alias("raw")).join(fixed.select("raw").distinct(), "raw").select("line_id").distinct()
-    out = [
-        furniture.select("line_id", F.when(F.col("running_head"), "running_head").otherwise("page_number").alias("defect")),
-        rest.where(F.coalesce("join_next", F.lit(False)) != F.col("goes_on")).select("line_id", F.lit("wrong_join").alias("defect")),
-        split_words(rest).select("line_id", F.lit("split_word").alias("defect")),
-        misread.select("line_id", F.lit("misread").alias("defect")),
-    ]
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return found
-
-
-def split_words(rest: DataFrame) -> DataFrame:
+    judged = cut_table(judged_lines(lines, labels, works))
+    misread, _ = _misread(lines, judged)
+    own = F.array(
+        F.when(F.col("running_head"), F.lit("running_head")), F.when(F.col("is_number"), F.lit("page_number")),
+        F.when(F.col("body") & (F.coalesce("join_next", F.lit(False)) != F.col("goes_on")), F.lit("wrong_join")),
+    )
+    out = judged.select("line_id", F.explode(F.array_compact(own)).alias("defect"))
+    split = split_words(lines, judged).select("line_id", F.lit("split_word").alias("defect"))
+    return out.unionByName(split).unionByName(misread.select("line_id", F.lit("misread").alias("defect")).distinct())
+
+
+def split_words(lines: DataFrame, judged: DataFrame) -> DataFrame:
     """Lines whose last word is broken: all that end in another sign than a hyphen, and those with a
-    hyphen where the text knows the whole word better than the compound."""
-    at_end = rest.where("broken").select("line_id", "scanned", F.regexp_extract("text", r"(\S+)$", 1).alias("last"), "n_word")
+    hyphen where the text doesn't know the compound. In works that aren't scanned only compounds are parted."""
     clean = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}-]+", ""))
-    head = clean(F.regexp_replace("last", BREAK, ""))
-    asked = at_end.select("line_id", "scanned", F.col("last").rlike(r"[-\x{2010}\x{2011}]$").alias("hyphen"), F.concat(head, clean(F.col("n_word"))).alias("whole"), F.concat(head, F.lit("-"), clean(F.col("n_word"))).alias("compound"))
-    asked = cut_table(asked)
-    compounds = asked.where("hyphen").select("compound").distinct()
-    known = rest.where(F.col("inner").contains("-")).select(F.explode(F.split(F.lower("inner"), r"[^\p{L}\p{M}\p{N}-]+")).alias("compound")).join(compounds, "compound", "left_semi").groupBy("compound").agg(F.count(F.lit(1)).alias("n"))
-    return asked.join(known, "compound", "left").where(~F.col("hyphen") | (F.col("scanned") & (F.coalesce("n", F.lit(0)) < 2)))
+    head = clean(F.regexp_replace("tail", BREAK, ""))
+    asked = judged.where("broken").select("line_id", "scanned", "hyphen", F.concat(head, F.lit("-"), clean(F.col("after"))).alias("compound"))
+    compounds = asked.where("hyphen and scanned").select("compound").distinct()
+    inner = r"\p{L}+(?:-\p{L}+)+"
+    known = lines.where(F.col("text").contains("-") & F.col("text").rlike(r"\p{L}-\p{L}")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(inner), F.lit(0))).alias("compound")).groupBy("compound").agg(F.count(F.lit(1)).alias("n")).join(compounds, "compound", "left_semi")
+    return asked.join(known, "compound", "left").where(~F.col("hyphen") | (F.col("scanned") & (F.coalesce("n", F.lit(0)) < 2))).select("line_id")
 
 
 def paragraphs(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataFrame:
     """work_id, paragraph and text: each work's body text in whole paragraphs, without furniture, its words mended.
 
-    Paragraphs are numbered in order of the lines they begin with.
+    Paragraphs are numbered in order of the lines they begin with. Works without body text have none.
     """
-    _, rest = judged_lines(lines, labels, works)
-    rest = cut_table(rest.where("body").withColumn("inner", _inner_text()).select("line_id", "work_id", "line_index", "scanned", "goes_on", "broken", "text", "n_word", "inner"))
-    fixed = corrections(rest.select("inner", "scanned")).where("meant is not null").groupBy("raw").agg(F.max_by("meant", "chance").alias("meant"))
-    whole = split_words(rest).select("line_id", F.lit(True).alias("split"))
-    marked = rest.join(whole, "line_id", "left").withColumn("inner", F.when(F.col("broken") & F.col("split").isNull(), F.concat(F.regexp_replace("inner", r"\S+$", ""), F.regexp_extract(F.rtrim("text"), r"(\S+)$", 1), F.col("n_word"))).otherwise(F.col("inner")))
-    words = marked.where("scanned").select("line_id", F.explode(F.array_distinct(F.split("inner", _WORD))).alias("raw")).join(fixed, "raw").groupBy("line_id").agg(F.map_from_entries(F.collect_list(F.struct("raw", "meant"))).alias("meant"))
+    judged = cut_table(judged_lines(lines, labels, works))
+    misread, fixed = _misread(lines, judged)
+    meant = fixed.where("meant is not null").groupBy("raw").agg(F.max_by("meant", "chance").alias("meant"))
+    words = misread.join(meant, "raw").groupBy("line_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("raw", "meant")))).alias("meant"))
+    split = split_words(lines, judged).select("line_id", F.lit(True).alias("split"))
+    x = judged.where("body").join(lines.select("line_id", "work_id", F.coalesce("text", F.lit("")).alias("text")), "line_id").join(split, "line_id", "left").join(words, "line_id", "left")
+    t = F.when(F.col("continues"), F.regexp_replace("text", r"^\S+\s*", "")).otherwise(F.col("text"))
+    whole = F.when(F.col("split").isNull(), F.concat("tail", F.col("after"))).otherwise(_whole())
+    inner = F.when(F.col("broken"), F.concat(F.regexp_replace(t, r"\S+$", ""), whole)).otherwise(t)
     parts = r"[^\s,.;:?\x{201C}\x{201D}\"\x{AB}\x{BB}()\[\]\x{2014}\x{2013}\x{2026}'\x{2019}\x{2018}-]+|[\s,.;:?\x{201C}\x{201D}\"\x{AB}\x{BB}()\[\]\x{2014}\x{2013}\x{2026}'\x{2019}\x{2018}-]+"
-    mended = F.when(F.col("meant").isNull(), F.col("inner")).otherwise(F.array_join(F.transform(F.regexp_extract_all("inner", F.lit(parts), F.lit(0)), lambda p: F.coalesce(F.when(F.substring(p, 1, 1) == F.upper(F.substring(p, 1, 1)), F.concat(F.upper(F.substring(F.try_element_at("meant", p), 1, 1)), F.expr("''"), F.substring(F.try_element_at("meant", p), 2, 1000))).otherwise(F.try_element_at("meant", p)), p)), ""))
-    w = Window.partitionBy("work_id").orderBy("line_index", "line_id")
+
+    def mend(p: Column) -> Column:
+        new = F.try_element_at("meant", p)
+        capital = (F.lower(F.left(p, F.lit(1))) != F.left(p, F.lit(1))) & new.isNotNull()
+        return F.when(capital, F.concat(F.upper(F.left(new, F.lit(1))), F.substr(new, F.lit(2)))).otherwise(F.coalesce(new, p))
+
+    mended = F.when(F.col("meant").isNull(), F.col("inner")).otherwise(F.array_join(F.transform(F.regexp_extract_all("inner", F.lit(parts), F.lit(0)), mend), ""))
+    w = Window.partitionBy("wk").orderBy("line_index", "line_id")
     number = F.sum((~F.coalesce(F.lag("goes_on").over(w), F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    done = marked.join(words, "line_id", "left").withColumn("mended", mended).withColumn("paragraph", number)
+    done = x.withColumn("inner", inner).withColumn("mended", mended).withColumn("paragraph", number)
     pieces = F.array_sort(F.collect_list(F.struct("line_index", "line_id", F.trim("mended").alias("t"))))
-    return done.groupBy("work_id", "paragraph").agg(F.array_join(F.transform(pieces, lambda s: s["t"]), " ").alias("text")).where("text <> ''")
+    return done.groupBy("work_id", "paragraph").agg(F.array_join(F.filter(F.transform(pieces, lambda s: s["t"]), lambda s: s != ""), " ").alias("text")).where("text <> ''")
