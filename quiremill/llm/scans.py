@@ -126,7 +126,7 @@ def pairs(nonfurniture: DataFrame) -> DataFrame:
 def pairs_of(nonfurniture: DataFrame, w) -> DataFrame:
     nxt = lambda c: F.lead(c).over(w)
     widest = F.max(F.when(F.col("body"), F.col("size"))).over(Window.partitionBy("wk"))
-    x = nonfurniture.withColumns({"n_body": nxt("body"), "n_indent": nxt("indent"), "n_bits": nxt("bits"), "n_index": nxt("line_index"), "after": nxt("n_word"), "widest": widest})
+    x = nonfurniture.withColumns({"n_body": nxt("body"), "n_indent": nxt("indent"), "n_bits": nxt("bits"), "n_index": nxt("line_index"), "n_id": nxt("line_id"), "after": nxt("n_word"), "widest": widest})
     n_has = lambda b: F.coalesce(F.col("n_bits").bitwiseAND(b) > 0, F.lit(False))
     return x.withColumns({
         "p_next": F.when(F.col("n_body"), 1).otherwise(0),
@@ -192,7 +192,7 @@ def judged_lines(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataF
     goes_on = ~F.col("furniture") & F.col("body") & F.coalesce("n_body", F.lit(False)) & F.expr(f"({joins.sql()}) > 0")
     p = p.withColumn("goes_on", goes_on).withColumn("broken", F.col("goes_on") & has(BROKEN) & F.col("n_letter"))
     p = p.withColumns({"continues": F.coalesce(F.lag("broken").over(w), F.lit(False)), "hyphen": has(HYPHEN)})
-    return p.select("line_id", "wk", "line_index", "scanned", "running_head", "is_number", "body", "join_next", "goes_on", "broken", "continues", "hyphen", F.when(F.col("broken"), F.col("tail")).alias("tail"), F.when(F.col("broken"), F.col("after")).alias("after"))
+    return p.select("line_id", "wk", "line_index", "scanned", "running_head", "is_number", "body", "join_next", "goes_on", "broken", "continues", "hyphen", F.when(F.col("broken"), F.col("tail")).alias("tail"), F.when(F.col("broken"), F.col("after")).alias("after"), F.when(F.col("broken"), F.col("n_id")).alias("n_id"))
 
 
 def tidy(word: str) -> str:
@@ -358,7 +358,9 @@ def _holding(wrong: pa.Array):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = pc.split_pattern_regex(b.column(1), pattern=_WORD)
-            flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+            flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
+            real = pc.greater(pc.binary_length(flat), 0)
+            flat, parent = flat.filter(real), parent.filter(real).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero(pc.is_in(flat, value_set=wrong).to_numpy(zero_copy_only=False))
             first = np.searchsorted(parent, parent[hit], "left") == hit
             last = np.searchsorted(parent, parent[hit], "right") - 1 == hit
@@ -380,23 +382,28 @@ def _whole() -> Column:
 
 
 def _misread(lines: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """line_id and raw of the misread words of body text, broken ones as a whole, and the corrections."""
+    """line_id, raw and the line it is misread at, of the misread words of body text, broken ones as a whole; and the corrections."""
     texts = _texts(lines, judged)
     broken = judged.where("broken and scanned").select("line_id", _whole().alias("text"), "scanned")
     fixed = cut_table(corrections(texts.select("text", "scanned").union(broken.select("text", "scanned"))))
     size = fixed.agg(F.count(F.lit(1)), F.sum(F.octet_length("raw"))).first()
+    # Signs at both ends keep the whole of a broken word from counting as half of one.
     seen = texts.where("scanned").select("line_id", "text").union(broken.select(F.col("line_id"), F.concat(F.lit("\0 "), F.col("text"), F.lit(" \0"))))
     kind = dict(lines.dtypes)["line_id"]
     if (size[1] or 0) + 16 * size[0] <= BROADCAST_LIMIT:
         wrong = pa.array([r[0] for r in fixed.select("raw").distinct().collect()], pa.string())
         hits = seen.mapInArrow(_holding(wrong), f"line_id {kind}, raw string, first boolean, last boolean")
     else:
-        words = F.split("text", _WORD)
+        words = F.filter(F.split("text", _WORD), lambda v: v != "")
         each = seen.select("line_id", F.size(words).alias("n"), F.posexplode(words).alias("i", "raw"))
         hits = each.join(fixed.select("raw").distinct(), "raw").select("line_id", "raw", (F.col("i") == 0).alias("first"), (F.col("i") == F.col("n") - 1).alias("last"))
     # Halves of broken words are no words.
-    found = hits.join(judged.where("scanned and body").select("line_id", "broken", "continues"), "line_id").where("not (first and continues) and not (last and broken)")
-    return found.select("line_id", "raw"), fixed
+    found = hits.join(judged.where("scanned and body").select("line_id", "broken", "continues", F.regexp_replace("tail", BREAK, "").alias("head"), F.col("after").alias("rest"), "n_id"), "line_id").where("not (first and continues) and not (last and broken)")
+    # A broken word is misread where its right form leaves the one that was read.
+    meant = fixed.groupBy("raw").agg(F.max_by("meant", "chance").alias("meant"))
+    whole = F.col("broken") & ~F.col("first") & ~F.col("last") & F.col("rest").isNotNull() & (F.concat("head", F.col("rest")).startswith(F.col("raw")))
+    in_head = F.when(F.col("meant").isNotNull(), ~F.lower("meant").startswith(F.lower("head"))).otherwise(F.col("head").rlike(r"[0-9|!]"))
+    return found.join(meant, "raw", "left").select("line_id", "raw", F.when(whole & ~in_head, F.col("n_id")).otherwise(F.col("line_id")).alias("at")), fixed
 
 
 def defects(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataFrame:
@@ -414,7 +421,7 @@ def defects(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataFrame:
     )
     out = judged.select("line_id", F.explode(F.array_compact(own)).alias("defect"))
     split = split_words(lines, judged).select("line_id", F.lit("split_word").alias("defect"))
-    return out.unionByName(split).unionByName(misread.select("line_id", F.lit("misread").alias("defect")).distinct())
+    return out.unionByName(split).unionByName(misread.select(F.col("at").alias("line_id"), F.lit("misread").alias("defect")).distinct())
 
 
 def split_words(lines: DataFrame, judged: DataFrame) -> DataFrame:
