@@ -76,13 +76,14 @@ def narrow(lines: DataFrame) -> DataFrame:
     number = (F.length(t) <= 16) & t.rlike(r"[0-9ivxlcdmIVXLCDM]") & t.rlike(_NUMBER)
     x = lines.select("line_id", F.xxhash64("work_id").alias("wk"), "line_index", F.coalesce("indent", F.lit(0)).alias("indent"), F.length(t).alias("size"), F.coalesce("blank_before", F.lit(False)).alias("blank"), few_lower.alias("caps"), number.alias("number"), t.alias("t"), last.alias("last"), first.alias("first"))
     break_mark = F.col("last").isin("-", "\u00AC", "~", "=", "\u00AD", "\u2010", "\u2011")
+    ends = (".", "!", "?", "\u2026", "\u3002")
     bit = lambda c, b: F.when(c, b).otherwise(0)
     bits = (
         bit(F.col("blank"), BLANK) + bit(F.col("caps"), CAPS) + bit(F.col("number"), NUMBER) + bit(F.col("caps") & F.col("t").rlike(r"^[\[(]?[0-9lIO]+|[0-9lIO]+[\])]?$"), DIGITS) + bit(F.col("caps") & F.col("t").rlike(r"^(?:\S ){4}"), SPACED)
         + bit(F.col("last").isin(".", "!", "?", ",", ";"), STOP) + bit((F.lower("first") == F.col("first")) & (F.upper("first") != F.col("first")), LOWER) + bit(break_mark, BROKEN) + bit(F.lower("first") != F.upper("first"), LETTER) + bit(F.col("last").isin("-", "\u2010", "\u2011"), HYPHEN)
-        + bit(F.regexp_replace(F.right("t", F.lit(2)), "['\"\u201D\u2019\u00BB\u300D]$", "").rlike(r"[.!?\x{2026}\x{3002}]$"), ENDED)
+        + bit(F.col("last").isin(*ends) | (F.col("last").isin("'", '"', "\u201D", "\u2019", "\u00BB", "\u300D") & F.left(F.right("t", F.lit(2)), F.lit(1)).isin(*ends)), ENDED)
     )
-    return x.select("line_id", "wk", "line_index", "indent", "size", bits.alias("bits"), F.when((F.length("t") <= 120) & (F.col("caps") | F.col("blank") | (F.col("indent") > 0)), letters(F.col("t"))).alias("key"), F.substring_index("t", " ", 1).alias("n_word"), F.when(break_mark, F.substring_index("t", " ", -1)).alias("tail"))
+    return x.select("line_id", "wk", "line_index", "indent", "size", bits.alias("bits"), F.when(F.col("caps") | ((F.length("t") <= 60) & F.col("blank")), letters(F.col("t"))).alias("key"), F.substring_index("t", " ", 1).alias("n_word"), F.when(break_mark, F.substring_index("t", " ", -1)).alias("tail"))
 
 
 def has(bit: int) -> Column:
@@ -92,7 +93,12 @@ def has(bit: int) -> Column:
 def lines_with_shape(lines: DataFrame, labels: DataFrame, works: DataFrame, site: DataFrame) -> DataFrame:
     """Narrow lines with their labels, the features of their shape, their likeness to titles, and whether the work is scanned."""
     title = works.where("work_id is not null").groupBy(F.xxhash64("work_id").alias("wk")).agg(letters(F.max_by(F.coalesce("work", F.lit("")), F.struct("ingested_at", "work_row"))).alias("title"))
-    label = labels.groupBy("line_id").agg(F.max(F.struct("role", "level", "join_next")).alias("l")).select("line_id", F.coalesce("l.role", F.lit("prose")).alias("role"), F.coalesce("l.level", F.lit(0)).alias("level"), F.col("l.join_next").alias("join_next"))
+    # A label in one number, so that labels are hashed, not sorted: role, level, and whether the next line is joined.
+    role = F.when(F.col("role") == "heading", 1).when(F.col("role") == "verse_line", 2).when(F.col("role") == "prose", 0).when(F.col("role").isNull(), 0).otherwise(3)
+    packed = role * 1024 + F.greatest(F.lit(0), F.least(F.coalesce("level", F.lit(0)), F.lit(200))) * 4 + F.when(F.col("join_next"), 2).when(F.col("join_next").isNotNull(), 1).otherwise(0)
+    label = labels.groupBy("line_id").agg(F.max(packed.cast("bigint")).alias("l"))
+    code = F.floor(F.col("l") / 1024)
+    label = label.select("line_id", F.when(code == 1, "heading").when(code == 2, "verse_line").when(code == 0, "prose").otherwise("other").alias("role"), (F.floor(F.col("l") / 4) % 256).cast("int").alias("level"), F.when(F.col("l") % 4 == 2, True).when(F.col("l") % 4 == 1, False).alias("join_next"))
     x = narrow(lines).join(label, "line_id", "left").withColumns({"role": F.coalesce("role", F.lit("prose")), "level": F.coalesce("level", F.lit(0))})
     x = x.join(site.withColumn("site_line", F.lit(True)), "line_id", "left").withColumn("site_line", F.coalesce("site_line", F.lit(False)))
     x = x.withColumn("key", F.when(has(CAPS) | (F.col("role") == "heading"), F.col("key"))).join(title, "wk", "left")
@@ -118,15 +124,12 @@ def _shape_columns(x: DataFrame) -> DataFrame:
 PAIR = ["p_next", "p_indent", "p_blank", "p_scanned", "p_stop", "p_lower", "p_full", "p_broken"]
 
 
-def pairs(nonfurniture: DataFrame) -> DataFrame:
-    """Lines without furniture, each with the features of it and the line after it."""
-    return pairs_of(nonfurniture, Window.partitionBy("wk").orderBy("line_index", "line_id"))
-
-
-def pairs_of(nonfurniture: DataFrame, w) -> DataFrame:
-    nxt = lambda c: F.lead(c).over(w)
+def pairs(told: DataFrame) -> DataFrame:
+    """Lines, each with the features of it and the next line that isn't furniture."""
+    nxt = F.expr("lead(if(furniture, null, struct(body, indent, bits, line_index, line_id, n_word))) ignore nulls over (partition by wk order by line_index, line_id)")
     widest = F.max(F.when(F.col("body"), F.col("size"))).over(Window.partitionBy("wk"))
-    x = nonfurniture.withColumns({"n_body": nxt("body"), "n_indent": nxt("indent"), "n_bits": nxt("bits"), "n_index": nxt("line_index"), "n_id": nxt("line_id"), "after": nxt("n_word"), "widest": widest})
+    x = told.withColumns({"nxt": nxt, "widest": widest})
+    x = x.withColumns({"n_body": F.col("nxt.body"), "n_indent": F.col("nxt.indent"), "n_bits": F.col("nxt.bits"), "n_index": F.col("nxt.line_index"), "n_id": F.col("nxt.line_id"), "after": F.col("nxt.n_word")})
     n_has = lambda b: F.coalesce(F.col("n_bits").bitwiseAND(b) > 0, F.lit(False))
     return x.withColumns({
         "p_next": F.when(F.col("n_body"), 1).otherwise(0),
@@ -139,7 +142,7 @@ def pairs_of(nonfurniture: DataFrame, w) -> DataFrame:
         "p_full": _bin(F.col("size") / F.greatest("widest", F.lit(1)), 0.3, 0.5, 0.7, 0.85),
         "p_broken": has(BROKEN).cast("int"),
         "n_letter": n_has(LETTER),
-    }).drop("widest", "n_bits", "n_indent")
+    }).drop("widest", "n_bits", "n_indent", "nxt")
 
 
 def _sampled(works: DataFrame) -> DataFrame:
@@ -157,11 +160,12 @@ def _ints(df: DataFrame, names: list[str], label: str) -> tuple[np.ndarray, np.n
 def fit_lines(lines: DataFrame, labels: DataFrame, works: DataFrame, site: DataFrame) -> tuple[Boost, Boost]:
     """The classifiers of running heads and of pairs of lines."""
     some = F.broadcast(_sampled(works))
-    x = cut_table(_shape_columns(lines_with_shape(lines.join(some, "work_id", "left_semi"), labels, works.join(some, "work_id", "left_semi"), site).where("wk is not null")))
+    part = lines.join(some, "work_id", "left_semi")
+    x = cut_table(_shape_columns(lines_with_shape(part, labels.join(part.select("line_id"), "line_id", "left_semi"), works.join(some, "work_id", "left_semi"), site).where("wk is not null")))
     taught = x.where(F.col("scanned") & ~F.col("site_line") & ~F.col("is_number") & (has(CAPS) | (F.col("level") >= 1) | (F.col("indent") > 0) | (F.pmod(F.xxhash64("line_id"), F.lit(7)) == 0))).withColumn("y", F.col("repeats") & (F.col("level") == 0))
     heads = Boost(SHAPE, rounds=16).fit(*_ints(taught, SHAPE, "y"))
-    p = pairs(_told(x, heads).where("not furniture"))
-    known = p.where((F.col("n_index") == F.col("line_index") + 1) & F.col("body") & F.col("join_next").isNotNull())
+    p = pairs(_told(x, heads))
+    known = p.where(~F.col("furniture") & (F.col("n_index") == F.col("line_index") + 1) & F.col("body") & F.col("join_next").isNotNull())
     joins = Boost(PAIR, rounds=20).fit(*_ints(known, PAIR, "join_next"))
     return heads, joins
 
@@ -185,13 +189,11 @@ def judged_lines(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataF
     told = _told(_shape_columns(lines_with_shape(lines, labels, works, site)), heads).drop(*SHAPE)
     keep = ["line_id", "wk", "line_index", "scanned", "running_head", "is_number", "body", "join_next", "indent", "size", "bits", "n_word", "tail"]
     told = told.select(*keep)
-    # Furniture is set aside by giving it a partition of its own; the neighbours of other lines are other lines.
-    w = Window.partitionBy("wk", "furniture").orderBy("line_index", "line_id")
-    x = told.withColumn("furniture", F.col("running_head") | F.col("is_number"))
-    p = pairs_of(x, w)
+    # All windows are of one order, so lines are sorted once; furniture is skipped as null.
+    p = pairs(told.withColumn("furniture", F.col("running_head") | F.col("is_number")))
     goes_on = ~F.col("furniture") & F.col("body") & F.coalesce("n_body", F.lit(False)) & F.expr(f"({joins.sql()}) > 0")
     p = p.withColumn("goes_on", goes_on).withColumn("broken", F.col("goes_on") & has(BROKEN) & F.col("n_letter"))
-    p = p.withColumns({"continues": F.coalesce(F.lag("broken").over(w), F.lit(False)), "hyphen": has(HYPHEN)})
+    p = p.withColumns({"continues": F.coalesce(F.expr("lag(if(furniture, null, broken)) ignore nulls over (partition by wk order by line_index, line_id)"), F.lit(False)), "hyphen": has(HYPHEN)})
     return p.select("line_id", "wk", "line_index", "scanned", "running_head", "is_number", "body", "join_next", "goes_on", "broken", "continues", "hyphen", F.when(F.col("broken"), F.col("tail")).alias("tail"), F.when(F.col("broken"), F.col("after")).alias("after"), F.when(F.col("broken"), F.col("n_id")).alias("n_id"))
 
 
