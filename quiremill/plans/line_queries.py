@@ -63,8 +63,8 @@ def toc_label_kinds(spark, d):
 
 
 @query(r"""with s as (select doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) as ls from documents where text is not null), e as (select doc_id, unnest(ls) as raw, generate_subscripts(ls, 1) as n from s),
-  o as (select *, regexp_replace(raw, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as t, sum(length(raw) + 1) over (partition by doc_id order by n) - length(raw) - 1 as at from e), b as (select *, coalesce(lag(t = '') over (partition by doc_id order by n), true) as blank from o)
-  select doc_id, row_number() over (partition by doc_id order by n) - 1 as line_index, t as text, cast(at as bigint) as start_char, cast(at + length(raw) as bigint) as end_char, blank as blank_before, length(raw) - length(ltrim(raw, ' ')) as indent from b where t <> '' and not regexp_matches(t, '^[\x{200B}\x{FEFF}\x{2060}]+$')""")
+  o as (select *, regexp_replace(raw, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as t, sum(length(raw) + 1) over (partition by doc_id order by n) - length(raw) - 1 as pos from e), b as (select *, coalesce(lag(t = '') over (partition by doc_id order by n), true) as blank from o)
+  select doc_id, row_number() over (partition by doc_id order by n) - 1 as line_index, t as text, cast(pos as bigint) as start_char, cast(pos + length(raw) as bigint) as end_char, blank as blank_before, length(raw) - length(ltrim(raw, ' ')) as indent from b where t <> '' and not regexp_matches(t, '^[\x{200B}\x{FEFF}\x{2060}]+$')""")
 def line_table(spark, d):
     """The documents' lines with offsets."""
     return lines.line_table(table(spark, d, "documents"), "doc_id")
@@ -175,8 +175,8 @@ _TOTALS = "t as (select work_id, max(end_char) as n from text_lines group by 1)"
 
 
 @query(f"""with {_TOTALS}, r as (select *, coalesce(max(end_char - 1) over (partition by work_id order by start_char, end_char - 1 rows between unbounded preceding and 1 preceding), -1) as reach from text_lines),
-  p as (select work_id, count(*) filter (where start_char - reach - 1 > 0) as g, sum(greatest(0, start_char - reach - 1)) as o, count(*) filter (where start_char <= reach) as overlaps, max(end_char - 1) as last from r group by 1)
-  select work_id, g + (case when n - 1 - last > 0 then 1 else 0 end) as gaps, overlaps, cast(o + greatest(0, n - 1 - last) as bigint) as orphans from t join p using (work_id)""")
+  p as (select work_id, count(*) filter (where start_char - reach - 1 > 0) as g, sum(greatest(0, start_char - reach - 1)) as o, count(*) filter (where start_char <= reach) as laps, max(end_char - 1) as final_char from r group by 1)
+  select work_id, g + (case when n - 1 - final_char > 0 then 1 else 0 end) as gaps, laps as "overlaps", cast(o + greatest(0, n - 1 - final_char) as bigint) as orphans from t join p using (work_id)""")
 def coverage(spark, d):
     """Gaps and overlaps of the works' lines over their texts."""
     t = table(spark, d, "text_lines")
@@ -218,9 +218,8 @@ def division_level(spark, d):
 @query()
 def toc_match(spark, d):
     """Headings of the works as contents entries, found again in the body in order."""
-    t = labelled(spark, d)
-    entries = t.where("role = 'heading' and level >= 1").select("work_id", F.col("line_index").alias("entry"), F.col("text").alias("label"))
-    return matching.match_contents(t, entries, "work_id")
+    entries = labelled(spark, d).where("role = 'heading' and level >= 1").select("work_id", F.col("line_index").alias("entry"), F.col("text").alias("label"))
+    return matching.match_contents(table(spark, d, "text_lines"), entries, "work_id")
 
 
 @query(rf"""with l as (select distinct work_id, {sub(sub('lower(text)', '[^a-z0-9]+', ' '), '^ +| +$')} as label from text_lines join line_labels using (line_id) where role = 'heading'), w as (select distinct work_id, {sub(sub('lower(work)', '[^a-z0-9]+', ' '), '^ +| +$')} as title from works where work is not null),

@@ -25,7 +25,7 @@ def text_stream_stats(stream: DataFrame, text: str = "text") -> DataFrame:
 
 def over_rate(events: DataFrame, by: str, ts: Column, seconds: int, most: int) -> DataFrame:
     """Events that come when their key already has `most` in the `seconds` before and with them: a sliding limit, over a range window."""
-    w = Window.partitionBy(by).orderBy(ts.cast("timestamp").cast("double")).rangeBetween(-(seconds - 1e-6), 0)
+    w = Window.partitionBy(by).orderBy(F.unix_micros(ts.cast("timestamp"))).rangeBetween(1 - seconds * 1_000_000, 0)
     return events.withColumn("recent", F.count(F.lit(1)).over(w)).where(F.col("recent") > most)
 
 
