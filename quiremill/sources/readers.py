@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiremill.functions.text import strip
+
 #: Explicit, so that no file has to be read twice and a missing column is null.
 SOURCE_ROW = "file string, work string, year int, source_url string, license string, concepts array<string>, gutenberg_id string, translator string, lang string, chunking string"
 CORRUPT = "_corrupt_record"
@@ -47,7 +49,7 @@ def html_text(pages: DataFrame, key: str, html: str) -> DataFrame:
     t = F.regexp_replace(F.regexp_replace(t, BLOCK_TAGS, "\n"), r"<[^>]*>", "")
     for entity, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(c))
-    return pages.select(key, F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")).alias("text"))
+    return pages.select(key, strip(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")).alias("text"))
 
 
 def write_editions(editions: DataFrame, path: str) -> None:
