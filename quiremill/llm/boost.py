@@ -1,11 +1,13 @@
 """Gradient-boosted trees over small integer features, fitted on the driver on a bounded sample.
 
-A model can be written as an SQL expression, so that rows are scored where they are.
+A model of few features can be written as a column, so that rows are scored where they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 class Boost:
@@ -69,15 +71,15 @@ class Boost:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.score(x)))
 
-    def sql(self) -> str:
-        """The score as an expression over columns of the features' names."""
+    def lookup(self, sizes: dict[str, int]) -> Column:
+        """Whether the score is positive, as a lookup: one byte for every combination of the features, each below its size.
 
-        def branch(splits, leaves, level: int, k: int) -> str:
-            if level == self.depth:
-                return f"{leaves[k]:.6f}D"
-            f, b = splits[(1 << level) - 1 + k]
-            right = branch(splits, leaves, level + 1, 2 * k + 1)
-            left = branch(splits, leaves, level + 1, 2 * k)
-            return left if b >= self.bins or left == right else f"if({self.names[f]} > {b}, {right}, {left})"
-
-        return " + ".join([f"{self.base:.6f}D", *(branch(s, v, 0, 0) for s, v in self.trees)])
+        A nest of conditions for all trees would be too long a method for the JVM to compile.
+        """
+        shape = [sizes[n] for n in self.names]
+        grid = np.stack([g.ravel() for g in np.meshgrid(*(np.arange(n) for n in shape), indexing="ij")], axis=1)
+        table = (self.score(grid) > 0).astype(np.uint8).tobytes()
+        at = F.lit(0)
+        for name, n in zip(self.names, shape):
+            at = at * n + F.greatest(F.lit(0), F.least(F.col(name), F.lit(n - 1)))
+        return F.substr(F.lit(bytearray(table)), (at + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\x01"))

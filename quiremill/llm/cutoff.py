@@ -65,7 +65,7 @@ def limits(vals: DataFrame) -> DataFrame:
         .withColumn("usual", F.col("below") * (F.col("slack") + 1) / F.greatest(F.lit(1.0), F.col("limit") * 0.1 - F.col("slack")))
         .where((F.col("at") >= LEAST) & (F.col("at") >= F.col("usual") * TIMES))
     )
-    best = F.max_by(F.struct("encoding", "limit", "slack", "at"), F.struct(F.col("at") / (F.col("slack") + 1), F.col("at"), -F.length("encoding")))
+    best = F.max_by(F.struct("encoding", "limit", "slack", "at"), F.struct(F.col("at") / (F.col("slack") + 1), F.col("at"), -F.array_position(F.array(*(F.lit(k) for k in lengths(F.lit("")))), F.col("encoding"))))
     return heaps.groupBy("field_name", "model").agg(best.alias("b")).select("field_name", "model", "b.*")
 
 

@@ -85,10 +85,10 @@ def _unique(x: np.ndarray) -> np.ndarray:
 
 
 def common_words(documents: DataFrame, share: float = COMMON_SHARE) -> np.ndarray:
-    """Hashes of the words in at least `share` of the documents, sorted; at most mean distinct words / share."""
+    """Hashes of the words in at least `share` of the documents and in two, sorted; at most mean distinct words / share."""
     counts = documents.select("text").mapInPandas(word_counts, "word bigint, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs"))
     n = documents.count()
-    rows = counts.where(F.col("docs") >= max(1.0, share * n)).select("word").toPandas()
+    rows = counts.where(F.col("docs") >= max(2.0, share * n)).select("word").toPandas()
     return np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
 
 

@@ -3,7 +3,7 @@
 Lines are told apart by gradient-boosted classifiers: one finds running heads by their shape, taught
 by those lines that repeat the title of the work or chapter; one decides for each pair of lines of
 body text whether the paragraph goes on, taught by the parser's join_next, whose faults are too few
-and too scattered to be learnt. Both are fitted on a bounded sample of works and scored as SQL.
+and too scattered to be learnt. Both are fitted on a bounded sample of works and scored as a lookup by features.
 
 Words of scanned works that the other works don't know are looked up in their vocabulary: candidates
 come from an inverted join on character bigrams, and a third classifier ranks them by the shape of
@@ -64,6 +64,8 @@ def _bin(c: Column, *bounds: float) -> Column:
 
 
 SHAPE = ["f_caps", "f_level", "f_role", "f_indent", "f_blank", "f_digits", "f_length", "f_spaced", "f_stop"]
+#: Values of each feature.
+SHAPE_SIZES = {"f_caps": 2, "f_level": 4, "f_role": 3, "f_indent": 6, "f_blank": 2, "f_digits": 2, "f_length": 5, "f_spaced": 2, "f_stop": 2}
 BLANK, CAPS, NUMBER, DIGITS, SPACED, STOP, LOWER, BROKEN, LETTER, HYPHEN, ENDED = (1 << k for k in range(11))
 
 
@@ -122,6 +124,7 @@ def _shape_columns(x: DataFrame) -> DataFrame:
 
 
 PAIR = ["p_next", "p_indent", "p_blank", "p_scanned", "p_stop", "p_lower", "p_full", "p_broken"]
+PAIR_SIZES = {"p_next": 2, "p_indent": 6, "p_blank": 2, "p_scanned": 2, "p_stop": 2, "p_lower": 2, "p_full": 5, "p_broken": 2}
 
 
 def pairs(told: DataFrame) -> DataFrame:
@@ -172,7 +175,7 @@ def fit_lines(lines: DataFrame, labels: DataFrame, works: DataFrame, site: DataF
 
 def _told(x: DataFrame, heads: Boost) -> DataFrame:
     """Which lines are running heads, furniture at all, and body text."""
-    shape = F.expr(f"({heads.sql()}) > 0")
+    shape = heads.lookup(SHAPE_SIZES)
     head = F.col("scanned") & ~F.col("site_line") & has(CAPS) & (F.col("level") == 0) & (F.col("role") != "verse_line") & (F.col("repeats") | shape)
     x = x.withColumn("running_head", head & ~F.col("is_number")).withColumn("furniture", F.col("running_head") | F.col("is_number"))
     return x.withColumn("body", (F.col("role") == "prose") & ~F.col("furniture") & ~F.col("site_line"))
@@ -191,7 +194,7 @@ def judged_lines(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataF
     told = told.select(*keep)
     # All windows are of one order, so lines are sorted once; furniture is skipped as null.
     p = pairs(told.withColumn("furniture", F.col("running_head") | F.col("is_number")))
-    goes_on = ~F.col("furniture") & F.col("body") & F.coalesce("n_body", F.lit(False)) & F.expr(f"({joins.sql()}) > 0")
+    goes_on = ~F.col("furniture") & F.col("body") & F.coalesce("n_body", F.lit(False)) & joins.lookup(PAIR_SIZES)
     p = p.withColumn("goes_on", goes_on).withColumn("broken", F.col("goes_on") & has(BROKEN) & F.col("n_letter"))
     p = p.withColumns({"continues": F.coalesce(F.expr("lag(if(furniture, null, broken)) ignore nulls over (partition by wk order by line_index, line_id)"), F.lit(False)), "hyphen": has(HYPHEN)})
     return p.select("line_id", "wk", "line_index", "scanned", "running_head", "is_number", "body", "join_next", "goes_on", "broken", "continues", "hyphen", F.when(F.col("broken"), F.col("tail")).alias("tail"), F.when(F.col("broken"), F.col("after")).alias("after"), F.when(F.col("broken"), F.col("n_id")).alias("n_id"))
