@@ -29,7 +29,7 @@ SAMPLE = 4000
 #: A word is common when so large a share of the documents has it; this bounds the number of common words.
 COMMON_SHARE = 0.02
 
-#: Upper bounds of the statistics' bins, in the order of the columns of `line_statistics`.
+#: Upper bounds of the statistics' bins, in the order of the columns of `line_statistics`. Lengths count characters of double width twice; alien lines have 25 letters and no common word.
 BINS = {
     "length": (8, 25, 50, 100),
     "common": (0.001, 0.12, 0.3, 0.5),
@@ -43,13 +43,14 @@ BINS = {
     "again": (1, 2, 4),
     "longest": (14, 20, 30),
     "variety": (0.25, 0.5),
+    "alien": (0,),
 }
 
 # Prior weights of the bins by state: what a line of the state looks like, before any label is seen.
 PRIOR = {
     "length": ((1, 2, 5, 10, 10), (1, 10, 8, 2, 1), (1, 8, 8, 2, 1), (3, 5, 7, 8, 3)),
-    "common": ((1, 2, 6, 9, 9), (6, 2, 4, 4, 4), (8, 2, 3, 3, 2), (12, 3, 2, 2, 1)),
-    "symbols": ((20, 3, 1, 0.3, 0.1), (14, 4, 3, 1, 0.5), (12, 4, 4, 2, 1), (6, 2, 3, 5, 8)),
+    "common": ((0.2, 1, 6, 10, 10), (6, 2, 4, 4, 4), (8, 2, 3, 3, 2), (14, 3, 1, 1, 1)),
+    "symbols": ((20, 3, 1, 0.1, 0.02), (14, 4, 3, 0.5, 0.1), (14, 4, 3, 0.5, 0.1), (6, 2, 3, 6, 14)),
     "digits": ((14, 5, 1, 0.2, 0.1), (8, 3, 6, 3, 1), (1, 1, 4, 7, 6), (8, 4, 4, 2, 1)),
     "cells": ((20, 1, 0.2, 0.1), (12, 6, 0.5, 0.2), (1, 2, 8, 6), (10, 3, 2, 3)),
     "mark": ((20, 0.5, 0.1, 0.4), (6, 6, 4, 4), (6, 1, 0.3, 8), (14, 1, 1, 2)),
@@ -58,7 +59,8 @@ PRIOR = {
     "word_length": ((2, 6, 10, 1, 0.2), (3, 3, 8, 6, 2), (6, 4, 6, 5, 2), (6, 4, 5, 5, 4)),
     "again": ((30, 1, 0.2, 0.05), (20, 1, 0.2, 0.05), (20, 1, 0.2, 0.05), (8, 2, 2, 4)),
     "longest": ((30, 2, 0.2, 0.1), (25, 3, 0.4, 0.1), (25, 2, 0.3, 0.1), (12, 4, 2, 4)),
-    "variety": ((0.1, 1, 30), (0.1, 1, 20), (0.1, 1, 20), (4, 2, 14)),
+    "variety": ((0.02, 0.5, 30), (0.05, 0.5, 20), (0.05, 0.5, 20), (8, 2, 14)),
+    "alien": ((30, 0.05), (20, 1.5), (20, 1), (8, 12)),
 }
 #: Bits of a word's hash that count; the low ones make room for the number of a text in a piece.
 HIGH = np.uint64(0xFFFFFFFFFFFFC000)
@@ -179,8 +181,8 @@ def _statistics(texts: list[str], common: np.ndarray) -> tuple[np.ndarray, np.nd
     variety = np.where(words >= 10, np.bincount(of[at], minlength=n) / np.maximum(words, 1), 1.0)
 
     raw = {
-        "length": ends - begins, "common": np.where(words > 0, shared / np.maximum(words, 1), 0.0), "symbols": counts[:, C.SYMBOL] / solid, "digits": counts[:, C.DIGIT] / solid,
-        "cells": cells, "mark": mark, "ending": ending, "broken": broken, "word_length": letters / np.maximum(words, 1), "again": again, "longest": longest, "variety": variety,
+        "length": ends - begins + counts[:, C.HIRAGANA] + counts[:, C.KATAKANA] + counts[:, C.HAN], "common": np.where(words > 0, shared / np.maximum(words, 1), 0.0), "symbols": counts[:, C.SYMBOL] / solid, "digits": counts[:, C.DIGIT] / solid,
+        "cells": cells, "mark": mark, "ending": ending, "broken": broken, "word_length": letters / np.maximum(words, 1), "again": again, "longest": longest, "variety": variety, "alien": (letters >= 25) & (shared == 0),
     }
     binned = np.stack([np.searchsorted(np.array(BINS[k], float), raw[k].astype(float), "left") for k in BINS], axis=1) if n else np.zeros((0, len(BINS)), np.int64)
     keep = ~blank
