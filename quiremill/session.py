@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,18 @@ BROADCAST_LIMIT = 8 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` of a data directory."""
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers that see this file system find the library, wherever the driver was started."""
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    have = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make checkpoint() usable: the cluster's shared folder if it names one, else a local one.
 
