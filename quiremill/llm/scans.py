@@ -74,7 +74,9 @@ def narrow(lines: DataFrame) -> DataFrame:
     line_id, wk (hash of the work), line_index, indent, size, bits, and where it matters the letters, the first and the last word."""
     t = F.coalesce(F.col("text"), F.lit(""))
     last, first = F.right(t, F.lit(1)), F.left(t, F.lit(1))
-    few_lower = (F.length(t) <= 120) & t.rlike(r"^[^\p{Ll}]*(?:\p{Ll}[^\p{Ll}]*){0,3}$") & t.rlike(r"(?:\p{Lu}[^\p{Lu}]*){4}")
+    two = F.left(t, F.lit(2))
+    # Most lines begin with two small letters and needn't be matched.
+    few_lower = (F.length(t) <= 120) & ~((F.lower(two) == two) & (F.upper(first) != first) & (F.upper(F.right(two, F.lit(1))) != F.right(two, F.lit(1)))) & t.rlike(r"^[^\p{Ll}]*(?:\p{Ll}[^\p{Ll}]*){0,3}$") & t.rlike(r"(?:\p{Lu}[^\p{Lu}]*){4}")
     number = (F.length(t) <= 16) & t.rlike(r"[0-9ivxlcdmIVXLCDM]") & t.rlike(_NUMBER)
     x = lines.select("line_id", F.xxhash64("work_id").alias("wk"), "line_index", F.coalesce("indent", F.lit(0)).alias("indent"), F.length(t).alias("size"), F.coalesce("blank_before", F.lit(False)).alias("blank"), few_lower.alias("caps"), number.alias("number"), t.alias("t"), last.alias("last"), first.alias("first"))
     break_mark = F.col("last").isin("-", "\u00AC", "~", "=", "\u00AD", "\u2010", "\u2011")
@@ -376,7 +378,7 @@ def _holding(wrong: pa.Array):
 
 def _texts(lines: DataFrame, judged: DataFrame) -> DataFrame:
     """line_id, text and scanned of all lines: the works that are scanned are looked up by hash."""
-    scanned = judged.where("scanned").select("wk").distinct()
+    scanned = cut_table(judged.where("scanned").select("wk").distinct())
     if scanned.count() * 16 <= BROADCAST_LIMIT:
         scanned = F.broadcast(scanned)
     return lines.where("text is not null").select("line_id", "text", F.xxhash64("work_id").alias("wk")).join(scanned.withColumn("s", F.lit(True)), "wk", "left").select("line_id", "text", F.coalesce("s", F.lit(False)).alias("scanned"))
@@ -389,7 +391,7 @@ def _whole() -> Column:
 def _misread(lines: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """line_id, raw and the line it is misread at, of the misread words of body text, broken ones as a whole; and the corrections."""
     texts = _texts(lines, judged)
-    broken = judged.where("broken and scanned").select("line_id", _whole().alias("text"), "scanned")
+    broken = cut_table(judged.where("broken and scanned").select("line_id", _whole().alias("text"), "scanned"))
     fixed = cut_table(corrections(texts.select("text", "scanned").union(broken.select("text", "scanned"))))
     size = fixed.agg(F.count(F.lit(1)), F.sum(F.octet_length("raw"))).first()
     # Signs at both ends keep the whole of a broken word from counting as half of one.
@@ -434,7 +436,7 @@ def split_words(lines: DataFrame, judged: DataFrame) -> DataFrame:
     hyphen where the text doesn't know the compound. In works that aren't scanned only compounds are parted."""
     clean = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}-]+", ""))
     head = clean(F.regexp_replace("tail", BREAK, ""))
-    asked = judged.where("broken").select("line_id", "scanned", "hyphen", F.concat(head, F.lit("-"), clean(F.col("after"))).alias("compound"))
+    asked = cut_table(judged.where("broken").select("line_id", "scanned", "hyphen", F.concat(head, F.lit("-"), clean(F.col("after"))).alias("compound")))
     compounds = asked.where("hyphen and scanned").select("compound").distinct()
     inner = r"\p{L}+(?:-\p{L}+)+"
     known = lines.where(F.col("text").contains("-") & F.col("text").rlike(r"\p{L}-\p{L}")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(inner), F.lit(0))).alias("compound")).groupBy("compound").agg(F.count(F.lit(1)).alias("n")).join(compounds, "compound", "left_semi")
