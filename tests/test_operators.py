@@ -232,3 +232,62 @@ def test_empty_tables(spark, name):
         assert lines.running_headers(empty, "work_id").count() == 0
     else:
         assert lines.islands(empty, ["work_id"], ["line_index"], F.col("text").isNotNull()).count() == 0
+
+
+def test_notes(spark):
+    from quiremill.operators import notes
+
+    t = ["Text[1] and more[2, 4].", "FOOTNOTES:", "[1] First note", "goes on.", "[Footnote 2: Second.]", "CHAPTER II", "Not a note.", "NOTES", "1. Of the second chapter", "9. Nine"]
+    df = spark.createDataFrame([("w", i, x) for i, x in enumerate(t)], "work_id string, line_index int, text string")
+    b = notes.bodies(df, "work_id")
+    assert rows(b) == [("w", 1, 1, "First note goes on."), ("w", 1, 2, "Second."), ("w", 2, 1, "Of the second chapter"), ("w", 2, 9, "Nine")]
+    m = notes.marks(df.where("line_index = 0"), ["work_id"], "text")
+    assert [r["number"] for r in m.orderBy("pos", "number").collect()] == [1, 2, 4]
+    states = {r["number"]: r["state"] for r in notes.linked(m, b.where("dump = 1"), "work_id").collect()}
+    assert states == {1: "linked", 2: "linked", 4: "no body"}
+    assert rows(notes.gaps(m, "work_id")) == [("w", 2, 1)]
+    blk = spark.createDataFrame([("w", 1, "none"), ("w", 2, "a[1]"), ("w", 3, "b[1][2]")], "work_id string, block int, text string")
+    assert rows(notes.hosts(b.where("dump = 1"), blk, "work_id")) == [("w", 1, 2), ("w", 2, 3)]
+
+
+def test_glossary_pointer(spark):
+    from quiremill.operators import notes
+
+    df = spark.createDataFrame([("See Glossary.",), ("[3] see glossary, “lute”.",), ("xem bảng chú giải: đàn",), ("See page 3",), (None,)], "b string")
+    assert [r[0] for r in df.select(notes.glossary_pointer(F.col("b"))).collect()] == ["", "lute", "đàn", None, None]
+
+
+def test_not_covered(spark):
+    from quiremill.operators import notes
+
+    e = spark.createDataFrame([("w", "old mill"), ("w", "river"), ("v", "old mill")], "work_id string, anchor string")
+    n = spark.createDataFrame([("w", "About the Old Mill here.")], "work_id string, body string")
+    assert rows(notes.not_covered(e, n, "work_id")) == [("v", "old mill"), ("w", "river")]
+
+
+def test_edition(spark):
+    from quiremill.operators import edition
+
+    text = "*** START OF THE X EBOOK Y ***\n\nCHAPTER I\n\nIt was a long won-\nder of the road to the mill.\n\nTHE OLD MILL ROAD\n\nAnd so on.\n\nTHE OLD MILL ROAD\n\nMore.\n\nTHE OLD MILL ROAD\n"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "k int, text string")
+    made = edition.editions(df, "k")
+    r = made.collect()
+    assert len(r) == 1 and r[0]["markdown"] == "CHAPTER I\n\nIt was a long wonder of the road to the mill.\n\nAnd so on.\n\nMore."
+    f = edition.fidelity(df, made, "k").first()
+    assert f["order_kept"] and f["hash_kept"] and f["sane"]
+
+
+def test_dialogue(spark):
+    from quiremill.operators import edition
+
+    t = ["HAMLET.", "To be", "or not to be.", "GHOST.", "Mark me.", "Enter the King", "HAMLET.", "I will.", "GHOST.", "CHAPTER II", "Plain."]
+    df = spark.createDataFrame([("w", i, x, False, 0) for i, x in enumerate(t)], "work_id string, line_index int, text string, blank_before boolean, indent int")
+    got = [r["role"] for r in edition.labelled(df, "work_id").orderBy("line_index").collect()]
+    assert got == ["speaker_cue", "dialogue_line", "dialogue_line", "speaker_cue", "dialogue_line", "stage_direction", "speaker_cue", "dialogue_line", "speaker_cue", "heading", "prose"]
+
+
+def test_block_errors(spark):
+    from quiremill.operators import edition
+
+    b = spark.createDataFrame([("paragraph", "x", 0), ("heading", "x", 9), ("odd", "", None), ("hr", None, None), (None, "x", 1)], "type string, text string, level int")
+    assert [r["errors"] for r in edition.block_errors(b).collect()] == [["bad level"], ["unknown type", "no text"], ["unknown type"]]
