@@ -166,7 +166,10 @@ def fit_lines(lines: DataFrame, labels: DataFrame, works: DataFrame, site: DataF
     """The classifiers of running heads and of pairs of lines."""
     some = F.broadcast(_sampled(works))
     part = lines.join(some, "work_id", "left_semi")
-    x = cut_table(_shape_columns(lines_with_shape(part, labels.join(part.select("line_id"), "line_id", "left_semi"), works.join(some, "work_id", "left_semi"), site).where("wk is not null")))
+    ids = cut_table(part.select("line_id"))
+    if ids.count() * 16 <= BROADCAST_LIMIT:
+        ids = F.broadcast(ids)
+    x = cut_table(_shape_columns(lines_with_shape(part, labels.join(ids, "line_id", "left_semi"), works.join(some, "work_id", "left_semi"), site.join(ids, "line_id", "left_semi")).where("wk is not null")))
     taught = x.where(F.col("scanned") & ~F.col("site_line") & ~F.col("is_number") & (has(CAPS) | (F.col("level") >= 1) | (F.col("indent") > 0) | (F.pmod(F.xxhash64("line_id"), F.lit(7)) == 0))).withColumn("y", F.col("repeats") & (F.col("level") == 0))
     heads = Boost(SHAPE, rounds=16).fit(*_ints(taught, SHAPE, "y"))
     p = pairs(_told(x, heads))
