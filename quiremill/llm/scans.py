@@ -3,7 +3,7 @@
 Lines are told apart by gradient-boosted classifiers: one finds running heads by their shape, taught
 by those lines that repeat the title of the work or chapter; one decides for each pair of lines of
 body text whether the paragraph goes on, taught by the parser's join_next, whose faults are too few
-and too scattered to be learnt. Both are fitted on a bounded sample of works and scored as a lookup by features.
+and too scattered to be learnt. It sees the layout only: sentences end within paragraphs as well. Both are fitted on a bounded sample of works and scored as a lookup by features.
 
 Words of scanned works that the other works don't know are looked up in their vocabulary: candidates
 come from an inverted join on character bigrams, and a third classifier ranks them by the shape of
@@ -47,7 +47,7 @@ CONFUSIONS = (
 )
 #: What stands at the end of a line in place of a hyphen.
 BREAK = r"[-\x{AC}~=\x{AD}\x{2010}\x{2011}]$"
-_NUMBER = r"(?i)^[\[(|\s.\x{2014}\x{2013}-]*(?:(?:pg|p|page|trang)\b\.?\s*)?(?:(?=[0-9lIO|oSB]{0,3}[0-9])[0-9lIO|oSB]{1,4}|(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))[\])|\s.\x{2014}\x{2013}-]*$"
+_NUMBER = r"(?i)^[\[(|\s.\x{2014}\x{2013}-]*(?:(?:pg|p|page|trang)\b\.?\s*)?(?:(?=[0-9lIO|oSB]{0,3}[0-9])[0-9lIO|oSB]{1,4}|(?-i:[lIO|]{2,3})|(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))[\])|\s.\x{2014}\x{2013}-]*$"
 _WORD = r"[\s,.;:?\x{201C}\x{201D}\"\x{AB}\x{BB}()\[\]\x{2014}\x{2013}\x{2026}'\x{2019}\x{2018}-]+"
 
 
@@ -66,7 +66,7 @@ def _bin(c: Column, *bounds: float) -> Column:
 SHAPE = ["f_caps", "f_level", "f_role", "f_indent", "f_blank", "f_digits", "f_length", "f_spaced", "f_stop"]
 #: Values of each feature.
 SHAPE_SIZES = {"f_caps": 2, "f_level": 4, "f_role": 3, "f_indent": 6, "f_blank": 2, "f_digits": 2, "f_length": 5, "f_spaced": 2, "f_stop": 2}
-BLANK, CAPS, NUMBER, DIGITS, SPACED, STOP, LOWER, BROKEN, LETTER, HYPHEN, ENDED = (1 << k for k in range(11))
+BLANK, CAPS, NUMBER, DIGITS, SPACED, STOP, BROKEN, LETTER, HYPHEN = (1 << k for k in range(9))
 
 
 def narrow(lines: DataFrame) -> DataFrame:
@@ -80,12 +80,10 @@ def narrow(lines: DataFrame) -> DataFrame:
     number = (F.length(t) <= 16) & t.rlike(r"[0-9ivxlcdmIVXLCDM]") & t.rlike(_NUMBER)
     x = lines.select("line_id", F.xxhash64("work_id").alias("wk"), "line_index", F.coalesce("indent", F.lit(0)).alias("indent"), F.length(t).alias("size"), F.coalesce("blank_before", F.lit(False)).alias("blank"), few_lower.alias("caps"), number.alias("number"), t.alias("t"), last.alias("last"), first.alias("first"))
     break_mark = F.col("last").isin("-", "\u00AC", "~", "=", "\u00AD", "\u2010", "\u2011")
-    ends = (".", "!", "?", "\u2026", "\u3002")
     bit = lambda c, b: F.when(c, b).otherwise(0)
     bits = (
         bit(F.col("blank"), BLANK) + bit(F.col("caps"), CAPS) + bit(F.col("number"), NUMBER) + bit(F.col("caps") & F.col("t").rlike(r"^[\[(]?[0-9lIO]+|[0-9lIO]+[\])]?$"), DIGITS) + bit(F.col("caps") & F.col("t").rlike(r"^(?:\S ){4}"), SPACED)
-        + bit(F.col("last").isin(".", "!", "?", ",", ";"), STOP) + bit((F.lower("first") == F.col("first")) & (F.upper("first") != F.col("first")), LOWER) + bit(break_mark, BROKEN) + bit(F.lower("first") != F.upper("first"), LETTER) + bit(F.col("last").isin("-", "\u2010", "\u2011"), HYPHEN)
-        + bit(F.col("last").isin(*ends) | (F.col("last").isin("'", '"', "\u201D", "\u2019", "\u00BB", "\u300D") & F.left(F.right("t", F.lit(2)), F.lit(1)).isin(*ends)), ENDED)
+        + bit(F.col("last").isin(".", "!", "?", ",", ";"), STOP) + bit(break_mark, BROKEN) + bit(F.lower("first") != F.upper("first"), LETTER) + bit(F.col("last").isin("-", "\u2010", "\u2011"), HYPHEN)
     )
     return x.select("line_id", "wk", "line_index", "indent", "size", bits.alias("bits"), F.when(F.col("caps") | ((F.length("t") <= 60) & F.col("blank")), letters(F.col("t"))).alias("key"), F.substring_index("t", " ", 1).alias("n_word"), F.when(break_mark, F.substring_index("t", " ", -1)).alias("tail"))
 
@@ -125,15 +123,14 @@ def _shape_columns(x: DataFrame) -> DataFrame:
     })
 
 
-PAIR = ["p_next", "p_indent", "p_blank", "p_scanned", "p_stop", "p_lower", "p_full", "p_broken"]
-PAIR_SIZES = {"p_next": 2, "p_indent": 6, "p_blank": 2, "p_scanned": 2, "p_stop": 2, "p_lower": 2, "p_full": 5, "p_broken": 2}
+PAIR = ["p_next", "p_indent", "p_blank", "p_scanned"]
+PAIR_SIZES = {"p_next": 2, "p_indent": 6, "p_blank": 2, "p_scanned": 2}
 
 
 def pairs(told: DataFrame) -> DataFrame:
     """Lines, each with the features of it and the next line that isn't furniture."""
     nxt = F.expr("lead(if(furniture, null, struct(body, indent, bits, line_index, line_id, n_word))) ignore nulls over (partition by wk order by line_index, line_id)")
-    widest = F.max(F.when(F.col("body"), F.col("size"))).over(Window.partitionBy("wk"))
-    x = told.withColumns({"nxt": nxt, "widest": widest})
+    x = told.withColumn("nxt", nxt)
     x = x.withColumns({"n_body": F.col("nxt.body"), "n_indent": F.col("nxt.indent"), "n_bits": F.col("nxt.bits"), "n_index": F.col("nxt.line_index"), "n_id": F.col("nxt.line_id"), "after": F.col("nxt.n_word")})
     n_has = lambda b: F.coalesce(F.col("n_bits").bitwiseAND(b) > 0, F.lit(False))
     return x.withColumns({
@@ -142,12 +139,8 @@ def pairs(told: DataFrame) -> DataFrame:
         # Blank lines around furniture that was taken out say nothing about the paragraph.
         "p_blank": F.when(F.col("n_index") > F.col("line_index") + 1, 0).when(F.col("n_bits").isNull(), 1).otherwise(n_has(BLANK).cast("int")),
         "p_scanned": F.col("scanned").cast("int"),
-        "p_stop": has(ENDED).cast("int"),
-        "p_lower": n_has(LOWER).cast("int"),
-        "p_full": _bin(F.col("size") / F.greatest("widest", F.lit(1)), 0.3, 0.5, 0.7, 0.85),
-        "p_broken": has(BROKEN).cast("int"),
         "n_letter": n_has(LETTER),
-    }).drop("widest", "n_bits", "n_indent", "nxt")
+    }).drop("n_bits", "n_indent", "nxt")
 
 
 def _sampled(works: DataFrame) -> DataFrame:
