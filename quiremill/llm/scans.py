@@ -176,7 +176,7 @@ def _told(x: DataFrame, heads: Boost) -> DataFrame:
     shape = heads.lookup(SHAPE_SIZES)
     head = F.col("scanned") & ~F.col("site_line") & has(CAPS) & (F.col("level") == 0) & (F.col("role") != "verse_line") & (F.col("repeats") | shape)
     x = x.withColumn("running_head", head & ~F.col("is_number")).withColumn("furniture", F.col("running_head") | F.col("is_number"))
-    return x.withColumn("body", (F.col("role") == "prose") & ~F.col("furniture") & ~F.col("site_line"))
+    return x.withColumn("body", (F.col("role") == "prose") & (F.col("size") > 0) & ~F.col("furniture") & ~F.col("site_line"))
 
 
 def judged_lines(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataFrame:
