@@ -113,3 +113,14 @@ def bind_captions(figures: pd.DataFrame, images: pd.DataFrame, scores: pd.DataFr
             used_f.add(r.figure), used_i.add(r.image)
             out.append((r.figure, r.image))
     return out
+
+
+def content_matches(titles: DataFrame, lines: DataFrame, key: str, head: int = 24) -> DataFrame:
+    """key, title and line_index: the first line of a text that equals a title or begins with its first `head` characters, all folded.
+
+    Titles and lines are joined by text and by the first `head` characters of what is longer than that, so no pair is tried in vain.
+    """
+    t = titles.select(key, "title", F.left("title", F.lit(head)).alias("h")).where("length(title) >= 4")
+    x = lines.select(key, "line_index", "line", F.left("line", F.lit(head)).alias("h"))
+    hit = t.join(x, [key, "h"]).where((F.col("line") == F.col("title")) | (F.length("title") >= head))
+    return hit.groupBy(key, "title").agg(F.min("line_index").alias("line_index"))

@@ -140,3 +140,29 @@ def locate_fold(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at = t.translate(same).find(e.translate(same))
             out.append((k, at, at + len(e) if at >= 0 else -1))
         yield pd.DataFrame(out, columns=["key", "start", "end"])
+
+
+def inherited(blocks: DataFrame, existing: DataFrame) -> DataFrame:
+    """seg_row and source_row of the translation that a new segment takes over: that of the same segment_id, else that of the same work and chapter; the last delivered of several. No match is null."""
+    by_id = existing.groupBy("segment_id").agg(F.max("seg_row").alias("same_id"))
+    by_place = existing.groupBy("work_id", "chapter").agg(F.max("seg_row").alias("same_place"))
+    found = blocks.join(by_id, "segment_id", "left").join(by_place, ["work_id", "chapter"], "left")
+    return found.select("seg_row", F.coalesce("same_id", "same_place").alias("source_row"))
+
+
+def windows(located: DataFrame, texts: DataFrame, radius: int = 110) -> DataFrame:
+    """annotation_row and context: the text around each place from `radius` characters before to as many after it; places that aren't found have none."""
+    both = located.where("at >= 0").join(texts, "segment_id")
+    start = F.greatest(F.lit(0), F.col("at") - radius)
+    return both.select("annotation_row", F.substr(F.col("text"), (start + 1).cast("int"), (F.col("at") + F.col("size") + radius - start).cast("int")).alias("context"))
+
+
+def fallback_title(chapter):
+    """A Vietnamese title for a chapter without one: its number, the name of a known part, else the text itself."""
+    s = T.strip(F.coalesce(chapter, F.lit("")))
+    token = F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9]", ""), "^(?:chapter|chap)", "")
+    number = F.when(token.rlike(r"^\d+$"), token.try_cast("int")).otherwise(T.roman_to_int(token))
+    # Names of parts.
+    named = {"preface": "Lời nói đầu", "introduction": "Dẫn nhập", "prologue": "Mở đầu", "epilogue": "Lời kết", "appendix": "Phụ lục", "bibliography": "Thư mục", "glossary": "Bảng chú giải"}
+    by_name = F.coalesce(*(F.when(token == k, F.lit(v)) for k, v in named.items()))
+    return F.when(number.isNotNull(), F.concat(F.lit("Chương "), number)).when(by_name.isNotNull(), by_name).when(s == "", "Chương").otherwise(s)

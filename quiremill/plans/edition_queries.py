@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiremill.functions import text as T
-from quiremill.operators import edition, lines, notes
+from quiremill.operators import edition, lines, matching, notes, translation
 from quiremill.plans.line_queries import labelled
 from quiremill.plans.text_queries import like, strip_sql
 from quiremill.session import table
@@ -104,3 +104,55 @@ def split_chapters(spark, d):
 def label_summary(spark, d):
     """The parser's labels by role."""
     return labelled(spark, d).groupBy("role", "level", F.coalesce("source", F.lit("none")).alias("source")).agg(F.count(F.lit(1)).alias("lines"), F.count_if("join_next").alias("joined"), F.count_if(F.col("confidence").isNull()).alias("unsure"))
+
+
+@query("""with n as (select * from segments where seg_row % 2 = 1), o as (select * from segments where seg_row % 2 = 0), i as (select segment_id, max(seg_row) as a from o group by 1), p as (select work_id, chapter, max(seg_row) as b from o group by 1, 2)
+  select n.seg_row, coalesce(a, b) as source_row from n left join i using (segment_id) left join p on p.work_id = n.work_id and p.chapter = n.chapter""")
+def inherit_translations(spark, d):
+    """What odd rows of segments take over from even ones, as a later delivery would from an earlier one."""
+    s = table(spark, d, "segments")
+    return translation.inherited(s.where("seg_row % 2 = 1").select("seg_row", "segment_id", "work_id", "chapter"), s.where("seg_row % 2 = 0"))
+
+
+@query("""with c as (select * from segments qualify row_number() over (partition by segment_id order by arrived_at desc, seg_row desc) = 1), l as (select annotation_row, length(anchor_text) as size, instr(source_text, anchor_text) - 1 as pos, source_text from annotations join c using (segment_id) where length(coalesce(anchor_text, '')) > 0)
+  select annotation_row, substr(source_text, greatest(0, pos - 110) + 1, pos + size + 110 - greatest(0, pos - 110)) as context from l where pos >= 0""")
+def span_windows(spark, d):
+    """What stands around each anchor."""
+    notes_, segs = table(spark, d, "annotations"), table(spark, d, "segments")
+    at = translation.located_anchors(notes_, segs).join(notes_.select("annotation_row", "segment_id", F.length("anchor_text").alias("size")), "annotation_row")
+    return translation.windows(at, translation.current(segs).select("segment_id", F.col("source_text").alias("text")))
+
+
+@query("select distinct chapter, case when regexp_matches(chapter, '^\\d+$') then 'Chương ' || cast(cast(chapter as int) as varchar) else chapter end as title from segments where chapter is not null")
+def title_fallback(spark, d):
+    """Titles of chapters that have none."""
+    return table(spark, d, "segments").where("chapter is not null").select("chapter").distinct().select("chapter", translation.fallback_title(F.col("chapter")).alias("title"))
+
+
+@query("select lower(term_en) as term, max(term_vi) as rendering, count(*) as renderings from glossary group by 1")
+def glossary_merge(spark, d):
+    """One entry for each term."""
+    return table(spark, d, "glossary").groupBy(F.lower("term_en").alias("term")).agg(F.max("term_vi").alias("rendering"), F.count(F.lit(1)).alias("renderings"))
+
+
+@query("select work_id, count(*) as deliveries, count(distinct segment_id) as segments, count(*) filter (where status = 'ok') as ok, max_by(seg_row, (updated_at, seg_row)) as latest from segments group by 1")
+def project_rollup(spark, d):
+    """Segments of each work, and the last that was touched."""
+    return table(spark, d, "segments").groupBy("work_id").agg(F.count(F.lit(1)).alias("deliveries"), F.count_distinct("segment_id").alias("segments"), F.count_if(F.col("status") == "ok").alias("ok"), F.max_by("seg_row", F.struct("updated_at", "seg_row")).alias("latest"))
+
+
+@query(r"""with t as (select distinct work_id, trim(regexp_replace(lower(work), '[^a-z0-9]+', ' ', 'g')) as title from works where work is not null), l as (select work_id, line_index, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as line from text_lines)
+  select t.work_id, title, min(line_index) as line_index from t join l on l.work_id = t.work_id and left(title, 24) = left(line, 24) where length(title) >= 4 and (line = title or length(title) >= 24) group by 1, 2""")
+def content_match(spark, d):
+    """The first line of each work that repeats its title or begins as it does."""
+    fold = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    titles = table(spark, d, "works").where("work is not null").select("work_id", fold("work").alias("title")).distinct()
+    return matching.content_matches(titles, table(spark, d, "text_lines").select("work_id", "line_index", fold("text").alias("line")), "work_id")
+
+
+@query("""with o as (select id, min_by(kind, annotation_row) as decided from annotations group by 1 having count(*) > 1) select annotation_row, coalesce(decided, 'pending') as decision from annotations left join o using (id)""")
+def decision_carry_over(spark, d):
+    """Annotations with the decision on an earlier delivery of theirs; the kind stands in for it, as the tables hold none."""
+    a = table(spark, d, "annotations")
+    earlier = a.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min_by("kind", "annotation_row").alias("decided")).where("n > 1")
+    return a.join(earlier, "id", "left").select("annotation_row", F.coalesce("decided", F.lit("pending")).alias("decision"))

@@ -291,3 +291,14 @@ def test_block_errors(spark):
 
     b = spark.createDataFrame([("paragraph", "x", 0), ("heading", "x", 9), ("odd", "", None), ("hr", None, None), (None, "x", 1)], "type string, text string, level int")
     assert [r["errors"] for r in edition.block_errors(b).collect()] == [["bad level"], ["unknown type", "no text"], ["unknown type"]]
+
+
+def test_fallback_title(spark):
+    df = spark.createDataFrame([("Chapter IV",), ("7",), ("Preface",), ("The Mill",), ("",), (None,)], "c string")
+    assert [r[0] for r in df.select(translation.fallback_title(F.col("c"))).collect()] == ["Chương 4", "Chương 7", "Lời nói đầu", "The Mill", "Chương", "Chương"]
+
+
+def test_content_matches(spark):
+    t = spark.createDataFrame([("w", "the old mill"), ("w", "a very long title of the old mill road")], "k string, title string")
+    x = spark.createDataFrame([("w", 0, "the old mill road"), ("w", 1, "the old mill"), ("w", 2, "a very long title of the mill and more"), ("v", 0, "the old mill")], "k string, line_index int, line string")
+    assert rows(matching.content_matches(t, x, "k")) == [("w", "a very long title of the old mill road", 2), ("w", "the old mill", 1)]
