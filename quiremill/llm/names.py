@@ -1,8 +1,9 @@
 """Spellings of one name (problem 3): a metric join of names by their tokens.
 
 Names are taken apart into tokens without accents, case, titles and marks of the typist. Two names
-can only be the same when they share an anchor, one of their rarer tokens, up to one edit of the
-Damerau-Levenshtein metric. That radius join is a partition of the metric space: the pivots of a
+can only be the same when they share an anchor, one of their tokens or, for titles and bodies, all
+of them joined, up to one edit of the Damerau-Levenshtein metric; however many names have a token,
+it stays an anchor, and its names are parted by their other words or the initials of those. That radius join is a partition of the metric space: the pivots of a
 token are the strings that it reaches by leaving out at most RADIUS letters, and tokens within
 RADIUS edits of each other have a pivot in common, so a token belongs to the cells of its pivots,
 as many as it has letters and one, however many tokens there are. Inside a cell the true metric
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from quiremill.session import cut
 
 RADIUS = 1
-#: Tokens in more spellings than this are no anchors of spellings that have a rarer one.
-HOT = 50
+#: Stands before the joined words of a title or body, which are a token of their own.
+JOINED = "==="
 
 # Short forms of given names.
 NICKNAMES = {
@@ -235,17 +236,26 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for field, value in zip(b["field_name"], b["name"]):
             kind, part, people = parse(field, value)
+            head = f"{kind}/{len(people)}/{part}/"
             for p in people:
-                long = {w.rstrip(".") for w in p if not _short(w)}
-                for w in long:
+                long = [(i, w.rstrip(".")) for i, w in enumerate(p) if not _short(w)]
+                for i, w in long:
+                    others = [v for k, v in enumerate(p) if k != i]
+                    if kind != "people":
+                        # A word that costs an edit is an anchor, so the others are equal or, where one has a dot, begin alike.
+                        dotted = any(v.endswith(".") for v in others)
+                        rows.append((field, value, w, head + "=" + " ".join(sorted(v.rstrip(".") for v in others)), True))
+                        rows.append((field, value, w, head + "".join(sorted(v[0] for v in others)), dotted))
+                        continue
                     # Names of people are kept apart by the initials that the given name can have.
-                    others = {g[0] for v in p if v.rstrip(".") != w for g in _given(v)} if kind == "people" else set()
-                    rows.extend((field, value, w, f"{kind}/{len(people)}/{part}/{o}") for o in (others or {""}))
-                if kind == "people" and len(people) > 1:
-                    rows.extend((field, value, w, f"{kind}/{len(people)}/{part}/*") for w in long)
-                if not long and p:
-                    rows.append((field, value, "".join(p), f"{kind}/{len(people)}/{part}/"))
-        yield pd.DataFrame(rows, columns=["field_name", "name", "token", "sort"])
+                    rows.extend((field, value, w, head + o, True) for o in ({g[0] for v in others for g in _given(v)} or {""}))
+                    if len(people) > 1:
+                        rows.append((field, value, w, head + "*", True))
+                if kind != "people" and p:
+                    rows.append((field, value, JOINED + "".join(p), head, True))  # one word typed as two
+                elif not long and p:
+                    rows.append((field, value, "".join(p), head, True))
+        yield pd.DataFrame(rows, columns=["field_name", "name", "token", "sort", "asks"])
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,15 +292,12 @@ def linked_names(names: DataFrame) -> DataFrame:
     and names without a letter or digit match nothing; equal names count once.
     """
     distinct = names.select("field_name", "name").where(F.col("name").rlike(r"[\p{L}\p{N}]")).distinct()
-    tokens = cut(distinct.mapInPandas(_tokens, "field_name string, name string, token string, sort string"))
-    count = tokens.groupBy("field_name", "token").agg(F.count_distinct("name").alias("n"))
-    counted = tokens.join(count, ["field_name", "token"])
-    rarest = counted.groupBy("field_name", "name").agg(F.min("n").alias("least"))
-    anchors = cut(counted.join(rarest, ["field_name", "name"]).where((F.col("n") <= HOT) | (F.col("least") > HOT)).select("field_name", "name", "token", "sort").distinct())
+    anchors = cut(distinct.mapInPandas(_tokens, "field_name string, name string, token string, sort string, asks boolean").withColumn("sort", F.xxhash64("sort")).distinct())
     near = token_pairs(anchors.select("field_name", "token").distinct())
-    left = anchors.join(near, ["field_name", "token"]).select("field_name", F.col("name").alias("name_a"), F.col("other").alias("token"), "sort")
-    right = anchors.select("field_name", F.col("name").alias("name_b"), "token", "sort")
-    candidates = left.join(right, ["field_name", "token", "sort"]).where("name_a < name_b").select("field_name", "name_a", "name_b").distinct()
+    # Either name may be the one that asks.
+    left = anchors.where("asks").join(near, ["field_name", "token"]).select("field_name", F.col("name").alias("x"), F.col("other").alias("token"), "sort")
+    right = anchors.select("field_name", F.col("name").alias("y"), "token", "sort")
+    candidates = left.join(right, ["field_name", "token", "sort"]).where("x <> y").select("field_name", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
     shape = "field_name string, name_a string, name_b string"
     direct = cut(candidates.mapInPandas(_same(RADIUS), shape))
     both = direct.union(direct.select("field_name", F.col("name_b"), F.col("name_a")))

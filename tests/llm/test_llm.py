@@ -238,6 +238,18 @@ def test_linked_equals_all_pairs(spark, data):
     assert names.linked_names(df.limit(0)).count() == 0
 
 
+def test_names_with_frequent_words(spark):
+    given = ["E.", "Elizabeth", "Betty"] + [f"{a}{b}rathan" for a in "BCDFGHKLMN" for b in "aeiouy"]
+    people = [f"{g} Blackwood" for g in given]
+    titles = [f"History of the {a}{b}zogar" for a in "BCDFGHKLMN" for b in "aeiouy"] + ["History of the Millhouse", "History of the Mill House", "History of the Winterbourne", "History of the Wntbrn."]
+    df = spark.createDataFrame([("translator", n) for n in people] + [("work", n) for n in titles], "field_name string, name string")
+    got = set(rows(names.linked_names(df)))
+    assert {("translator", a, b) for a, b in (("Betty Blackwood", "E. Blackwood"), ("Betty Blackwood", "Elizabeth Blackwood"), ("E. Blackwood", "Elizabeth Blackwood"))} <= got
+    assert {("work", "History of the Mill House", "History of the Millhouse"), ("work", "History of the Winterbourne", "History of the Wntbrn.")} <= got
+    direct = {(f, a, b) for f, vals in (("translator", people), ("work", titles)) for a in vals for b in vals if a < b and names.same(f, a, b)}
+    assert direct <= got
+
+
 def test_distance_is_a_metric():
     rng = random.Random(7)
     ws = ["".join(rng.choices("abc", k=rng.randint(0, 5))) for _ in range(24)]
