@@ -124,3 +124,15 @@ def content_matches(titles: DataFrame, lines: DataFrame, key: str, head: int = 2
     x = lines.select(key, "line_index", "line", F.left("line", F.lit(head)).alias("h"))
     hit = t.join(x, [key, "h"]).where((F.col("line") == F.col("title")) | (F.length("title") >= head))
     return hit.groupBy(key, "title").agg(F.min("line_index").alias("line_index"))
+
+
+def content_mentions(titles: DataFrame, lines: DataFrame, key: str, head: int = 24) -> DataFrame:
+    """key, title and line_index: the first line of a text that equals a title or, for titles of 8 letters on, holds it, is held by it or begins with its first `head` characters, all folded.
+
+    Lines meet the titles of their own text only; lines without letters and digits match nothing.
+    """
+    t, x = titles.where("title <> ''").select(key, "title").distinct(), lines.where("line <> ''").select(key, "line_index", "line")
+    title, line = F.col("title"), F.col("line")
+    near = F.contains(line, title) | F.contains(title, line) | F.startswith(line, F.left(title, F.lit(head)))
+    hit = x.join(t, key).where((line == title) | ((F.length(title) >= 8) & near))
+    return hit.groupBy(key, "title").agg(F.min("line_index").alias("line_index"))

@@ -150,6 +150,15 @@ def content_match(spark, d):
     return matching.content_matches(titles, table(spark, d, "text_lines").select("work_id", "line_index", fold("text").alias("line")), "work_id")
 
 
+@query(r"""with t as (select distinct work_id, trim(regexp_replace(lower(work), '[^a-z0-9]+', ' ', 'g')) as title from works where work is not null), l as (select work_id, line_index, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as line from text_lines where length(text) <= 160)
+  select t.work_id, title, min(line_index) as line_index from t join l on l.work_id = t.work_id where title <> '' and line <> '' and (line = title or (length(title) >= 8 and (contains(line, title) or contains(title, line) or starts_with(line, left(title, 24))))) group by 1, 2""")
+def content_match_whole(spark, d):
+    """The first line of each work that equals its title, holds it, is held by it or begins as it does; lines of 160 characters at most."""
+    fold = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    titles = table(spark, d, "works").where("work is not null").select("work_id", fold("work").alias("title"))
+    return matching.content_mentions(titles, table(spark, d, "text_lines").where("length(text) <= 160").select("work_id", "line_index", fold("text").alias("line")), "work_id")
+
+
 @query("""with o as (select id, min_by(kind, annotation_row) as decided from annotations group by 1 having count(*) > 1) select annotation_row, coalesce(decided, 'pending') as decision from annotations left join o using (id)""")
 def decision_carry_over(spark, d):
     """Annotations with the decision on an earlier delivery of theirs; the kind stands in for it, as the tables hold none."""

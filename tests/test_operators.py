@@ -302,3 +302,9 @@ def test_content_matches(spark):
     t = spark.createDataFrame([("w", "the old mill"), ("w", "a very long title of the old mill road")], "k string, title string")
     x = spark.createDataFrame([("w", 0, "the old mill road"), ("w", 1, "the old mill"), ("w", 2, "a very long title of the mill and more"), ("v", 0, "the old mill")], "k string, line_index int, line string")
     assert rows(matching.content_matches(t, x, "k")) == [("w", "a very long title of the old mill road", 2), ("w", "the old mill", 1)]
+
+
+def test_content_mentions(spark):
+    t = spark.createDataFrame([("w", "the old mill"), ("w", "a very long title of the old mill road"), ("w", "mill"), ("w", "winter harbour")], "k string, title string")
+    x = spark.createDataFrame([("w", 0, ""), ("w", 1, "17 the old mill 18"), ("w", 2, "a very long title of the mill and more"), ("w", 3, "mills"), ("w", 4, "winter"), ("v", 0, "the old mill"), ("w", 5, None)], "k string, line_index int, line string")
+    assert rows(matching.content_mentions(t, x, "k")) == [("w", "a very long title of the old mill road", 2), ("w", "the old mill", 1), ("w", "winter harbour", 4)]
