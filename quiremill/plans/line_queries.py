@@ -249,3 +249,9 @@ def heading_candidates(spark, d):
 
     n = F.row_number().over(Window.partitionBy("work_id").orderBy(F.desc_nulls_last("confidence"), F.desc("line_index")))
     return labelled(spark, d).where("role = 'heading'").withColumn("n", n).where("n <= 10").groupBy("work_id").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+@query("""select work_id, line_index, confidence from text_lines join line_labels using (line_id) where role = 'heading'""")
+def heading_candidate_lines(spark, d):
+    """All candidates for headings with their confidence, however many a work has."""
+    return labelled(spark, d).where("role = 'heading'").select("work_id", "line_index", "confidence")

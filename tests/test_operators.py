@@ -308,3 +308,11 @@ def test_content_mentions(spark):
     t = spark.createDataFrame([("w", "the old mill"), ("w", "a very long title of the old mill road"), ("w", "mill"), ("w", "winter harbour")], "k string, title string")
     x = spark.createDataFrame([("w", 0, ""), ("w", 1, "17 the old mill 18"), ("w", 2, "a very long title of the mill and more"), ("w", 3, "mills"), ("w", 4, "winter"), ("v", 0, "the old mill"), ("w", 5, None)], "k string, line_index int, line string")
     assert rows(matching.content_mentions(t, x, "k")) == [("w", "a very long title of the old mill road", 2), ("w", "the old mill", 1), ("w", "winter harbour", 4)]
+
+
+def test_heading_candidate_lines_are_not_capped(spark, tmp_path):
+    from quiremill.plans import line_queries
+
+    spark.createDataFrame([(i, "w", i, f"CHAPTER {i}", None) for i in range(15)], "line_id bigint, work_id string, line_index int, text string, gutenberg_id string").write.parquet(f"{tmp_path}/text_lines.parquet")
+    spark.createDataFrame([(i, "heading" if i < 12 else "prose", i / 20) for i in range(15)], "line_id bigint, role string, confidence double").write.parquet(f"{tmp_path}/line_labels.parquet")
+    assert sorted(tuple(r) for r in line_queries.heading_candidate_lines(spark, str(tmp_path)).collect()) == [("w", i, i / 20) for i in range(12)]
