@@ -260,7 +260,7 @@ def align(src: list[str], tgt: list[str], lexicon: Lexicon) -> list[tuple[int, i
     # A part of a span needs no marks, but those that it has must be the span's.
     fits_s, fits_t = shared | ~s_marks.any(axis=1)[:, None], shared | ~t_marks.any(axis=1)[None]
     spans_s, spans_t = {j: [i] for i, j in pairs}, {i: [j] for i, j in pairs}
-    for _ in range(3):  # merged spans grow by a sentence at a time
+    while True:  # merged spans grow by a sentence at a time, until no round adds one
         taken_s, taken_t = {i for i, _ in pairs}, {j for _, j in pairs}
         free_s, free_t = [i for i in range(len(src)) if i not in taken_s], [j for j in range(len(tgt)) if j not in taken_t]
         more = []

@@ -282,6 +282,13 @@ def test_sentences():
     assert bitext.sentences("One. Two! Three?\n\nFour… five") == ["One.", "Two!", "Three?", "Four…", "five"] and bitext.sentences("  ") == []
 
 
+def test_spans_grow_to_their_end():
+    none = bitext.Lexicon(pd.DataFrame({"e": [None], "v": [None], "n": [1.0]}))
+    named = ["Aldern", "Bostwick", "Corvane", "Dunmore", "Elswick", "Farrow"]
+    assert bitext.align([" ".join(named) + "."], [f"{w}." for w in named], none) == [(0, j) for j in range(6)]
+    assert bitext.align([f"{w}." for w in named], [" ".join(named) + "."], none) == [(i, 0) for i in range(6)]
+
+
 def test_alignment_keeps_anchors(spark, data):
     got = {}
     for r in queries.p2_found(spark, data.replace("sf0.001", "sf0.01")).collect():
