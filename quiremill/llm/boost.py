@@ -17,17 +17,18 @@ class Boost:
         self.names, self.bins, self.rounds, self.depth, self.rate, self.least = names, bins, rounds, depth, rate, least
         self.base, self.trees = 0.0, []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boost:
-        """Without both classes the model gives the one it saw."""
-        n = len(y)
-        if not n:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boost:
+        """weight: how many rows each one stands for. Without both classes the model gives the one it saw."""
+        if not len(y):
             return self
-        p = (y.sum() + 0.5) / (n + 1)
+        w = np.ones(len(y)) if weight is None else weight
+        n, ones = w.sum(), (y * w).sum()
+        p = (ones + 0.5) / (n + 1)
         self.base = float(np.log(p / (1 - p)))
-        score = np.full(n, self.base)
-        for _ in range(self.rounds if 0 < y.sum() < n else 0):
+        score = np.full(len(y), self.base)
+        for _ in range(self.rounds if 0 < ones < n else 0):
             q = 1 / (1 + np.exp(-score))
-            tree, out = self._tree(x, y - q, np.maximum(q * (1 - q), 1e-6))
+            tree, out = self._tree(x, w * (y - q), w * np.maximum(q * (1 - q), 1e-6))
             self.trees.append(tree)
             score += out
         return self
@@ -72,14 +73,17 @@ class Boost:
         return 1 / (1 + np.exp(-self.score(x)))
 
     def lookup(self, sizes: dict[str, int]) -> Column:
-        """Whether the score is positive, as a lookup: one byte for every combination of the features, each below its size.
+        """Whether the score is positive, as a lookup by the columns of the features' names, each below its size."""
+        at = F.lit(0)
+        for name in self.names:
+            at = at * sizes[name] + F.greatest(F.lit(0), F.least(F.col(name), F.lit(sizes[name] - 1)))
+        return self.looked_up(at, sizes)
+
+    def looked_up(self, at: Column, sizes: dict[str, int]) -> Column:
+        """The same by the number of the combination of features: one byte for every one.
 
         A nest of conditions for all trees would be too long a method for the JVM to compile.
         """
-        shape = [sizes[n] for n in self.names]
-        grid = np.stack([g.ravel() for g in np.meshgrid(*(np.arange(n) for n in shape), indexing="ij")], axis=1)
+        grid = np.stack([g.ravel() for g in np.meshgrid(*(np.arange(sizes[n]) for n in self.names), indexing="ij")], axis=1)
         table = (self.score(grid) > 0).astype(np.uint8).tobytes()
-        at = F.lit(0)
-        for name, n in zip(self.names, shape):
-            at = at * n + F.greatest(F.lit(0), F.least(F.col(name), F.lit(n - 1)))
         return F.substr(F.lit(bytearray(table)), (at + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\x01"))

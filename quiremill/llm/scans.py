@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import random
 import re
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,16 +28,20 @@ from pyspark.sql import functions as F
 from quiremill.llm.boost import Boost
 from quiremill.llm.lookalikes import LOOKALIKES, plain
 from quiremill.llm.sitelines import found_lines, letters
-from quiremill.session import BROADCAST_LIMIT, ensure_checkpoint_dir
+from quiremill.llm import words as W
+from quiremill.llm.tables import Bitmap, bitmap, cut_table
+from quiremill.session import BROADCAST_LIMIT
 
-#: Works that the classifiers of lines are fitted on, about, and lines, at most.
-SAMPLE_WORKS, SAMPLE_LINES = 1500, 200_000
+#: Works that the classifiers of lines are fitted on, about.
+SAMPLE_WORKS = 1500
 #: Words that the ranking is fitted on, at most.
 SAMPLE_WORDS = 3000
 #: Times that a word must occur in works that weren't scanned to be a candidate, and with a capital to be one for words with a capital.
 KNOWN, KNOWN_CAPITAL = 3, 3
-#: Share of bigrams that a word and its candidate must have in common.
-OVERLAP = 0.24
+#: Edits between a word and its candidate, at most: two confusions of a letter with two. Short words can have one.
+EDITS, EDITS_SHORT, SHORT = 4, 2, 6
+#: Bigrams that two confusions can destroy, and one; a candidate has one more in the index, its rarest, so that one of them is left.
+DESTROYED, DESTROYED_SHORT = 6, 3
 
 # Letters that scanners take for others or for signs.
 CONFUSIONS = (
@@ -51,14 +54,6 @@ _NUMBER = r"(?i)^[\[(|\s.\x{2014}\x{2013}-]*(?:(?:pg|p|page|trang)\b\.?\s*)?(?:(
 _WORD = r"[\s,.;:?\x{201C}\x{201D}\"\x{AB}\x{BB}()\[\]\x{2014}\x{2013}\x{2026}'\x{2019}\x{2018}-]+"
 
 
-def cut_table(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared checkpoint folder and read it: compressed, and safe from lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _bin(c: Column, *bounds: float) -> Column:
     return sum((F.when(c > b, 1).otherwise(0) for b in bounds), F.lit(0))
 
@@ -66,60 +61,94 @@ def _bin(c: Column, *bounds: float) -> Column:
 SHAPE = ["f_caps", "f_level", "f_role", "f_indent", "f_blank", "f_digits", "f_length", "f_spaced", "f_stop"]
 #: Values of each feature.
 SHAPE_SIZES = {"f_caps": 2, "f_level": 4, "f_role": 3, "f_indent": 6, "f_blank": 2, "f_digits": 2, "f_length": 5, "f_spaced": 2, "f_stop": 2}
-BLANK, CAPS, NUMBER, DIGITS, SPACED, STOP, BROKEN, LETTER, HYPHEN = (1 << k for k in range(9))
+#: Bits of a line's pack, and where its other numbers begin: indent (8 bits), size (12), line_index (31). The order of packs is that of the lines.
+BLANK, CAPS, NUMBER, DIGITS, SPACED, STOP, BROKEN, LETTER, HYPHEN, BODY = (1 << k for k in range(10))
+INDENT, SIZE, INDEX = 10, 18, 30
+#: Between the first word of a line and the last one.
+GAP = "\x01"
 
 
 def narrow(lines: DataFrame) -> DataFrame:
-    """What the next steps need of each line, taken where it is read, so that texts are never shuffled:
-    line_id, wk (hash of the work), line_index, indent, size, bits, and where it matters the letters, the first and the last word."""
+    """What the next steps need of each line, taken where it is read, so that texts are never shuffled: line_id, wk (hash of
+    the work), pack, key (letters, where they matter) and edge (the first word and, where it may be broken, the last one).
+
+    Lines without a work have none: no paragraph can be told for them.
+    """
     t = F.coalesce(F.col("text"), F.lit(""))
     last, first = F.right(t, F.lit(1)), F.left(t, F.lit(1))
     two = F.left(t, F.lit(2))
     # Most lines begin with two small letters and needn't be matched.
     few_lower = (F.length(t) <= 120) & ~((F.lower(two) == two) & (F.upper(first) != first) & (F.upper(F.right(two, F.lit(1))) != F.right(two, F.lit(1)))) & t.rlike(r"^[^\p{Ll}]*(?:\p{Ll}[^\p{Ll}]*){0,3}$") & t.rlike(r"(?:\p{Lu}[^\p{Lu}]*){4}")
     number = (F.length(t) <= 16) & t.rlike(r"[0-9ivxlcdmIVXLCDM]") & t.rlike(_NUMBER)
-    x = lines.select("line_id", F.xxhash64("work_id").alias("wk"), "line_index", F.coalesce("indent", F.lit(0)).alias("indent"), F.length(t).alias("size"), F.coalesce("blank_before", F.lit(False)).alias("blank"), few_lower.alias("caps"), number.alias("number"), t.alias("t"), last.alias("last"), first.alias("first"))
+    clip = lambda c, most: F.greatest(F.lit(0), F.least(F.coalesce(c, F.lit(0)), F.lit(most))).cast("bigint")
+    x = lines.where("work_id is not null").select(
+        "line_id", F.xxhash64("work_id").alias("wk"), F.shiftleft(clip(F.col("line_index"), (1 << 31) - 1), INDEX).alias("index"), F.shiftleft(clip(F.col("indent"), 255), INDENT).alias("indent"), F.shiftleft(clip(F.length(t), 4095), SIZE).alias("size"),
+        F.coalesce("blank_before", F.lit(False)).alias("blank"), few_lower.alias("caps"), number.alias("number"), t.alias("t"), last.alias("last"), first.alias("first"),
+    )
     break_mark = F.col("last").isin("-", "\u00AC", "~", "=", "\u00AD", "\u2010", "\u2011")
     bit = lambda c, b: F.when(c, b).otherwise(0)
     bits = (
         bit(F.col("blank"), BLANK) + bit(F.col("caps"), CAPS) + bit(F.col("number"), NUMBER) + bit(F.col("caps") & F.col("t").rlike(r"^[\[(]?[0-9lIO]+|[0-9lIO]+[\])]?$"), DIGITS) + bit(F.col("caps") & F.col("t").rlike(r"^(?:\S ){4}"), SPACED)
         + bit(F.col("last").isin(".", "!", "?", ",", ";"), STOP) + bit(break_mark, BROKEN) + bit(F.lower("first") != F.upper("first"), LETTER) + bit(F.col("last").isin("-", "\u2010", "\u2011"), HYPHEN)
     )
-    return x.select("line_id", "wk", "line_index", "indent", "size", bits.alias("bits"), F.when(F.col("caps") | ((F.length("t") <= 60) & F.col("blank")), letters(F.col("t"))).alias("key"), F.substring_index("t", " ", 1).alias("n_word"), F.when(break_mark, F.substring_index("t", " ", -1)).alias("tail"))
+    word = F.substring_index("t", " ", 1)
+    edge = F.when(break_mark, F.concat(word, F.lit(GAP), F.substring_index("t", " ", -1))).otherwise(word)
+    return x.select("line_id", "wk", (F.col("index") + F.col("size") + F.col("indent") + bits).alias("pack"), F.when(F.col("caps") | ((F.length("t") <= 60) & F.col("blank")), letters(F.col("t"))).alias("key"), edge.alias("edge"))
+
+
+def _part(pack: Column, begin: int, bits: int) -> Column:
+    return F.shiftright(pack, begin).bitwiseAND((1 << bits) - 1).cast("int")
+
+
+def indent(pack: Column) -> Column:
+    return _part(pack, INDENT, 8)
 
 
-def has(bit: int) -> Column:
-    return F.col("bits").bitwiseAND(bit) > 0
+def size(pack: Column) -> Column:
+    return _part(pack, SIZE, 12)
+
+
+def index(pack: Column) -> Column:
+    return F.shiftright(pack, INDEX).cast("int")
+
+
+def has(bit: int, pack: Column | None = None) -> Column:
+    return (F.col("pack") if pack is None else pack).bitwiseAND(bit) > 0
+
+
+def _order() -> Window:
+    return Window.partitionBy("wk").orderBy("pack", "line_id")
 
 
 def lines_with_shape(lines: DataFrame, labels: DataFrame, works: DataFrame, site: DataFrame) -> DataFrame:
-    """Narrow lines with their labels, the features of their shape, their likeness to titles, and whether the work is scanned."""
+    """Narrow lines with their labels, their likeness to titles, and whether the work is scanned."""
     title = works.where("work_id is not null").groupBy(F.xxhash64("work_id").alias("wk")).agg(letters(F.max_by(F.coalesce("work", F.lit("")), F.struct("ingested_at", "work_row"))).alias("title"))
     # A label in one number, so that labels are hashed, not sorted: role, level, and whether the next line is joined.
     role = F.when(F.col("role") == "heading", 1).when(F.col("role") == "verse_line", 2).when(F.col("role") == "prose", 0).when(F.col("role").isNull(), 0).otherwise(3)
     packed = role * 1024 + F.greatest(F.lit(0), F.least(F.coalesce("level", F.lit(0)), F.lit(200))) * 4 + F.when(F.col("join_next"), 2).when(F.col("join_next").isNotNull(), 1).otherwise(0)
-    label = labels.groupBy("line_id").agg(F.max(packed.cast("bigint")).alias("l"))
-    code = F.floor(F.col("l") / 1024)
-    label = label.select("line_id", F.when(code == 1, "heading").when(code == 2, "verse_line").when(code == 0, "prose").otherwise("other").alias("role"), (F.floor(F.col("l") / 4) % 256).cast("int").alias("level"), F.when(F.col("l") % 4 == 2, True).when(F.col("l") % 4 == 1, False).alias("join_next"))
-    x = narrow(lines).join(label, "line_id", "left").withColumns({"role": F.coalesce("role", F.lit("prose")), "level": F.coalesce("level", F.lit(0))})
-    x = x.join(site.withColumn("site_line", F.lit(True)), "line_id", "left").withColumn("site_line", F.coalesce("site_line", F.lit(False)))
-    x = x.withColumn("key", F.when(has(CAPS) | (F.col("role") == "heading"), F.col("key"))).join(title, "wk", "left")
-    by = Window.partitionBy("wk")
+    label = labels.groupBy("line_id").agg(F.max(packed.cast("int")).alias("label"))
+    x = narrow(lines).join(label.hint("shuffle_hash"), "line_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    x = x.join(site.select("line_id", F.lit(True).alias("site_line")).hint("shuffle_hash"), "line_id", "left").withColumn("site_line", F.coalesce("site_line", F.lit(False)))
+    heading = F.col("label").bitwiseAND(3072) == 1024
+    x = x.withColumn("key", F.when(has(CAPS) | heading, F.col("key"))).join(title.hint("shuffle_hash"), "wk", "left")
+    x = x.withColumns({"role": F.shiftright("label", 10), "level": F.shiftright("label", 2).bitwiseAND(255)})
     # A work is scanned when its paragraphs are indented.
-    x = x.withColumn("scanned", F.max(((F.col("role") == "prose") & F.col("indent").between(2, 4) & ~has(CAPS) & (F.col("size") > 30)).cast("int")).over(by) == 1)
-    x = x.withColumn("is_number", F.col("scanned") & has(NUMBER) & (has(BLANK) | (F.col("indent") > 0)) & (F.col("level") == 0))
-    real = (F.col("role") == "heading") & (F.col("level") >= 1)
-    head = F.last(F.when(real & (F.col("level") >= 2), F.col("key")), ignorenulls=True).over(by.orderBy("line_index", "line_id").rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumn("head", head)
+    paragraph = (F.col("role") == 0) & indent(F.col("pack")).between(2, 4) & ~has(CAPS) & (size(F.col("pack")) > 30)
+    scanned = F.max(paragraph.cast("int")).over(_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == 1
+    head = F.last(F.when((F.col("role") == 1) & (F.col("level") >= 2), F.col("key")), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumns({"scanned": scanned, "head": head})
+    x = x.withColumn("is_number", F.col("scanned") & has(NUMBER) & (has(BLANK) | (indent(F.col("pack")) > 0)) & (F.col("level") == 0))
     near = lambda other: F.when(has(CAPS) & F.col("key").isNotNull() & (F.length(other) >= 4), F.levenshtein("key", other) <= F.greatest(F.length("key"), F.length(other)) * 0.2).otherwise(False)
     x = x.withColumn("repeats", F.coalesce(near(F.col("title")) | near(F.col("head")), F.lit(False)))
-    return x.drop("title", "head", "key")
+    join_next = F.when(F.col("label").bitwiseAND(3) == 2, True).when(F.col("label").bitwiseAND(3) == 1, False)
+    return x.select("line_id", "wk", "pack", "edge", "role", "level", join_next.alias("join_next"), "site_line", "scanned", "is_number", "repeats")
 
 
 def _shape_columns(x: DataFrame) -> DataFrame:
+    p = F.col("pack")
     return x.withColumns({
-        "f_caps": has(CAPS).cast("int"), "f_level": F.least("level", F.lit(3)), "f_role": F.when(F.col("role") == "heading", 1).when(F.col("role") == "verse_line", 2).otherwise(0), "f_indent": _bin(F.col("indent"), 0, 2, 3, 4, 8),
-        "f_blank": has(BLANK).cast("int"), "f_digits": has(DIGITS).cast("int"), "f_length": _bin(F.col("size"), 15, 30, 50, 75), "f_spaced": has(SPACED).cast("int"), "f_stop": has(STOP).cast("int"),
+        "f_caps": has(CAPS).cast("int"), "f_level": F.least("level", F.lit(3)), "f_role": F.when(F.col("role").isin(1, 2), F.col("role")).otherwise(0), "f_indent": _bin(indent(p), 0, 2, 3, 4, 8),
+        "f_blank": has(BLANK).cast("int"), "f_digits": has(DIGITS).cast("int"), "f_length": _bin(size(p), 15, 30, 50, 75), "f_spaced": has(SPACED).cast("int"), "f_stop": has(STOP).cast("int"),
     })
 
 
@@ -127,56 +156,55 @@ PAIR = ["p_next", "p_indent", "p_blank", "p_scanned"]
 PAIR_SIZES = {"p_next": 2, "p_indent": 6, "p_blank": 2, "p_scanned": 2}
 
 
-def pairs(told: DataFrame) -> DataFrame:
-    """Lines, each with the features of it and the next line that isn't furniture."""
-    nxt = F.expr("lead(if(furniture, null, struct(body, indent, bits, line_index, line_id, n_word))) ignore nulls over (partition by wk order by line_index, line_id)")
-    x = told.withColumn("nxt", nxt)
-    x = x.withColumns({"n_body": F.col("nxt.body"), "n_indent": F.col("nxt.indent"), "n_bits": F.col("nxt.bits"), "n_index": F.col("nxt.line_index"), "n_id": F.col("nxt.line_id"), "after": F.col("nxt.n_word")})
-    n_has = lambda b: F.coalesce(F.col("n_bits").bitwiseAND(b) > 0, F.lit(False))
-    return x.withColumns({
-        "p_next": F.when(F.col("n_body"), 1).otherwise(0),
-        "p_indent": F.when(F.col("n_body"), _bin(F.col("n_indent"), 0, 2, 3, 4)).otherwise(0),
+def pair_features(here: Column, after: Column) -> dict[str, Column]:
+    """The features of a line and the next one that isn't furniture, from their packs; `after` is null behind the last line."""
+    body = F.coalesce(has(BODY, after), F.lit(False))
+    return {
+        "p_next": F.when(body, 1).otherwise(0),
+        "p_indent": F.when(body, _bin(indent(after), 0, 2, 3, 4)).otherwise(0),
         # Blank lines around furniture that was taken out say nothing about the paragraph.
-        "p_blank": F.when(F.col("n_index") > F.col("line_index") + 1, 0).when(F.col("n_bits").isNull(), 1).otherwise(n_has(BLANK).cast("int")),
+        "p_blank": F.when(index(after) > index(here) + 1, 0).when(after.isNull(), 1).otherwise(has(BLANK, after).cast("int")),
         "p_scanned": F.col("scanned").cast("int"),
-        "n_letter": n_has(LETTER),
-    }).drop("n_bits", "n_indent", "nxt")
+    }
 
 
-def _sampled(works: DataFrame) -> DataFrame:
-    """About SAMPLE_WORKS works, those of the least hashes."""
-    ids = works.where("work_id is not null").select("work_id").distinct()
-    n = ids.count()
-    return ids.where(F.pmod(F.xxhash64("work_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_WORKS / max(n, 1))))
+def pairs(told: DataFrame) -> DataFrame:
+    """Lines with the packs of the lines beside them that aren't furniture, and the next one's id and edge."""
+    skip = lambda f, c: F.expr(f"{f}(if(furniture, null, {c})) ignore nulls over (partition by wk order by pack, line_id)")
+    x = told.withColumn("pack", F.col("pack") + F.when(F.col("body"), BODY).otherwise(0))
+    return x.withColumns({"n_pack": skip("lead", "pack"), "n_id": skip("lead", "line_id"), "n_edge": skip("lead", "edge"), "b_pack": skip("lag", "pack")})
 
 
-def _ints(df: DataFrame, names: list[str], label: str) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.select(*names, F.col(label).cast("int").alias("y")).limit(SAMPLE_LINES).toPandas()
-    return np.clip(rows[names].to_numpy(np.int64), 0, 15), rows["y"].to_numpy(float)
+def _counted(df: DataFrame, names: list[str], label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, label and number of rows of each combination there is: no more than the features have values."""
+    rows = df.groupBy(*names, F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values([*names, "y"])
+    return np.clip(rows[names].to_numpy(np.int64), 0, 15), rows["y"].to_numpy(float), rows["n"].to_numpy(float)
 
 
 def fit_lines(lines: DataFrame, labels: DataFrame, works: DataFrame, site: DataFrame) -> tuple[Boost, Boost]:
-    """The classifiers of running heads and of pairs of lines."""
-    some = F.broadcast(_sampled(works))
-    part = lines.join(some, "work_id", "left_semi")
+    """The classifiers of running heads and of pairs of lines, fitted on about SAMPLE_WORKS works, those of the least hashes."""
+    n = works.where("work_id is not null").select(F.xxhash64("work_id").alias("wk")).distinct().count()
+    some = F.pmod(F.xxhash64("work_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_WORKS / max(n, 1)))
+    part = lines.where(some & F.col("work_id").isNotNull())
     ids = cut_table(part.select("line_id"))
     if ids.count() * 16 <= BROADCAST_LIMIT:
         ids = F.broadcast(ids)
-    x = cut_table(_shape_columns(lines_with_shape(part, labels.join(ids, "line_id", "left_semi"), works.join(some, "work_id", "left_semi"), site.join(ids, "line_id", "left_semi")).where("wk is not null")))
-    taught = x.where(F.col("scanned") & ~F.col("site_line") & ~F.col("is_number") & (has(CAPS) | (F.col("level") >= 1) | (F.col("indent") > 0) | (F.pmod(F.xxhash64("line_id"), F.lit(7)) == 0))).withColumn("y", F.col("repeats") & (F.col("level") == 0))
-    heads = Boost(SHAPE, rounds=16).fit(*_ints(taught, SHAPE, "y"))
-    p = pairs(_told(x, heads))
-    known = p.where(~F.col("furniture") & (F.col("n_index") == F.col("line_index") + 1) & F.col("body") & F.col("join_next").isNotNull())
-    joins = Boost(PAIR, rounds=20).fit(*_ints(known, PAIR, "join_next"))
+    x = cut_table(_shape_columns(lines_with_shape(part, labels.join(ids, "line_id", "left_semi"), works.where(some), site.join(ids, "line_id", "left_semi"))))
+    taught = x.where(F.col("scanned") & ~F.col("site_line") & ~F.col("is_number") & (has(CAPS) | (F.col("level") >= 1) | (indent(F.col("pack")) > 0) | (F.pmod(F.xxhash64("line_id"), F.lit(7)) == 0))).withColumn("y", F.col("repeats") & (F.col("level") == 0))
+    heads = Boost(SHAPE, rounds=16).fit(*_counted(taught, SHAPE, "y"))
+    p = pairs(_told(x, heads).drop(*SHAPE))
+    p = p.withColumns(pair_features(F.col("pack"), F.col("n_pack")))
+    known = p.where(~F.col("furniture") & (index(F.col("n_pack")) == index(F.col("pack")) + 1) & F.col("body") & F.col("join_next").isNotNull())
+    joins = Boost(PAIR, rounds=20).fit(*_counted(known, PAIR, "join_next"))
     return heads, joins
 
 
 def _told(x: DataFrame, heads: Boost) -> DataFrame:
     """Which lines are running heads, furniture at all, and body text."""
     shape = heads.lookup(SHAPE_SIZES)
-    head = F.col("scanned") & ~F.col("site_line") & has(CAPS) & (F.col("level") == 0) & (F.col("role") != "verse_line") & (F.col("repeats") | shape)
+    head = F.col("scanned") & ~F.col("site_line") & has(CAPS) & (F.col("level") == 0) & (F.col("role") != 2) & (F.col("repeats") | shape)
     x = x.withColumn("running_head", head & ~F.col("is_number")).withColumn("furniture", F.col("running_head") | F.col("is_number"))
-    return x.withColumn("body", (F.col("role") == "prose") & (F.col("size") > 0) & ~F.col("furniture") & ~F.col("site_line"))
+    return x.withColumn("body", (F.col("role") == 0) & (size(F.col("pack")) > 0) & ~F.col("furniture") & ~F.col("site_line"))
 
 
 def judged_lines(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataFrame:
@@ -187,15 +215,25 @@ def judged_lines(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataF
     """
     site = cut_table(found_lines(lines, works))
     heads, joins = fit_lines(lines, labels, works, site)
-    told = _told(_shape_columns(lines_with_shape(lines, labels, works, site)), heads).drop(*SHAPE)
-    keep = ["line_id", "wk", "line_index", "scanned", "running_head", "is_number", "body", "join_next", "indent", "size", "bits", "n_word", "tail"]
-    told = told.select(*keep)
+    told = _told(_shape_columns(lines_with_shape(lines, labels, works, site)), heads)
     # All windows are of one order, so lines are sorted once; furniture is skipped as null.
-    p = pairs(told.withColumn("furniture", F.col("running_head") | F.col("is_number")))
-    goes_on = ~F.col("furniture") & F.col("body") & F.coalesce("n_body", F.lit(False)) & joins.lookup(PAIR_SIZES)
-    p = p.withColumn("goes_on", goes_on).withColumn("broken", F.col("goes_on") & has(BROKEN) & F.col("n_letter"))
-    p = p.withColumns({"continues": F.coalesce(F.expr("lag(if(furniture, null, broken)) ignore nulls over (partition by wk order by line_index, line_id)"), F.lit(False)), "hyphen": has(HYPHEN)})
-    return p.select("line_id", "wk", "line_index", "scanned", "running_head", "is_number", "body", "join_next", "goes_on", "broken", "continues", "hyphen", F.when(F.col("broken"), F.col("tail")).alias("tail"), F.when(F.col("broken"), F.col("after")).alias("after"), F.when(F.col("broken"), F.col("n_id")).alias("n_id"))
+    p = pairs(told.select("line_id", "wk", "pack", "edge", "join_next", "scanned", "running_head", "is_number", "furniture", "body"))
+
+    def goes_on(here: Column, after: Column) -> Column:
+        at = F.lit(0)
+        for name, c in pair_features(here, after).items():
+            at = at * PAIR_SIZES[name] + c
+        return has(BODY, here) & F.coalesce(has(BODY, after), F.lit(False)) & joins.looked_up(at, PAIR_SIZES)
+
+    broken = lambda here, after: has(BROKEN, here) & F.coalesce(has(LETTER, after), F.lit(False))
+    pack, after, before = F.col("pack"), F.col("n_pack"), F.col("b_pack")
+    p = p.withColumn("goes_on", ~F.col("furniture") & goes_on(pack, after)).withColumn("broken", F.col("goes_on") & broken(pack, after))
+    p = p.withColumn("continues", ~F.col("furniture") & F.coalesce(has(BROKEN, before) & goes_on(before, pack) & has(LETTER, pack), F.lit(False)))
+    when = lambda c: F.when(F.col("broken"), c)
+    return p.select(
+        "line_id", "wk", index(pack).alias("line_index"), "scanned", "running_head", "is_number", "body", "join_next", "goes_on", "broken", "continues", has(HYPHEN).alias("hyphen"),
+        when(F.substring_index("edge", GAP, -1)).alias("tail"), when(F.substring_index("n_edge", GAP, 1)).alias("after"), when(F.col("n_id")).alias("n_id"),
+    )
 
 
 def tidy(word: str) -> str:
@@ -315,6 +353,24 @@ def fit_ranking(vocabulary: pd.DataFrame, right: pd.DataFrame, seed: int = 5) ->
     return Boost(RANK, rounds=30).fit(np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))]))
 
 
+def candidates(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs of a word that is asked for and a candidate within so many edits that two confusions can explain it.
+
+    asked: low and other columns; words: candidate and other columns. An inverted index has the rarest
+    bigrams of each candidate, one more than confusions can destroy, so that no candidate is missed and
+    no frequent bigram brings together all words that have it.
+    """
+    grams = cut_table(words.select("candidate", F.explode(_bigrams(F.col("candidate"))).alias("g")))
+    ranked = grams.join(grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "g")
+    most = F.when(F.length("candidate") <= SHORT, DESTROYED_SHORT).otherwise(DESTROYED) + 1
+    index = ranked.groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs")).select("candidate", F.explode(F.slice("gs", F.lit(1), most)).alias("e")).select("candidate", "e.g")
+    few = lambda c: F.when(F.length(c) <= SHORT, EDITS_SHORT).otherwise(EDITS)
+    probe = asked.select("low", F.explode(_bigrams(F.col("low"))).alias("g")).distinct()
+    near = F.abs(F.length("low") - F.length("candidate")) <= 2
+    pairs = probe.join(index, "g").where(near).select("low", "candidate").distinct().where(F.levenshtein("low", "candidate") <= F.greatest(few("low"), few("candidate")))
+    return asked.join(pairs, "low").join(words, "candidate")
+
+
 def corrections(body: DataFrame) -> DataFrame:
     """raw (as it stands in the lines), meant and chance of the misread words; body: text and scanned of lines and of whole words that are broken in them."""
     counted = cut_table(body.mapInArrow(_words, "raw string, word string, scanned boolean, n bigint").where("word <> ''").groupBy("raw", "word", "scanned").agg(F.sum("n").alias("n")))
@@ -327,20 +383,14 @@ def corrections(body: DataFrame) -> DataFrame:
     word_n = word_n.withColumn("low", low).join(per, "low").withColumn("capital", capital)
     lettered = F.col("word").rlike(r"\p{L}") & (F.length("word") >= 2)
     unknown = word_n.where(lettered & (F.col("seen") > 0) & (F.col("other") == 0) & (F.col("plain_n") < KNOWN)).select("word", "low", "capital", "seen", F.lit(False).alias("right"))
-    rare = word_n.where(lettered & (F.col("other").between(1, 3)) & (F.col("plain_n") < KNOWN) & (F.pmod(F.xxhash64("word"), F.lit(16)) == 0)).select("word", "low", "capital", F.col("other").alias("seen"), F.lit(True).alias("right")).limit(SAMPLE_WORDS * 4)
+    rare = word_n.where(lettered & (F.col("other").between(1, 3)) & (F.col("plain_n") < KNOWN)).select("word", "low", "capital", F.col("other").alias("seen"), F.lit(True).alias("right")).orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS)
     asked = cut_table(unknown.union(rare))
-    grams = words.select("candidate", "n", "capital_n", F.size(_bigrams(F.col("candidate"))).alias("cs"), F.explode(_bigrams(F.col("candidate"))).alias("g"))
-    probe = asked.withColumn("ws", F.size(_bigrams(F.col("low")))).withColumn("g", F.explode(_bigrams(F.col("low"))))
     # Words with a capital can only be misread from words that stand with one elsewhere.
-    hit = (
-        probe.join(grams, "g").where((F.abs(F.length("low") - F.length("candidate")) <= 2) & (~F.col("capital") | (F.col("capital_n") >= KNOWN_CAPITAL)))
-        .groupBy("word", "right", "seen", "candidate", "n", "ws", "cs").agg(F.count(F.lit(1)).alias("common"))
-        .withColumn("overlap", F.col("common") / (F.col("ws") + F.col("cs") - F.col("common"))).where(F.col("overlap") >= OVERLAP)
-        .select("word", "right", "seen", "candidate", "n", "overlap")
-    )
+    both = lambda f: F.size(f(_bigrams(F.col("low")), _bigrams(F.col("candidate"))))
+    hit = candidates(asked, words).where(~F.col("capital") | (F.col("capital_n") >= KNOWN_CAPITAL)).select("word", "right", "seen", "candidate", "n", (both(F.array_intersect) / both(F.array_union)).alias("overlap"))
     hit = cut_table(hit)
-    vocabulary = words.select(F.col("candidate").alias("word"), "n").orderBy(F.xxhash64("word")).limit(SAMPLE_WORDS).toPandas()
-    right = hit.where("right").limit(SAMPLE_WORDS * 10).toPandas().rename(columns={"word": "word"})
+    vocabulary = words.select(F.col("candidate").alias("word"), "n").orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).toPandas()
+    right = hit.where("right").orderBy(F.xxhash64("word", "candidate"), "word", "candidate").limit(SAMPLE_WORDS * 10).toPandas()
     model = body.sparkSession.sparkContext.broadcast(fit_ranking(vocabulary, right))
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -350,13 +400,18 @@ def corrections(body: DataFrame) -> DataFrame:
 
     best = hit.where("not right").mapInPandas(ranked, "word string, candidate string, n bigint, chance double").groupBy("word").agg(F.max_by("candidate", F.struct("chance", "n", "candidate")).alias("meant"), F.max("chance").alias("chance"))
     # A sign or digit inside a word is a misread letter, whatever the word was.
-    mixed = unknown.where(F.col("word").rlike(r"\p{L}[0-9|!]+\p{L}|^[0-9|][\p{L}|]{2,}$|\p{L}{2,}[0-9|]$")).select("word", F.lit(None).cast("string").alias("meant0"), F.lit(True).alias("mixed"))
+    mixed = asked.where(~F.col("right") & F.col("word").rlike(r"\p{L}[0-9|!]+\p{L}|^[0-9|][\p{L}|]{2,}$|\p{L}{2,}[0-9|]$")).select("word", F.lit(None).cast("string").alias("meant0"), F.lit(True).alias("mixed"))
     told = best.join(mixed, "word", "full").where((F.col("chance") > 0.5) | F.col("mixed")).select("word", F.when(F.col("chance") > 0.5, F.col("meant")).alias("meant"), "chance")
     return counted.where("scanned").select("raw", "word").distinct().join(told, "word").select("raw", "meant", "chance")
 
 
-def _holding(wrong: pa.Array):
-    """A mapInArrow function: lines to those of their words that are misread, and whether each stands first or last."""
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(W.hash_words(b.column(0)).view(np.int64))], names=["hash"])
+
+
+def _holding(known: Bitmap):
+    """A mapInArrow function: lines to those of their words that the bitmap may have, and whether each stands first or last."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -364,7 +419,7 @@ def _holding(wrong: pa.Array):
             flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
             real = pc.greater(pc.binary_length(flat), 0)
             flat, parent = flat.filter(real), parent.filter(real).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(pc.is_in(flat, value_set=wrong).to_numpy(zero_copy_only=False))
+            hit = np.flatnonzero(known.has(W.hash_words(flat)))
             first = np.searchsorted(parent, parent[hit], "left") == hit
             last = np.searchsorted(parent, parent[hit], "right") - 1 == hit
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(parent[hit])), flat.take(pa.array(hit)), pa.array(first), pa.array(last)], names=["line_id", "raw", "first", "last"])
@@ -384,29 +439,33 @@ def _whole() -> Column:
     return F.concat(F.regexp_replace("tail", BREAK, ""), F.col("after"))
 
 
-def _misread(lines: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """line_id, raw and the line it is misread at, of the misread words of body text, broken ones as a whole; and the corrections."""
+def broken_lines(judged: DataFrame) -> DataFrame:
+    """What split words and corrections need of the lines that end in a broken word."""
+    return cut_table(judged.where("broken").select("line_id", "scanned", "hyphen", "tail", "after", "n_id"))
+
+
+def _misread(lines: DataFrame, judged: DataFrame, broken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """line_id, raw and the line it is misread at, of the misread words of body text, broken ones as a whole; and the corrections.
+
+    The misread words are looked for where the lines are read, by a bitmap of bounded size, and what it
+    lets through is joined to them: the same way however many there are.
+    """
     texts = _texts(lines, judged)
-    broken = cut_table(judged.where("broken and scanned").select("line_id", _whole().alias("text"), "scanned"))
-    fixed = cut_table(corrections(texts.select("text", "scanned").union(broken.select("text", "scanned"))))
-    size = fixed.agg(F.count(F.lit(1)), F.sum(F.octet_length("raw"))).first()
+    whole = broken.where("scanned").select("line_id", _whole().alias("text"), "scanned")
+    fixed = cut_table(corrections(texts.select("text", "scanned").union(whole.select("text", "scanned"))))
+    # A broken word is misread where its right form leaves the one that was read.
+    meant = fixed.groupBy("raw").agg(F.max_by("meant", "chance").alias("meant"))
+    known = lines.sparkSession.sparkContext.broadcast(bitmap(fixed.select("raw").mapInArrow(_hashed, "hash bigint")))
     # Signs at both ends keep the whole of a broken word from counting as half of one.
-    seen = texts.where("scanned").select("line_id", "text").union(broken.select(F.col("line_id"), F.concat(F.lit("\0 "), F.col("text"), F.lit(" \0"))))
+    seen = texts.where("scanned").select("line_id", "text").union(whole.select("line_id", F.concat(F.lit("\0 "), F.col("text"), F.lit(" \0"))))
     kind = dict(lines.dtypes)["line_id"]
-    if (size[1] or 0) + 16 * size[0] <= BROADCAST_LIMIT:
-        wrong = pa.array([r[0] for r in fixed.select("raw").distinct().collect()], pa.string())
-        hits = seen.mapInArrow(_holding(wrong), f"line_id {kind}, raw string, first boolean, last boolean")
-    else:
-        words = F.filter(F.split("text", _WORD), lambda v: v != "")
-        each = seen.select("line_id", F.size(words).alias("n"), F.posexplode(words).alias("i", "raw"))
-        hits = each.join(fixed.select("raw").distinct(), "raw").select("line_id", "raw", (F.col("i") == 0).alias("first"), (F.col("i") == F.col("n") - 1).alias("last"))
+    hits = seen.mapInArrow(lambda it: _holding(known.value)(it), f"line_id {kind}, raw string, first boolean, last boolean").join(meant, "raw")
     # Halves of broken words are no words.
-    found = hits.join(judged.where("scanned and body").select("line_id", "broken", "continues", F.regexp_replace("tail", BREAK, "").alias("head"), F.col("after").alias("rest"), "n_id"), "line_id").where("not (first and continues) and not (last and broken)")
-    # A broken word is misread where its right form leaves the one that was read.
-    meant = fixed.groupBy("raw").agg(F.max_by("meant", "chance").alias("meant"))
+    ends = broken.select("line_id", F.lit(True).alias("broken"), F.regexp_replace("tail", BREAK, "").alias("head"), F.col("after").alias("rest"), "n_id")
+    found = hits.join(judged.where("scanned and body").select("line_id", "continues"), "line_id").join(ends, "line_id", "left").withColumn("broken", F.coalesce("broken", F.lit(False))).where("not (first and continues) and not (last and broken)")
     whole = F.col("broken") & ~F.col("first") & ~F.col("last") & F.col("rest").isNotNull() & (F.concat("head", F.col("rest")).startswith(F.col("raw")))
     in_head = F.when(F.col("meant").isNotNull(), ~F.lower("meant").startswith(F.lower("head"))).otherwise(F.col("head").rlike(r"[0-9|!]"))
-    return found.join(meant, "raw", "left").select("line_id", "raw", F.when(whole & ~in_head, F.col("n_id")).otherwise(F.col("line_id")).alias("at")), fixed
+    return found.select("line_id", "raw", F.when(whole & ~in_head, F.col("n_id")).otherwise(F.col("line_id")).alias("at")), fixed
 
 
 def defects(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataFrame:
@@ -417,22 +476,23 @@ def defects(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataFrame:
     unknown works have no title to repeat. An empty table gives no rows.
     """
     judged = cut_table(judged_lines(lines, labels, works))
-    misread, _ = _misread(lines, judged)
+    broken = broken_lines(judged)
+    misread, _ = _misread(lines, judged, broken)
     own = F.array(
         F.when(F.col("running_head"), F.lit("running_head")), F.when(F.col("is_number"), F.lit("page_number")),
         F.when(F.col("body") & (F.coalesce("join_next", F.lit(False)) != F.col("goes_on")), F.lit("wrong_join")),
     )
     out = judged.select("line_id", F.explode(F.array_compact(own)).alias("defect"))
-    split = split_words(lines, judged).select("line_id", F.lit("split_word").alias("defect"))
+    split = split_words(lines, broken).select("line_id", F.lit("split_word").alias("defect"))
     return out.unionByName(split).unionByName(misread.select(F.col("at").alias("line_id"), F.lit("misread").alias("defect")).distinct())
 
 
-def split_words(lines: DataFrame, judged: DataFrame) -> DataFrame:
+def split_words(lines: DataFrame, broken: DataFrame) -> DataFrame:
     """Lines whose last word is broken: all that end in another sign than a hyphen, and those with a
     hyphen where the text doesn't know the compound. In works that aren't scanned only compounds are parted."""
     clean = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}-]+", ""))
     head = clean(F.regexp_replace("tail", BREAK, ""))
-    asked = cut_table(judged.where("broken").select("line_id", "scanned", "hyphen", F.concat(head, F.lit("-"), clean(F.col("after"))).alias("compound")))
+    asked = cut_table(broken.select("line_id", "scanned", "hyphen", F.concat(head, F.lit("-"), clean(F.col("after"))).alias("compound")))
     compounds = asked.where("hyphen and scanned").select("compound").distinct()
     inner = r"\p{L}+(?:-\p{L}+)+"
     known = lines.where(F.col("text").contains("-") & F.col("text").rlike(r"\p{L}-\p{L}")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(inner), F.lit(0))).alias("compound")).groupBy("compound").agg(F.count(F.lit(1)).alias("n")).join(compounds, "compound", "left_semi")
@@ -445,10 +505,11 @@ def paragraphs(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataFra
     Paragraphs are numbered in order of the lines they begin with. Works without body text have none.
     """
     judged = cut_table(judged_lines(lines, labels, works))
-    misread, fixed = _misread(lines, judged)
+    broken = broken_lines(judged)
+    misread, fixed = _misread(lines, judged, broken)
     meant = fixed.where("meant is not null").groupBy("raw").agg(F.max_by("meant", "chance").alias("meant"))
     words = misread.join(meant, "raw").groupBy("line_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("raw", "meant")))).alias("meant"))
-    split = split_words(lines, judged).select("line_id", F.lit(True).alias("split"))
+    split = split_words(lines, broken).select("line_id", F.lit(True).alias("split"))
     x = judged.where("body").join(lines.select("line_id", "work_id", F.coalesce("text", F.lit("")).alias("text")), "line_id").join(split, "line_id", "left").join(words, "line_id", "left")
     t = F.when(F.col("continues"), F.regexp_replace("text", r"^\S+\s*", "")).otherwise(F.col("text"))
     whole = F.when(F.col("split").isNull(), F.concat("tail", F.col("after"))).otherwise(_whole())

@@ -1,28 +1,23 @@
 """Lines and blocks that a site puts into many of its works (problem 5).
 
-Each line gets an identifier, a hash of its form. The suffixes of a site's concatenated works, cut
-to DEPTH identifiers and to the work, are sorted over the whole cluster: the site's suffix array in
-shards by range. In each shard the common prefixes of neighbours give the intervals of suffixes
-that begin with the same block of 1 to DEPTH lines, and the number of works of each. An interval
-that reaches the edge of a shard hands on its works instead, one row per work, and is counted when
-the shards are put together; so a line that fills many shards is counted nowhere as a whole.
+Each line gets an identifier, a hash of its form and site, and the works of a site laid end to end
+are its text over these identifiers. The suffix array of that text is built by prefix doubling: the
+rank of a suffix by its first 2h lines comes from two ranks by h lines. Only equality of ranks is
+asked, so ranks are hashes, and suffixes of one rank are those with a common prefix of so many
+lines: a block. A rank that doesn't span enough works is dropped at once, as no longer block can
+span more; so all rounds after the first work on the few lines that a site repeats. When no rank
+doubles any further, each suffix is lengthened by halves, which gives the longest block that begins
+with it, however long. Blocks that no longer block contains are the maximal ones; the lines that
+their occurrences cover are the site's and are deleted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiremill.session import cut
+from quiremill.llm.tables import cut_table
 
-#: Identifiers of a suffix that are compared: blocks of more lines are found as overlapping ones.
-DEPTH = 4
-#: A work of more lines is cut in parts of so many for the window; a block ends there.
-PART = 1 << 16
 #: Put in place of the work's title.
 SIGN = "#"
 
@@ -37,105 +32,108 @@ def site_of(gutenberg_id: Column, url: Column) -> Column:
     return F.when(gutenberg_id.isNotNull(), F.lit("gutenberg")).when(host != "", host)
 
 
-def line_forms(lines: DataFrame, works: DataFrame, least_letters: int = 20) -> DataFrame:
-    """line_id, work_id, line_index, site and form of each line; form is null for lines that never count."""
-    latest = works.where("work_id is not null").groupBy("work_id").agg(F.max_by(F.struct(site_of(F.col("gutenberg_id"), F.col("source_url")).alias("site"), letters(F.coalesce("work", F.lit(""))).alias("title")), F.struct("ingested_at", "work_row")).alias("w"))
-    at = F.instr(F.col("all"), F.col("w.title"))
-    return (
-        lines.select("line_id", "work_id", "line_index", letters(F.coalesce("text", F.lit(""))).alias("all"))
-        .join(latest, "work_id")
-        .where("w.site is not null")
-        .withColumn("at", F.when((F.col("w.title") != "") & F.col("w.title").isNotNull(), at).otherwise(0))
-        .withColumn("form", F.when(F.col("at") > 0, F.concat(F.expr("left(all, at - 1)"), F.lit(SIGN), F.expr("substr(all, at + length(w.title))"))).otherwise(F.col("all")))
-        .select("line_id", "work_id", "line_index", "w.site", F.when(F.length("form") - (F.col("at") > 0).cast("int") >= least_letters, F.col("form")).alias("form"))
-    )
-
-
-def suffixes(forms: DataFrame) -> DataFrame:
-    """line_id, site, work and DEPTH identifiers from the line on; 0 where the line never counts or the work ends."""
-    w = Window.partitionBy("work_id", F.expr(f"line_index div {PART}")).orderBy("line_index", "line_id")
-    ids = forms.withColumn("id0", F.when(F.col("form").isNull(), F.lit(0)).otherwise(F.xxhash64("site", "form")))
-    for k in range(1, DEPTH):
-        ids = ids.withColumn(f"id{k}", F.coalesce(F.lead("id0", k).over(w), F.lit(0)))
-    return ids.where("id0 <> 0").select("line_id", F.xxhash64("site").alias("site"), F.xxhash64("work_id").alias("work"), *(f"id{k}" for k in range(DEPTH)))
-
-
-def _intervals(least: int):
-    """A mapInArrow function: a shard of the suffix array to its intervals, whole ones of at least
-    `least` works as one row with their number, those at an edge as one row per work."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["site", "work", *(f"id{k}" for k in range(DEPTH))]
-        parts = [[b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches]
-        if not parts:
-            return
-        site, work, *ids = (np.concatenate(x) for x in zip(*parts))
-        n = len(site)
-        same = np.concatenate([[False], site[1:] == site[:-1]])
-        out = []
-        for depth in range(1, DEPTH + 1):
-            x = ids[depth - 1]
-            same = same & np.concatenate([[False], x[1:] == x[:-1]])  # common prefix with the one before is `depth` or more
-            real = x != 0
-            run = np.cumsum(~same)
-            order = np.lexsort((work, run))
-            r, w = run[order], work[order]
-            first = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])  # one of each work
-            works = np.bincount(r[first], minlength=run[-1] + 1)
-            edge = (run == run[0]) | (run == run[-1])
-            starts = np.flatnonzero(~same & real & ~edge & (works[run] >= least))
-            out.append((np.full(len(starts), depth), site[starts], [i[starts] for i in ids], works[run[starts]], np.zeros(len(starts), np.int64)))
-            o = order[first]
-            o = o[edge[o] & real[o]]
-            out.append((np.full(len(o), depth), site[o], [i[o] for i in ids], np.zeros(len(o), np.int64), work[o]))
-        for depth, s, i, count, w in out:
-            if len(s):
-                cols = [x if k < depth[0] else np.zeros(len(s), np.int64) for k, x in enumerate(i)]
-                yield pa.RecordBatch.from_arrays([pa.array(depth.astype(np.int32)), pa.array(s), *map(pa.array, cols), pa.array(count.astype(np.int64)), pa.array(w, mask=count > 0)], names=["depth", "site", *(f"id{k}" for k in range(DEPTH)), "works", "work"])
-
-    return over
-
-
-def repeated_blocks(suffix: DataFrame, sites: DataFrame, least_works: int = 3, least_share: float = 0.1) -> DataFrame:
-    """depth, site, id0.. and works of each block of lines in at least `least_works` works and `least_share` of the site's works."""
-    keys = ["depth", "site", *(f"id{k}" for k in range(DEPTH))]
-    order = ["site", *(f"id{k}" for k in range(DEPTH)), "work"]
-    shards = suffix.repartitionByRange(*order).sortWithinPartitions(*order)
-    part = shards.drop("line_id").mapInArrow(_intervals(least_works), ", ".join(f"{k} {'int' if k == 'depth' else 'bigint'}" for k in keys) + ", works bigint, work bigint")
-    # An interval lies inside one shard or at edges only, so the two counts never mix.
-    found = part.distinct().groupBy(*keys).agg((F.sum("works") + F.count("work")).alias("works"))
-    return found.join(F.broadcast(sites), "site").where((F.col("works") >= least_works) & (F.col("works") >= F.col("site_works") * least_share)).drop("site_works")
+def _latest(works: DataFrame) -> DataFrame:
+    """work (a hash), site and title of each work that has a site, by its last delivery."""
+    w = F.struct(site_of(F.col("gutenberg_id"), F.col("source_url")).alias("site"), letters(F.coalesce("work", F.lit(""))).alias("title"))
+    return works.where("work_id is not null").groupBy(F.xxhash64("work_id").alias("work")).agg(F.max_by(w, F.struct("ingested_at", "work_row")).alias("w")).where("w.site is not null").select("work", "w.site", "w.title")
+
+
+def line_ids(lines: DataFrame, works: DataFrame, least_letters: int = 20) -> DataFrame:
+    """line_id, work, pos (line_index), site and id of each line of enough letters besides the title; work and site are hashes."""
+    text = letters(F.coalesce(F.col("text"), F.lit("")))
+    x = lines.where(F.col("work_id").isNotNull() & (F.length("text") >= least_letters)).select("line_id", F.xxhash64("work_id").alias("work"), F.col("line_index").alias("pos"), text.alias("all"))
+    at = F.when((F.col("title") != "") & F.col("title").isNotNull(), F.instr(F.col("all"), F.col("title"))).otherwise(0)
+    form = F.when(F.col("at") > 0, F.concat(F.expr("left(all, at - 1)"), F.lit(SIGN), F.expr("substr(all, at + length(title))"))).otherwise(F.col("all"))
+    x = x.join(_latest(works).hint("shuffle_hash"), "work").withColumn("at", at).withColumn("form", form).where(F.length("form") - (F.col("at") > 0).cast("int") >= least_letters)
+    return x.select("line_id", "work", "pos", F.xxhash64("site").alias("site"), F.xxhash64("site", "form").alias("id"))
+
+
+def _sites(lines: DataFrame, works: DataFrame) -> DataFrame:
+    """Hash of each site and the number of its works that have text lines."""
+    have = lines.where("work_id is not null").select(F.xxhash64("work_id").alias("work")).distinct()
+    return have.join(_latest(works), "work").groupBy(F.xxhash64("site").alias("site")).agg(F.count(F.lit(1)).alias("site_works"))
+
+
+def _spanning(rows: DataFrame, sites: DataFrame, least_works: int, least_share: float) -> DataFrame:
+    """The rows whose rank spans enough works of its site, with their number. Works are counted in two steps, so that no rank is one task's."""
+    works = rows.select("site", "rank", "work").distinct().groupBy("site", "rank").agg(F.count(F.lit(1)).alias("works"))
+    enough = works.join(sites, "site").where((F.col("works") >= least_works) & (F.col("works") >= F.col("site_works") * least_share))
+    return rows.drop("works").join(enough.select("rank", "works"), "rank")
+
+
+def longest_blocks(hot: DataFrame, sites: DataFrame, least_works: int = 3, least_share: float = 0.1) -> DataFrame:
+    """work, pos, site, rank, works and depth of the longest block that begins at each line of `hot`.
+
+    hot: work, pos, site, rank and works of the lines that span enough works by themselves.
+    """
+    keep = ["work", "pos", "site", "rank", "works"]
+    both = F.xxhash64("rank", "next")
+    at = lambda t, by: t.select("work", (F.col("pos") - by).alias("pos"), F.col("rank").alias("next"))
+    levels, depth = [hot.select(*keep)], 1
+    while True:  # ranks by 1, 2, 4, 8 ... lines
+        grown = cut_table(_spanning(levels[-1].join(at(levels[-1], depth), ["work", "pos"]).withColumn("rank", both).drop("next"), sites, least_works, least_share).select(*keep))
+        if grown.isEmpty():
+            break
+        levels.append(grown)
+        depth *= 2
+    cols = [*keep, "depth"]
+    longest = occurs = levels[-1].withColumn("depth", F.lit(depth))
+    for level in reversed(levels[:-1]):  # lengthened by ... 8, 4, 2, 1 lines
+        depth //= 2
+        level = level.withColumn("depth", F.lit(depth)).select(*cols)
+        follows = level.select("work", F.col("pos").alias("end"), F.col("rank").alias("next"))
+        more = occurs.withColumn("end", F.col("pos") + F.col("depth")).join(follows, ["work", "end"]).withColumn("base", F.col("rank")).withColumn("rank", both).withColumn("depth", F.col("depth") + depth)
+        more = cut_table(_spanning(more.drop("next", "end"), sites, least_works, least_share))
+        longer = longest.select("work", "pos", F.col("rank").alias("base")).join(more, ["work", "pos", "base"]).select(*cols)
+        rest = longest.join(longer.select("work", "pos"), ["work", "pos"], "left_anti").select(*cols)
+        fresh = level.join(longest.select("work", "pos"), ["work", "pos"], "left_anti").select(*cols)
+        longest = cut_table(longer.unionByName(rest).unionByName(fresh))
+        # All occurrences of the blocks that some suffix has come to: also those that go on count for the ones that don't.
+        occurs = cut_table(occurs.unionByName(more.select(*cols)).unionByName(level).join(longest.select("rank").distinct(), "rank", "left_semi")) if depth > 1 else None
+    return longest
 
 
 def site_lines(lines: DataFrame, works: DataFrame, least_works: int = 3, least_share: float = 0.1, least_letters: int = 20) -> tuple[DataFrame, DataFrame]:
-    """The suffixes that begin with a line of a repeated block, and the blocks.
+    """The lines (line_id, work, pos) that a site repeats, and the occurrences of maximal blocks (work, pos, site, rank, works, depth).
 
     A line counts when its form occurs in at least `least_works` works and `least_share` of those
-    works of its site that have text lines. Every line of a longer block is a block of its own that
-    occurs at least as often, so the blocks of one line cover what the longer ones cover. Works
-    without a site, lines of unknown works and null texts never count; equal rows count once per work.
+    works of its site that have text lines, a block when the same lines follow each other in as many.
+    Lines follow each other when their line_index does. Works without a site, lines of unknown works or
+    without a work and null texts never count; equal rows count once per work. Of several lines with
+    one line_index all count, and the one of the least rank stands in blocks.
     """
-    forms = line_forms(lines, works, least_letters)
-    suffix = cut(suffixes(forms))
-    sites = _sites(lines, works)
-    blocks = repeated_blocks(suffix, sites, least_works, least_share)
-    return suffix, blocks
+    ids = cut_table(line_ids(lines, works, least_letters))
+    sites = cut_table(_sites(lines, works))
+    often = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_works).select("id")
+    hot = cut_table(_spanning(ids.join(often.hint("shuffle_hash"), "id", "left_semi").withColumnRenamed("id", "rank"), sites, least_works, least_share))
+    at_pos = hot.groupBy("work", "pos").agg(F.min(F.struct("rank", "site", "works")).alias("r")).select("work", "pos", "r.*")
+    found = longest_blocks(at_pos, sites, least_works, least_share)
+    w = Window.partitionBy("work").orderBy("pos")
+    inner = (F.lag("pos").over(w) == F.col("pos") - 1) & (F.lag("depth").over(w) > F.col("depth"))
+    maximal = found.withColumn("inner", F.coalesce(inner, F.lit(False))).where("not inner").drop("inner")
+    return hot.select("line_id", "work", "pos"), maximal
+
+
+def covered(hot: DataFrame, blocks: DataFrame) -> DataFrame:
+    """line_id of the lines that an occurrence of a block covers."""
+    ends = blocks.select("work", "pos", (F.col("pos") + F.col("depth")).alias("end"))
+    w = Window.partitionBy("work").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
+    x = hot.join(ends, ["work", "pos"], "left").withColumn("reach", F.max("end").over(w))
+    return x.where(F.col("reach") > F.col("pos")).select("line_id")
 
 
-def _sites(lines: DataFrame, works: DataFrame) -> DataFrame:
-    """Hash of each site and the number of its works that have text lines. Sites are host names:
-    their number follows the list of sources, not the texts."""
-    have = lines.select("work_id").distinct()
-    latest = works.where("work_id is not null").groupBy("work_id").agg(F.max_by(site_of(F.col("gutenberg_id"), F.col("source_url")), F.struct("ingested_at", "work_row")).alias("site"))
-    return have.join(latest, "work_id").where("site is not null").groupBy(F.xxhash64("site").alias("site")).agg(F.count(F.lit(1)).alias("site_works"))
+def found_lines(lines: DataFrame, works: DataFrame, **limits: float) -> DataFrame:
+    """line_id of every line of a maximal block."""
+    return covered(*site_lines(lines, works, **limits))
 
 
-def found_lines(lines: DataFrame, works: DataFrame, **limits: float) -> DataFrame:
-    """line_id of every line of a repeated block."""
-    suffix, blocks = site_lines(lines, works, **limits)
-    return suffix.join(blocks.where("depth = 1").select("site", "id0"), ["site", "id0"], "left_semi").select("line_id")
+def repeated_blocks(lines: DataFrame, works: DataFrame, **limits: float) -> DataFrame:
+    """block, depth, works, occurrences, first_line (the least line_id that one begins with) of each maximal block."""
+    hot, blocks = site_lines(lines, works, **limits)
+    first = hot.groupBy("work", "pos").agg(F.min("line_id").alias("line_id"))
+    return blocks.join(first, ["work", "pos"]).groupBy(F.col("rank").alias("block"), "depth").agg(F.max("works").alias("works"), F.count(F.lit(1)).alias("occurrences"), F.min("line_id").alias("first_line"))
 
 
 def without_site_lines(lines: DataFrame, works: DataFrame, **limits: float) -> DataFrame:
-    """The lines that stay, every column as it was."""
+    """The lines that stay when the maximal blocks are deleted, every column as it was."""
     return lines.join(found_lines(lines, works, **limits), "line_id", "left_anti")

@@ -28,16 +28,21 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), parent[real.to_numpy(zero_copy_only=False)]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """A 64-bit hash of each word, the text it is in, and the words."""
-    flat, parent = split_words(texts)
-    if not len(flat):
-        return np.empty(0, np.uint64), parent.astype(np.int64), flat
-    codes = flat.dictionary_encode()
+def hash_words(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    codes = words.dictionary_encode()
     if isinstance(codes, pa.ChunkedArray):
         codes = codes.combine_chunks()
     known = pd.util.hash_array(np.asarray(codes.dictionary.to_pylist(), dtype=object), categorize=False)
-    return mix(known.astype(np.uint64))[codes.indices.to_numpy(zero_copy_only=False)], parent.astype(np.int64), flat
+    return mix(known.astype(np.uint64))[codes.indices.to_numpy(zero_copy_only=False)]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """A 64-bit hash of each word, the text it is in, and the words."""
+    flat, parent = split_words(texts)
+    return hash_words(flat), parent.astype(np.int64), flat
 
 
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quiremill.llm import bitext, boost, codes, cutoff, language, leaks, lookalikes, mixing, names, quality, queries, scans, sitelines, words
+from quiremill.llm import bitext, boost, codes, cutoff, language, leaks, lookalikes, mixing, names, quality, queries, scans, sitelines, tables, words
 from quiremill.session import table
 
 
@@ -86,9 +86,40 @@ def test_site_lines_small(spark):
     assert sorted(r[0] for r in sitelines.found_lines(a, b).collect()) == want
     assert sitelines.found_lines(a.limit(0), b).count() == 0
     _, found = sitelines.site_lines(a, b)
+    assert found.where("depth = 2").count() == 5
     assert found.where("depth = 2").select("works").first()[0] == 5
 
 
+def block_tables(spark, sequences):
+    """One site whose works have the given sequences of letters as lines."""
+    t = dt.datetime(2024, 1, 1)
+    works = spark.createDataFrame([(i, f"w{i}", None, "http://s.example/", f"T{i}", t) for i in range(len(sequences))], "work_row bigint, work_id string, gutenberg_id string, source_url string, work string, ingested_at timestamp")
+    lines = [(1000 * i + k, f"w{i}", k, c * 25) for i, x in enumerate(sequences) for k, c in enumerate(x)]
+    return spark.createDataFrame(lines, "line_id bigint, work_id string, line_index int, text string"), works, {n: (i, k) for n, i, k, _ in [(a, int(b[1:]), c, d) for a, b, c, d in lines]}
+
+
+def brute_blocks(sequences, least):
+    """Occurrences (work, position, length) of the longest block of `least` works at each position that no longer one contains."""
+    spans = lambda b: len({i for i, x in enumerate(sequences) if b in x}) >= least
+    longest = {(i, k): max((n for n in range(1, len(x) - k + 1) if spans(x[k : k + n])), default=0) for i, x in enumerate(sequences) for k in range(len(x))}
+    return sorted((i, k, n) for (i, k), n in longest.items() if n and longest.get((i, k - 1), 0) <= n)
+
+
+def test_maximal_blocks_equal_brute_force(spark):
+    rng = random.Random(4)
+    notice = "abcdefghijk"
+    sequences = ["".join(rng.choices("opqrstuvwxyzlmn", k=4)) + notice[rng.randint(0, 2) : rng.randint(5, 11)] + "".join(rng.choices("opqrstuvwxyzlmn", k=3)) for _ in range(8)]
+    lines, works, where = block_tables(spark, sequences)
+    hot, found = sitelines.site_lines(lines, works)
+    names_ = {r["work"]: r["i"] for r in works.select(F.xxhash64("work_id").alias("work"), F.expr("int(substr(work_id, 2))").alias("i")).collect()}
+    want = brute_blocks(sequences, 3)
+    assert sorted((names_[r["work"]], r["pos"], r["depth"]) for r in found.collect()) == want and max(n for *_, n in want) >= 5
+    cover = {(i, k + j) for i, k, n in want for j in range(n)}
+    assert {where[r[0]] for r in sitelines.covered(hot, found).collect()} == cover
+    # The blocks are what tells the lines: without the longer ones their inner lines stay.
+    assert {where[r[0]] for r in sitelines.covered(hot, found.where("depth = 1")).collect()} < cover
+
+
 # Problem 6
 
 
@@ -384,13 +415,35 @@ def test_scan_empty(spark):
     assert scans.defects(lines.limit(0), labels, works).count() == 0
 
 
-def test_misread_by_join_equals_broadcast(spark, monkeypatch):
+def test_scan_defects_without_broadcast(spark, monkeypatch):
     lines, labels, works, _ = scanned(spark)
     a = rows(scans.defects(lines, labels, works))
     monkeypatch.setattr(scans, "BROADCAST_LIMIT", 0)
     assert rows(scans.defects(lines, labels, works)) == a
 
 
+def test_candidates_miss_no_confusion(spark):
+    rng = random.Random(11)
+    words_ = sorted({"".join(rng.choices("abcdehilmnorstu", k=rng.randint(2, 11))) for _ in range(300)})
+    read = {}
+    for w in words_:
+        spots = [(i, a, b) for a, b in scans.CONFUSIONS for i in range(len(w)) if w.startswith(a, i)]
+        if spots:
+            i, a, b = rng.choice(spots)
+            read[w[:i] + b + w[i + len(a) :]] = w
+    asked = spark.createDataFrame([(r,) for r in read], "low string")
+    got = {(r["low"], r["candidate"]) for r in scans.candidates(asked, spark.createDataFrame([(w,) for w in words_], "candidate string")).collect()}
+    assert set(read.items()) <= got
+
+
+def test_bitmap_misses_nothing(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-(1 << 63), 1 << 63, 2000)
+    m = tables.bitmap(spark.createDataFrame(pd.DataFrame({"h": x})))
+    assert m.has(x.view(np.uint64)).all() and m.has(rng.integers(-(1 << 63), 1 << 63, 20000).view(np.uint64)).mean() < 0.05
+    assert not tables.bitmap(spark.createDataFrame([], "h bigint")).has(x.view(np.uint64)).any()
+
+
 @pytest.mark.parametrize("read,meant,known", [("tlie", "the", True), ("rnill", "mill", True), ("hacl", "had", True), ("tho", "the", True), ("xqz", "the", False)])
 def test_edit_shape(read, meant, known):
     cost, other = scans.edit_shape(read, meant)
