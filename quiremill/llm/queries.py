@@ -45,6 +45,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_containment(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each leaked item a document is estimated to contain, with the item's size class."""
+    from quiremill.llm.leaks import containment
+
+    return containment(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from quiremill.llm.scans import defects
 
@@ -91,6 +98,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found_lines(table(spark, d, "text_lines"), table(spark, d, "works"))
 
 
+def p5_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The maximal blocks of lines that sites repeat."""
+    from quiremill.llm.sitelines import repeated_blocks
+
+    return repeated_blocks(table(spark, d, "text_lines"), table(spark, d, "works")).select("depth", "works", "occurrences", "first_line")
+
+
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     """Each work's lines without those of its site."""
     from quiremill.llm.sitelines import without_site_lines
@@ -134,12 +148,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_rates": p4_rates,
     "p5_found": p5_found,
+    "p5_blocks": p5_blocks,
     "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p6_usual": p6_usual,
     "p7_found": p7_found,
     "p7_languages": p7_languages,
     "p8_found": p8_found,
+    "p8_containment": p8_containment,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
@@ -168,7 +184,12 @@ def _unusual(t: str, key: str, text: str) -> str:
     return f"select '{t}' as table_name, {key} as row_key from {t} where regexp_matches({text}, '{_VARIANT}') or nfc_normalize({text}) <> {text} or regexp_matches({text}, '{_MIXED}')"
 
 
+def _runs(t: str, key: str) -> str:
+    return rf"""select distinct {key}, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i + 11], ' '))) as g from (select {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as ws from {t}) where len(ws) >= 12"""
+
+
 SQL: dict[str, str] = {
+    "p8_found": f"with d as ({_runs('documents', 'doc_id')}), i as ({_runs('eval_items', 'item_id')}) select distinct doc_id, item_id from d join i using (g)",
     "p6_found": f"{_unusual('text_lines', 'line_id', 'text')} union all {_unusual('annotations', 'annotation_row', 'anchor_text')}",
     "p5_found": f"with {_FORMS} select line_id from f where length(form) - (i > 0)::int >= 20 and (site, form) in (select (site, form) from hit)",
     "p5_clean": f"with {_FORMS} select line_id, work_id, line_index, text from text_lines where line_id not in (select line_id from f where length(form) - (i > 0)::int >= 20 and (site, form) in (select (site, form) from hit))",

@@ -26,7 +26,8 @@ def rows(df):
 def brute_leaks(docs, items, run):
     w = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     grams = lambda t: {tuple(w(t)[k : k + run]) for k in range(len(w(t)) - run + 1)}
-    return sorted({(d, i) for d, t in docs for i, u in items if grams(t) & grams(u)}, key=repr)
+    of_docs, of_items = [(d, grams(t)) for d, t in docs], [(i, grams(u)) for i, u in items]
+    return sorted({(d, i) for d, t in of_docs for i, u in of_items if t & u}, key=repr)
 
 
 def test_leaks_equal_brute_force(spark):
@@ -49,18 +50,31 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.leaked_items(a.limit(0), b).count() == 0
 
 
-def test_leaks_without_broadcast(spark, data, monkeypatch):
-    monkeypatch.setattr(leaks, "BROADCAST_LIMIT", 0)
-    few = leaks.leaked_items(table(spark, data, "documents"), table(spark, data, "eval_items"))
+def test_leaks_by_full_bitmap(spark, data, monkeypatch):
+    monkeypatch.setattr(tables, "MOST_BITS", 1 << 15)
+    docs, items = table(spark, data, "documents").limit(60), table(spark, data, "eval_items")
+    few = rows(leaks.leaked_items(docs, items))
     monkeypatch.undo()
-    assert rows(few) == rows(queries.p8_found(spark, data))
+    want = brute_leaks([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()], [(r[0], r[1]) for r in items.select("item_id", "text").collect()], 12)
+    assert few == want == rows(leaks.leaked_items(docs, items))
+
+
+def test_leaks_by_size_class(spark):
+    word = lambda k, n: " ".join(f"x{k}y{i}" for i in range(n))
+    items = spark.createDataFrame([(k, word(k, n)) for k, n in enumerate((11, 12, 23, 24, 60, 400))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, "before " + " ".join(word(k, n).split()[-12:]) + " after") for k, n in enumerate((11, 12, 23, 24, 60, 400))], "doc_id bigint, text string")
+    got = {r["item_id"]: r for r in leaks.containment(docs, items).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and [got[k]["size_class"] for k in range(1, 6)] == [0, 0, 1, 2, 5] and all(r["doc_id"] == r["item_id"] for r in got.values())
+    assert got[1]["estimate"] == 1 and got[5]["estimate"] < 0.05
+    # Equal hashes aren't enough: the words themselves are compared.
+    assert leaks._alike(["a", "b"], ["a", "c"]) == 1
 
 
 def test_rolling_hash_minima():
     h = np.arange(1, 50).astype(np.uint64)
-    low, first = leaks.minhashes(words.mix(h), np.zeros(49, np.int64), 12)
+    low, at, band = leaks.minhashes(words.mix(h), np.zeros(49, np.int64), 12)
     g = words.rolling(words.mix(h), 5)
-    assert [int(g[k : k + 8].min()) for k in range(38)] == [int(x) for x in low] and list(first) == list(range(38))
+    assert [int(g[k : k + 8].min()) for k in range(38)] == [int(x) for x in low] and all(g[i] == x for i, x in zip(at, low)) and (band == words.rolling(words.mix(h), 12)).all()
 
 
 # Problem 5
