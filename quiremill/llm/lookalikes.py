@@ -3,12 +3,10 @@
 A row goes through three steps: invisible characters leave, letters and digits take their usual
 width and shape and composed accents, spaces and hyphens become plain ones; then each token that
 mixes scripts gets a dominant script, and its letters of other scripts are replaced by look-alikes
-of that script when the word that results is in the vocabulary of the corpus. The vocabulary is the
-set of words in one script of all rows, joined to the candidates by word.
-
-A name that occurs once is in no vocabulary. Where the vocabulary doesn't know the result, a token
-is repaired all the same if every foreign letter has exactly one look-alike in the dominant script,
-so that no choice is left to the vocabulary.
+of that script, or else of another script that the token has, if the word that results is in the
+vocabulary of the corpus. A mixed token of which no reading is in the vocabulary is left as it is and
+reported as unresolved: nothing tells what was meant. The candidates' hashes make a bitmap of bounded
+size, so that the corpus is read once and only words that may be asked for leave the scan.
 """
 
 from __future__ import annotations
@@ -18,13 +16,14 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiremill.llm.words import split_words
+from quiremill.llm.tables import Bitmap, bitmap, cut_table
+from quiremill.llm.words import hash_words, split_words
 
 # Cyrillic and Greek letters and the Latin letters they look like.
 LOOKALIKES = {
@@ -44,6 +43,8 @@ OTHER_SCRIPTS = r"\u0370-\u03FF\u1F00-\u1FFF\u0400-\u052F"
 #: A row without any of these is in its usual form.
 SUSPECT = rf"[\u0300-\u036F\u3099\u309A{VARIANTS}{SPACES}{HYPHENS}{INVISIBLE}{OTHER_SCRIPTS}]"
 
+#: Scripts that are mixed by look-alikes, in the order in which ties are decided.
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
 _INVISIBLE, _SPACES, _HYPHENS, _VARIANTS = (re.compile(f"[{x}]+") for x in (INVISIBLE, SPACES, HYPHENS, VARIANTS))
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -66,22 +67,19 @@ def plain(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-def candidate(token: str) -> tuple[str, bool] | None:
-    """The token in its dominant script and whether that is the only choice; None if it has one script only or letters without a look-alike."""
+def candidates(token: str) -> list[str]:
+    """The token in its dominant script, then in the others that it has, where every letter has a look-alike; none if it has one script only."""
     scripts = [script(c) for c in token]
-    kinds = set(scripts) & {"LATIN", "CYRILLIC", "GREEK"}
+    kinds = set(scripts) & set(SCRIPTS)
     if len(kinds) < 2:
-        return None
-    order = {k: i for i, k in enumerate(("LATIN", "CYRILLIC", "GREEK"))}
-    main = max(kinds, key=lambda k: (scripts.count(k), -order[k]))
-    if main != "LATIN" and all(c in LOOKALIKES for c, s in zip(token, scripts) if s != "LATIN"):
-        main = "LATIN"  # all its letters can be read as Latin ones
-    if main == "LATIN":
-        out = "".join(c if s == "LATIN" else LOOKALIKES.get(c, "") or "\0" for c, s in zip(token, scripts))
-        return None if "\0" in out else (out, True)
-    back = _backwards(main)
-    out = [c if s == main else back.get(c, "\0") for c, s in zip(token, scripts)]
-    return None if "\0" in out else ("".join(out), False)
+        return []
+    out = []
+    for main in sorted(kinds, key=lambda k: (-scripts.count(k), SCRIPTS.index(k))):
+        back = _backwards(main)
+        letters = [c if s == main or s not in SCRIPTS else LOOKALIKES.get(c, c) if main == "LATIN" else back.get(LOOKALIKES.get(c, c), "") for c, s in zip(token, scripts)]
+        if all(letters) and (main != "LATIN" or all(script(c) not in ("CYRILLIC", "GREEK") for c in letters)):
+            out.append("".join(letters))
+    return out
 
 
 @lru_cache
@@ -99,42 +97,69 @@ def repair(text: str, known: dict[str, str] | None) -> str:
     return _TOKEN.sub(lambda m: known.get(m[0], m[0]), text) if known else text
 
 
-def _mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [(k, t, *x) for k, text in zip(b["row_key"], b["text"]) for t in set(_TOKEN.findall(plain(text))) if (x := candidate(t))]
-        yield pd.DataFrame(rows, columns=["row_key", "token", "word", "only"])
+def _mixed(keys: list[str]):
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(*k, t, w) for *k, text in zip(*(b[c] for c in keys), b["text"]) for t in sorted(set(_TOKEN.findall(plain(text)))) if (w := _asked(t)) is not None]
+            yield pd.DataFrame(rows, columns=[*keys, "token", "words"])
 
+    return over
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        words = pc.unique(split_words(b.column(0))[0])
-        yield pa.RecordBatch.from_arrays([words], names=["word"])
+
+@lru_cache(1 << 14)
+def _asked(token: str) -> list[str] | None:
+    """The candidates of a token that mixes scripts, maybe none; None for any other token."""
+    return candidates(token) if len({script(c) for c in token} & set(SCRIPTS)) > 1 else None
 
 
-def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        b["usual"] = [repair(t, dict(k) if k is not None else None) for t, k in zip(b["text"], b["known"])]
-        yield b[["row_key", "text", "usual"]]
+        yield pa.RecordBatch.from_arrays([pa.array(hash_words(b.column(0)).view(np.int64))], names=["hash"])
+
+
+def _vocabulary(asked: Bitmap):
+    """A mapInArrow function: texts to those of their words that the bitmap may have."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = split_words(b.column(0))[0].dictionary_encode()
+            words = flat.combine_chunks().dictionary if isinstance(flat, pa.ChunkedArray) else flat.dictionary
+            yield pa.RecordBatch.from_arrays([words.filter(pa.array(asked.has(hash_words(words))))], names=["low"])
+
+    return over
+
+
+def _repaired(keys: list[str]):
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["usual"] = [repair(t, dict(k) if k is not None else None) for t, k in zip(b["text"], b["known"])]
+            yield b[[*keys, "text", "usual", "unresolved"]]
+
+    return over
 
 
-def unify(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """row_key, text and usual of the rows whose text isn't in its usual form.
+def unify(rows: DataFrame, keys: list[str], text: str, corpus: DataFrame | None = None) -> DataFrame:
+    """The keys, text, usual and unresolved (tokens that stay mixed) of the rows whose text isn't in its usual form.
 
-    Null texts and empty texts are in their usual form. Two rows of one key are each repaired.
+    corpus: one column of texts whose words are the vocabulary, the rows' own if there is none. Null
+    texts and empty texts are in their usual form. Two rows of one key are each repaired, tokens of
+    both being known to both.
     """
-    kind = dict(rows.dtypes)[key]
-    all_rows = rows.select(F.col(key).alias("row_key"), F.col(text).alias("text")).where("text is not null")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    all_rows = rows.select(*keys, F.col(text).alias("text")).where("text is not null")
+    texts = all_rows.select("text") if corpus is None else corpus.select(F.col(corpus.columns[0]).alias("text")).where("text is not null")
     # Texts of ASCII alone are in their usual form; that is cheaper to see than by pattern.
-    suspects = all_rows.where((F.octet_length("text") > F.char_length("text")) & F.col("text").rlike(for_java(SUSPECT)))
-    mixed = suspects.where(F.col("text").rlike(f"[{OTHER_SCRIPTS}]")).mapInPandas(_mixed, f"row_key {kind}, token string, word string, only boolean")
-    vocabulary = all_rows.select("text").mapInArrow(_vocabulary, "word string").distinct().withColumn("in_corpus", F.lit(True))
-    accepted = (
-        mixed.select("token", "word", "only").distinct()
-        .withColumn("low", F.lower("word"))
-        .join(vocabulary.withColumnRenamed("word", "low"), "low", "left")
-        .where(F.coalesce("in_corpus", F.lit(False)) | F.col("only"))
-        .select("token", "word")
-    )
-    known = mixed.select("row_key", "token").join(accepted, "token").groupBy("row_key").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "word")))).alias("known"))
-    out = suspects.join(known, "row_key", "left").mapInPandas(_repaired, f"row_key {kind}, text string, usual string")
-    return out.where("usual <> text")
+    suspects = cut_table(all_rows.where((F.octet_length("text") > F.char_length("text")) & F.col("text").rlike(for_java(SUSPECT))))
+    mixed = cut_table(suspects.where(F.col("text").rlike(f"[{OTHER_SCRIPTS}]")).mapInPandas(_mixed(keys), f"{schema}, token string, words array<string>"))
+    asked = mixed.select("token", "words").distinct().select("token", F.posexplode("words").alias("place", "word")).withColumn("low", F.lower("word"))
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmap(asked.select("low").distinct().mapInArrow(_hashed, "hash bigint")))
+    vocabulary = texts.mapInArrow(lambda it: _vocabulary(wanted.value)(it), "low string").distinct()
+    accepted = asked.join(vocabulary, "low").groupBy("token").agg(F.min_by("word", "place").alias("word"))
+    told = mixed.select(*keys, "token").join(accepted, "token", "left")
+    pair = F.struct("token", "word")
+    known = told.groupBy(*keys).agg(F.map_from_entries(F.array_distinct(F.array_compact(F.collect_list(F.when(F.col("word").isNotNull(), pair))))).alias("known"), F.array_sort(F.collect_set(F.when(F.col("word").isNull(), F.col("token")))).alias("unresolved"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = suspects.alias("a").join(known.alias("b"), same, "left").select(*(F.col(f"a.{k}").alias(k) for k in keys), "a.text", "b.known", F.coalesce("b.unresolved", F.array().cast("array<string>")).alias("unresolved"))
+    out = both.mapInPandas(_repaired(keys), f"{schema}, text string, usual string, unresolved array<string>")
+    return out.where((F.col("usual") != F.col("text")) | (F.size("unresolved") > 0))

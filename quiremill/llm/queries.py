@@ -11,10 +11,12 @@ from quiremill.session import table
 
 
 def _unified(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors are quoted from their segments, so the words of those belong to the vocabulary."""
     from quiremill.llm.lookalikes import unify
 
-    parts = [unify(table(spark, d, t), key, text).withColumn("table_name", F.lit(t)) for t, key, text in (("text_lines", "line_id", "text"), ("annotations", "annotation_row", "anchor_text"))]
-    return parts[0].unionByName(parts[1])
+    each = [table(spark, d, t).select(F.lit(t).alias("table_name"), F.col(key).alias("row_key"), F.col(text).alias("text")) for t, key, text in (("text_lines", "line_id", "text"), ("annotations", "annotation_row", "anchor_text"))]
+    rows = each[0].unionByName(each[1])
+    return unify(rows, ["table_name", "row_key"], "text", rows.select("text").union(table(spark, d, "segments").select("source_text")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +25,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_usual(spark: SparkSession, d: str) -> DataFrame:
     """The changed rows in their usual form."""
-    return _unified(spark, d).select("table_name", "row_key", "usual")
+    return _unified(spark, d).where("usual <> text").select("table_name", "row_key", "usual")
+
+
+def p6_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens that mix scripts and of which no reading is a word of the corpus."""
+    return _unified(spark, d).select("table_name", "row_key", F.explode("unresolved").alias("token"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -152,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p6_usual": p6_usual,
+    "p6_unresolved": p6_unresolved,
     "p7_found": p7_found,
     "p7_languages": p7_languages,
     "p8_found": p8_found,

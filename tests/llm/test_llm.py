@@ -143,9 +143,18 @@ def test_plain(text, usual):
 
 
 def test_unify(spark):
-    df = spark.createDataFrame([(1, "the сlock that"), (2, "the clock"), (3, "слово"), (4, None), (5, ""), (6, "Grafоl"), (6, "Grafоl"), (7, "plain text")], "k bigint, t string")
-    assert rows(lookalikes.unify(df, "k", "t")) == [(1, "the сlock that", "the clock that"), (6, "Grafоl", "Grafol"), (6, "Grafоl", "Grafol")]
-    assert lookalikes.unify(df.limit(0), "k", "t").count() == 0
+    df = spark.createDataFrame([(1, "the сlock that"), (2, "the clock"), (3, "слово"), (4, None), (5, ""), (6, "Grafоl"), (6, "Grafоl"), (7, "plain text"), (None, "сlock")], "k bigint, t string")
+    got = lookalikes.unify(df, ["k"], "t")
+    assert rows(got.select("k", "t" if "t" in got.columns else "text", "usual")) == sorted([(1, "the сlock that", "the clock that"), (6, "Grafоl", "Grafоl"), (6, "Grafоl", "Grafоl"), (None, "сlock", "clock")], key=repr)
+    assert rows(got.where("size(unresolved) > 0").select("k", "unresolved")) == [(6, ["Grafоl"])] * 2
+    assert lookalikes.unify(df.limit(0), ["k"], "t").count() == 0
+
+
+def test_vocabulary_decides(spark):
+    # Three of four letters are Cyrillic; which script is meant only the corpus can tell.
+    df = spark.createDataFrame([(1, "соcк")], "k bigint, t string")
+    usual = lambda words_: lookalikes.unify(df, ["k"], "t", spark.createDataFrame([(w,) for w in words_], "t string")).first()["usual"]
+    assert usual(["cock"]) == "cock" and usual(["соск"]) == "соск" == usual(["cock", "соск"]) and usual(["mill"]) == "соcк"
 
 
 # Problem 10
