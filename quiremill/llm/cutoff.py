@@ -1,11 +1,12 @@
 """Values that were cut off by field limits or in transfer (problem 4).
 
-The length of every value is worked out anew in several encodings. A storage limit shows as a heap
-of values at the greatest length of one model's field in one encoding; the encoding with the
-highest heap is the one the limit was meant in. Then the endings are looked at: a value is cut off
-when its last sentence isn't finished, or when only a mark of the cut stands behind it. A value
-whose source text doesn't end in a full stop either is finished in the way that such sources
-usually are, as counted over all values.
+The length of every value is worked out anew in several encodings. A storage limit shows as a heap of
+values at one length of a model's field in one encoding, with next to none above it; the encoding with
+the highest heap is the one the limit was meant in. Then the endings are looked at. A value at its
+limit is cut off unless its last sentence is finished: there every other ending is doubtful. A value
+away from it is cut off only by an ending that tells by itself: a mark of the cut that its source
+doesn't end with too, or a word or sentence broken off in another way than such sources are
+regularly translated, as counted over all values.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 MARK = r"(?:\s*(?:[\[(]\s*(?:\.\.\.|…)\s*[\])]?|\.\.\.|…|<[^<>\n]{0,12}>?|&#?\w{0,8};?|\x{FFFD}+))+\s*$"
 #: A finished sentence.
 FINISHED = r"[.!?。！？]['\"”’»)\]」』）]*\s*$"
-#: A limit shows by at least so many values at the greatest length, and so many times what the lengths below have.
-LEAST, TIMES = 3, 5
+#: A limit shows by at least so many values at one length that break off though their sources don't, and so many times what the NEAR lengths below have.
+LEAST, TIMES, NEAR = 3, 5, 128
+#: Values above a limit that it may have as a share of those at it: strays from before it was set.
+STRAY = 0.1
 #: Bytes by which a value in bytes can end below the limit, as characters aren't divided.
 SLACK = 3
 #: Share of the values of one kind of source ending that must end alike to count as finished.
@@ -54,18 +57,18 @@ def values(segments: DataFrame) -> DataFrame:
 def limits(vals: DataFrame) -> DataFrame:
     """field_name, model, encoding, limit, slack and values at it: at most one limit for each field and model."""
     each = F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k in lengths(F.col("value")))), F.array(*(v.cast("int") for v in lengths(F.col("value")).values())))).alias("encoding", "length")
-    counts = vals.select("field_name", "model", each).groupBy("field_name", "model", "encoding", "length").agg(F.count(F.lit(1)).alias("n"))
+    torn = (~F.col("value").rlike(FINISHED) | (F.regexp_extract("value", MARK, 0) != "")) & F.coalesce("source_text", F.lit(".")).rlike(FINISHED)
+    counts = vals.select("field_name", "model", torn.alias("torn"), each).groupBy("field_name", "model", "encoding", "length").agg(F.count(F.lit(1)).alias("n"), F.count_if("torn").alias("torn"))
     group = ["field_name", "model", "encoding"]
-    top = F.max("length").over(Window.partitionBy(*group))
-    slack = F.when(F.col("encoding").contains("bytes"), SLACK).otherwise(0)
-    heaps = (
-        counts.withColumn("limit", top).withColumn("slack", slack)
-        .groupBy(*group, "limit", "slack")
-        .agg(F.sum(F.when(F.col("length") >= F.col("limit") - F.col("slack"), F.col("n")).otherwise(0)).alias("at"), F.sum(F.when((F.col("length") < F.col("limit") - F.col("slack")) & (F.col("length") >= F.col("limit") * 0.9), F.col("n")).otherwise(0)).alias("below"))
-        .withColumn("usual", F.col("below") * (F.col("slack") + 1) / F.greatest(F.lit(1.0), F.col("limit") * 0.1 - F.col("slack")))
-        .where((F.col("at") >= LEAST) & (F.col("at") >= F.col("usual") * TIMES))
-    )
-    best = F.max_by(F.struct("encoding", "limit", "slack", "at"), F.struct(F.col("at") / (F.col("slack") + 1), F.col("at"), -F.array_position(F.array(*(F.lit(k) for k in lengths(F.lit("")))), F.col("encoding"))))
+    by = Window.partitionBy(*group).orderBy("length")
+    bytes_ = F.col("encoding").contains("bytes")
+    near = lambda lo, hi: F.coalesce(F.sum("n").over(by.rangeBetween(lo, hi)), F.lit(0))
+    heaps = counts.withColumns({
+        "slack": F.when(bytes_, SLACK).otherwise(0), "at": F.when(bytes_, near(-SLACK, 0)).otherwise(F.col("n")), "below": F.when(bytes_, near(-SLACK - NEAR, -SLACK - 1)).otherwise(near(-NEAR, -1)), "above": near(1, Window.unboundedFollowing),
+        "torn": F.when(bytes_, F.coalesce(F.sum("torn").over(by.rangeBetween(-SLACK, 0)), F.lit(0))).otherwise(F.col("torn")),
+    })
+    heaps = heaps.withColumn("limit", F.col("length")).where((F.col("torn") >= LEAST) & (F.col("at") >= F.col("below") * (F.col("slack") + 1) / NEAR * TIMES) & (F.col("above") <= F.col("at") * STRAY))
+    best = F.max_by(F.struct("encoding", "limit", "slack", "at"), F.struct(F.col("at") / (F.col("slack") + 1), F.col("at"), -F.array_position(F.array(*(F.lit(k) for k in lengths(F.lit("")))), F.col("encoding")), F.col("limit")))
     return heaps.groupBy("field_name", "model").agg(best.alias("b")).select("field_name", "model", "b.*")
 
 
@@ -93,16 +96,19 @@ def judged(segments: DataFrame) -> DataFrame:
         .withColumn("source_sig", F.when(~F.col("source_finished") & ~F.rtrim("source").endswith("…"), _signature(F.col("source"))))
         .withColumn("sig", F.when(F.col("source_sig").isNotNull() & ~F.col("finished") & (F.col("mark") == ""), _signature(F.col("value"))))
     )
-    open_ones = v.where("sig is not null").groupBy("source_sig", "sig").agg(F.count(F.lit(1)).alias("n"))
+    told = v.select("seg_row", "field_name", "model", "at_limit", "encoding", "limit", "mark", "finished", F.rtrim("source").endswith("…").alias("source_open"), "source_sig", "sig")
+    open_ones = told.where("sig is not null").groupBy("source_sig", "sig").agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("source_sig"))
-    usual = open_ones.withColumn("share", share).where((F.col("share") >= USUAL) & (F.col("n") >= 2)).select("source_sig", "sig", F.lit(True).alias("usual"))
+    usual = open_ones.withColumn("share", share).where((F.col("share") >= USUAL) & (F.col("n") >= 2)).select(F.col("source_sig").alias("a"), F.col("sig").alias("b"), F.lit(True).alias("usual"))
+    # Values without a signature have no partner; keys of their own keep them from being one task's.
+    told = told.withColumns({"a": F.coalesce("source_sig", F.concat(F.lit("\0"), F.col("seg_row"))), "b": F.coalesce("sig", F.lit(""))}).join(usual, ["a", "b"], "left")
     cut = (
-        F.when((F.col("mark") == "…") & F.rtrim("source").endswith("…"), F.col("at_limit"))
-        .when(F.col("mark") != "", True)
-        .when(F.col("finished"), False)
+        F.when(F.col("finished") & (F.col("mark") == ""), False)
+        .when(F.col("at_limit"), True)
+        .when(F.col("mark") != "", ~((F.col("mark") == "…") & F.col("source_open")))
         .otherwise(F.col("usual").isNull())
     )
-    return v.join(usual, ["source_sig", "sig"], "left").select("seg_row", "field_name", "model", F.when(F.col("at_limit"), F.col("encoding")).alias("encoding"), F.when(F.col("at_limit"), F.col("limit")).alias("limit"), cut.alias("cut"))
+    return told.select("seg_row", "field_name", "model", F.when(F.col("at_limit"), F.col("encoding")).alias("encoding"), F.when(F.col("at_limit"), F.col("limit")).alias("limit"), cut.alias("cut"))
 
 
 def cut_rates(segments: DataFrame) -> DataFrame:

@@ -255,6 +255,20 @@ def test_cut_values(spark):
     assert cutoff.judged(df.limit(0)).count() == 0 and cutoff.cut_rates(df).where("cut > values").count() == 0
 
 
+def test_limits_decide(spark, monkeypatch):
+    close = [(i, "lim", f"It rained. End of book {i}", ("Trời mưa. " * 20)[:91] + f"Hết quyển {i % 9}") for i in range(40)]
+    shorter = [(100 + i, "lim", f"It rained. End of book {i}", "Trời mưa. " * (1 + i % 8) + f"Hết quyển {i % 9}") for i in range(40)]
+    close += [(300 + i, "lim", "It rained.", ("Trời mưa. " * 20)[: 102 - 2 * (i % 8)] + "ng" * (i % 8)) for i in range(40)]
+    stray = [(200, "lim", "It rained.", "Trời mưa. " * 30)]
+    df = spark.createDataFrame([(a, m, s, d, None, None) for a, m, s, d in close + shorter + stray], "seg_row bigint, draft_model string, source_text string, draft_raw string, final string, polish_model string")
+    assert [(r["limit"], r["at"]) for r in cutoff.limits(cutoff.values(df)).collect()] == [(102, 80)]
+    # The same ending is regular away from the limit and a cut at it.
+    assert {r["seg_row"] for r in cutoff.judged(df).where("cut").collect()} == {r[0] for r in close if not r[3].endswith(".")}
+    none = cutoff.limits(cutoff.values(df)).limit(0)
+    monkeypatch.setattr(cutoff, "limits", lambda vals: none)
+    assert {r["seg_row"] for r in cutoff.judged(df).where("cut").collect()} == {r[0] for r in close if r[0] >= 300 and not r[3].endswith(".")}
+
+
 # Problem 3
 
 
