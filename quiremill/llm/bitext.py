@@ -3,7 +3,9 @@
 The lexicon comes from the texts themselves: sentences of one segment that alone share a name or a
 number are taken as pairs, the units (words of the source; syllables and pairs of syllables of the
 translation) that occur in them together are counted over all segments, and pairs of units stay
-whose log-likelihood ratio is high. A unit of the translation speaks for a source word as much as
+whose log-likelihood ratio is high. Units too rare to make an entry are counted out first, so only pairs
+of the others are formed, as numbers, and put together over the cluster; the tests of an entry run there
+too, and what the driver gets is the lexicon. A unit of the translation speaks for a source word as much as
 the word's chance is raised by it. Sentence pairs get the shares of each other's weight that they
 cover. A Hungarian assignment with null costs picks the pairs of greatest total weight; sentences
 that are left over then join a pair as a merged span, again by assignment, when they cover what the
@@ -13,21 +15,24 @@ span has uncovered so far.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiremill.llm.cutoff import judged
-from quiremill.session import cut
+from quiremill.llm.tables import cut_table
 
 #: Log-likelihood ratio, and rise of the word's chance by the unit and of the unit's by the word, from which a pair is an entry.
 RATIO, RISE, BACK = 15.0, 0.25, 0.06
-#: Entries of the lexicon that are kept, those of the highest ratio: a vocabulary's worth, not a corpus's.
-ENTRIES = 400_000
+#: Sentence pairs, and share of all of them, that a unit must occur in. With some 60 units in a pair there are at most 60 / SHARE units, whatever the corpus, and each has at most 60 / RISE entries.
+LEAST, SHARE = 3, 1e-5
+#: Pairs of units that a task counts at a time.
+KEYS = 1 << 23
 #: Share of either sentence that the other must cover for a pair to count, and the cost of leaving both alone.
 COVER, NULL = 0.55, 0.42
 #: Share of a span's weight that a further sentence must newly cover, and share of its own that must be covered.
@@ -45,6 +50,19 @@ def sentences(text: str) -> list[str]:
     return [s for s in _END.split(text.strip()) if s]
 
 
+class _Hashes(dict):
+    """Units by their 63-bit hashes, remembered for the vocabulary of a task."""
+
+    def __missing__(self, unit: str) -> int:
+        h = xxhash.xxh64_intdigest(unit) >> 1
+        if len(self) < 1 << 20:
+            self[unit] = h
+        return h
+
+
+_hash = _Hashes()
+
+
 def source_units(s: str) -> set[str]:
     return {w.lower() for w in _WORD.findall(s)}
 
@@ -58,9 +76,16 @@ def target_units(s: str) -> set[str]:
     return out
 
 
+def _marks(words: list[str]) -> set[str]:
+    return {w for w in words if w[0] not in _SMALL and (w.isdigit() or (len(w) >= 4 and w[0].isupper() and w.isascii() and w.isalpha()))}
+
+
+_SMALL = frozenset("abcdefghijklmnopqrstuvwxyz")
+
+
 def marks(s: str) -> set[str]:
     """Numbers, and words of plain letters with a capital: they are the same in both languages."""
-    return {w for w in _WORD.findall(s) if w.isdigit() or (w[0].isupper() and len(w) >= 4 and w.isascii() and w.isalpha())}
+    return _marks(_WORD.findall(s))
 
 
 def anchor_pairs(src: list[str], tgt: list[str]) -> set[tuple[int, int]]:
@@ -73,25 +98,20 @@ def anchor_pairs(src: list[str], tgt: list[str]) -> set[tuple[int, int]]:
     return {(a[0], b[0]) for a, b in where.values() if len(a) == 1 and len(b) == 1}
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Numbers of anchor pairs with a source unit, a translation unit, and both; names are left out."""
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hashed source and translation units of each anchor pair; names are left out."""
     for b in batches:
-        both: Counter = Counter()
-        left: Counter = Counter()
-        right: Counter = Counter()
-        n = 0
+        rows = []
         for s, t in zip(b["source_text"], b["value"]):
             src, tgt = sentences(s), sentences(t)
+            anchors = anchor_pairs(src, tgt)
+            if not anchors:
+                continue
             named = {m.lower() for m in marks(s) & marks(t)}
-            for i, j in anchor_pairs(src, tgt):
+            for i, j in anchors:
                 e, v = source_units(src[i]) - named, target_units(tgt[j])
-                v = {x for x in v if not named or named.isdisjoint(x.split())}
-                n += 1
-                left.update(e)
-                right.update(v)
-                for x in e:
-                    both.update((x, y) for y in v)
-        yield pd.DataFrame([*((x, y, k) for (x, y), k in both.items()), *((x, None, k) for x, k in left.items()), *((None, y, k) for y, k in right.items()), (None, None, n)], columns=["e", "v", "n"])
+                rows.append(([_hash[x] for x in e], [_hash[x] for x in v if not named or named.isdisjoint(x.split())]))
+        yield pd.DataFrame(rows, columns=["e", "v"])
 
 
 def log_likelihood(both, left, right, total):
@@ -104,45 +124,98 @@ def log_likelihood(both, left, right, total):
     return 2 * part.sum(axis=0)
 
 
+class Margins:
+    """Sentence pairs, and the units of both sides by hash, sorted, with the pairs that they are in."""
+
+    def __init__(self, total: int, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> None:
+        self.total, self.left, self.right = total, left, right
+
+    def entries(self, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are entries, by key (number of the source unit times the translation's units, plus the number of that one), and how much each raises the word's chance."""
+        width = max(1, len(self.right[0]))
+        a, b, n = self.left[1][key // width].astype(float), self.right[1][key % width].astype(float), n.astype(float)
+        base = a / self.total
+        rise = (n / b - base) / np.maximum(1 - base, 1e-9)
+        back = (n / a - b / self.total) / np.maximum(1 - b / self.total, 1e-9)
+        return (n >= LEAST) & (log_likelihood(n, a, b, self.total) >= RATIO) & (rise >= RISE) & (back >= BACK), rise
+
+
 class Lexicon:
-    """Entries by translation unit, and weights of the units of both sides."""
-
-    def __init__(self, rows: pd.DataFrame) -> None:
-        e_none, v_none = rows["e"].isna(), rows["v"].isna()
-        self.total = float(rows.loc[e_none & v_none, "n"].sum())
-        left = rows[~e_none & v_none].set_index("e")["n"].astype(float)
-        right = rows[e_none & ~v_none].set_index("v")["n"].astype(float)
-        pairs = rows[~e_none & ~v_none]
-        self.entries: dict[str, list[tuple[str, float]]] = defaultdict(list)
-        if len(pairs):
-            n, a, b = pairs["n"].to_numpy(float), left.reindex(pairs["e"]).to_numpy(), right.reindex(pairs["v"]).to_numpy()
-            base = a / self.total
-            rise = (n / b - base) / np.maximum(1 - base, 1e-9)
-            ratio = log_likelihood(n, a, b, self.total)
-            back = (n / a - b / self.total) / np.maximum(1 - b / self.total, 1e-9)
-            good = np.flatnonzero((ratio >= RATIO) & (rise >= RISE) & (back >= BACK))
-            good = good[np.argsort(-ratio[good], kind="stable")][:ENTRIES]
-            for e, v, r in zip(pairs["e"].to_numpy()[good], pairs["v"].to_numpy()[good], rise[good]):
-                self.entries[v].append((e, float(r)))
-        known_e = {e for x in self.entries.values() for e, _ in x}
-        self.left = {e: float(np.log(self.total / k)) for e, k in left.items() if e in known_e}
-        self.right = {v: float(np.log(self.total / right[v])) for v in self.entries}
-        self.entries = dict(self.entries)
+    """Entries by translation unit, and weights of the units of both sides, all by hash."""
+
+    def __init__(self, m: Margins, key: np.ndarray, rise: np.ndarray) -> None:
+        width = max(1, len(m.right[0]))
+        e, v = key // width, key % width
+        order = np.argsort(v, kind="stable")
+        units, first = np.unique(v[order], return_index=True)
+        self.entries = dict(zip(m.right[0][units].tolist(), zip(np.split(m.left[0][e[order]], first[1:]), np.split(rise[order], first[1:]))))
+        e, v = np.unique(e), np.unique(v)
+        self.left = dict(zip(m.left[0][e].tolist(), np.log(m.total / m.left[1][e]).tolist()))
+        self.right = dict(zip(m.right[0][v].tolist(), np.log(m.total / m.right[1][v]).tolist()))
+
+
+NO_LEXICON = Lexicon(Margins(1, (np.empty(0, np.int64),) * 2, (np.empty(0, np.int64),) * 2), np.empty(0, np.int64), np.empty(0))
+
+
+def _numbers(lists: pd.Series, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the known units of all lists laid end to end, and how many each list has."""
+    size = lists.map(len).to_numpy()
+    flat = np.concatenate(lists.to_numpy()) if len(lists) else np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+    here = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+    return at[here], np.bincount(np.repeat(np.arange(len(lists)), size)[here], minlength=len(lists))
+
+
+def _counted(margins):
+    """A mapInPandas function: anchor pairs to the number of those with each pair of units, by key."""
+
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = margins.value
+        width = max(1, len(m.right[0]))
+        for b in batches:
+            e, many = _numbers(b["e"], m.left[0])
+            v, more = _numbers(b["v"], m.right[0])
+            e_at, v_at = np.concatenate([[0], np.cumsum(many)]), np.concatenate([[0], np.cumsum(more)])
+            done = np.concatenate([[0], np.cumsum(many * more)])
+            lo = 0
+            while lo < len(b):  # as many sentence pairs at a time as have KEYS pairs of units
+                hi = max(lo + 1, int(np.searchsorted(done, done[lo] + KEYS, "right")) - 1)
+                per = np.repeat(more[lo:hi], many[lo:hi])  # each source unit meets as many
+                first = np.repeat(v_at[lo:hi], many[lo:hi])
+                of = np.repeat(np.arange(len(per)), per)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+                key, n = np.unique(e[e_at[lo] : e_at[hi]][of] * width + v[first[of] + place], return_counts=True)
+                yield pd.DataFrame({"key": key, "n": n})
+                lo = hi
+
+    return over
+
+
+def _tested(margins):
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            good, rise = margins.value.entries(b["key"].to_numpy(), b["n"].to_numpy())
+            yield pd.DataFrame({"key": b["key"][good], "rise": rise[good]})
+
+    return over
 
 
 def induce(vals: DataFrame) -> Lexicon:
-    """The lexicon of all values. Counts of pairs seen once are no evidence and stay on the executors."""
-    rows = cut(vals.mapInPandas(_counts, "e string, v string, n bigint").groupBy("e", "v").agg(F.sum("n").alias("n")).where("n > 2 or e is null or v is null"))
-    return Lexicon(_strongest(rows).toPandas())
+    """The lexicon of all values."""
+    sc = vals.sparkSession.sparkContext
+    pairs = cut_table(vals.mapInPandas(_pairs, "e array<bigint>, v array<bigint>"))
+    total = pairs.count()
+    least = max(LEAST, SHARE * total)
 
+    def units(side: str) -> tuple[np.ndarray, np.ndarray]:
+        rows = pairs.select(F.explode(side).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toPandas().sort_values("unit")
+        return rows["unit"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
-def _strongest(rows: DataFrame) -> DataFrame:
-    """The counts that can become entries, and the margins of their units: what the driver gets is the size of a vocabulary."""
-    left = rows.where("v is null and e is not null").select("e", F.col("n").alias("a"))
-    right = rows.where("e is null and v is not null").select("v", F.col("n").alias("b"))
-    total = rows.where("e is null and v is null").select(F.col("n").alias("t"))
-    pairs = rows.where("e is not null and v is not null").join(right, "v").where(F.col("n") >= F.col("b") * RISE).join(left, "e").select("e", "v", "n")
-    return pairs.union(left.where("a > 2").select("e", F.lit(None).cast("string"), "a")).union(right.where("b > 2").select(F.lit(None).cast("string"), "v", "b")).union(total.select(F.lit(None).cast("string"), F.lit(None).cast("string"), "t"))
+    margins = Margins(total, units("e"), units("v"))
+    shared = sc.broadcast(margins)
+    counts = pairs.mapInPandas(_counted(shared), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    rows = counts.mapInPandas(_tested(shared), "key bigint, rise double").toPandas().sort_values("key")
+    return Lexicon(margins, rows["key"].to_numpy(np.int64), rows["rise"].to_numpy(float)) if len(rows) else NO_LEXICON
 
 
 def hungarian(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -216,28 +289,49 @@ def align(src: list[str], tgt: list[str], lexicon: Lexicon) -> list[tuple[int, i
     """Pairs of numbers of sentences of which the second translates the first or a part of it."""
     if not src or not tgt:
         return []
-    common = set().union(*map(marks, src)) & set().union(*map(marks, tgt))
+    s_words, t_words = [_WORD.findall(x) for x in src], [[_WORD.findall(c) for c in _CLAUSE.split(x)] for x in tgt]
+    s_named, t_named = [_marks(w) for w in s_words], [_marks([x for c in w for x in c]) for w in t_words]
+    common = set().union(*s_named) & set().union(*t_named)
     left, right = [], []
-    for s in src:
-        named = marks(s) & common
+    for words, own in zip(s_words, s_named):
+        named = own & common
         low = {m.lower() for m in named}
-        left.append(named | {w for w in source_units(s) if w in lexicon.left and w not in low})
-    for t in tgt:
-        named = marks(t) & common
+        left.append(named | {h for w in {w.lower() for w in words} - low if (h := _hash[w]) in lexicon.left})
+    for clauses, own in zip(t_words, t_named):
+        named = own & common
         low = {m.lower() for m in named}
-        right.append(named | {w for w in target_units(t) if w in lexicon.right and low.isdisjoint(w.split())})
-    e_at = {w: i for i, w in enumerate(sorted(set().union(*left)))}
-    v_at = {w: i for i, w in enumerate(sorted(set().union(*right)))}
+        units: set[int] = set()
+        for clause in clauses:
+            before = None
+            for w in clause:
+                w = w.lower()
+                if w in low:
+                    before = None
+                    continue
+                if (h := _hash[w]) in lexicon.right:
+                    units.add(h)
+                if before is not None and (h := _hash[f"{before} {w}"]) in lexicon.right:
+                    units.add(h)
+                before = w
+        right.append(named | units)
+    e_at = {w: i for i, w in enumerate(sorted(set().union(*left), key=str))}
+    v_at = {w: i for i, w in enumerate(sorted(set().union(*right), key=str))}
     if not e_at or not v_at:
         return []
     link = np.zeros((len(e_at), len(v_at)))
-    for v, j in v_at.items():
-        if v in common and v in e_at:
-            link[e_at[v], j] = 1.0
-        else:
-            for e, r in lexicon.entries.get(v, ()):
-                if e in e_at:
-                    link[e_at[e], j] = r
+    for m in common:
+        if m in v_at and m in e_at:
+            link[e_at[m], v_at[m]] = 1.0
+    asked = [v for v in v_at if v not in common]
+    if asked:
+        hashes = np.array([e for e in e_at if e not in common], np.int64)
+        by_hash = np.argsort(hashes)
+        size = [len(lexicon.entries[v][0]) for v in asked]
+        e, r = (np.concatenate([lexicon.entries[v][k] for v in asked]) for k in (0, 1))
+        at = np.minimum(np.searchsorted(hashes, e, sorter=by_hash), max(0, len(hashes) - 1))
+        here = hashes[by_hash[at]] == e if len(hashes) else np.zeros(len(e), bool)
+        rows = np.array([e_at[x] for x in hashes.tolist()], np.int64)
+        link[rows[by_hash[at[here]]], np.repeat([v_at[v] for v in asked], size)[here]] = r[here]
     we = np.array([NAME if e in common else lexicon.left[e] for e in e_at])
     wv = np.array([NAME if v in common else lexicon.right[v] for v in v_at])
     s_has, t_has = np.zeros((len(src), len(e_at)), bool), np.zeros((len(tgt), len(v_at)), bool)
@@ -251,8 +345,9 @@ def align(src: list[str], tgt: list[str], lexicon: Lexicon) -> list[tuple[int, i
     cover_t = (by_s * wv) @ t_has.T / t_weight
     cover_s = ((by_t * we) @ s_has.T).T / s_weight[:, None]
     # Marks that both texts have: sentences that each have some must have one in common.
-    s_marks = np.array([[m in x for m in sorted(common)] for x in left]).reshape(len(src), -1)
-    t_marks = np.array([[m in x for m in sorted(common)] for x in right]).reshape(len(tgt), -1)
+    order = sorted(common)
+    s_marks = np.array([[m in x for m in order] for x in s_named]).reshape(len(src), -1)
+    t_marks = np.array([[m in x for m in order] for x in t_named]).reshape(len(tgt), -1)
     shared = (s_marks.astype(int) @ t_marks.T.astype(int)) > 0
     fits = shared | ~(s_marks.any(axis=1)[:, None] & t_marks.any(axis=1)[None])
     weight = np.where(fits & (np.maximum(cover_s, cover_t) >= COVER), (cover_s + cover_t) / 2 - NULL, 0.0)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: What may be put behind a cut: an ellipsis, in brackets or not, the head of a tag or entity, a replacement character.
 MARK = r"(?:\s*(?:[\[(]\s*(?:\.\.\.|…)\s*[\])]?|\.\.\.|…|<[^<>\n]{0,12}>?|&#?\w{0,8};?|\x{FFFD}+))+\s*$"
-#: A finished sentence.
-FINISHED = r"[.!?。！？]['\"”’»)\]」』）]*\s*$"
+#: What can stand behind the end of a finished sentence, and its end.
+CLOSERS, ENDS = "'\"”’»)]」』） \t\r\n", ".!?。！？"
 #: A limit shows by at least so many values at one length that break off though their sources don't, and so many times what the NEAR lengths below have.
 LEAST, TIMES, NEAR = 3, 5, 128
 #: Values above a limit that it may have as a share of those at it: strays from before it was set.
@@ -28,21 +28,33 @@ SLACK = 3
 USUAL = 0.1
 
 
-def _count(c: Column, pattern: str) -> Column:
-    return F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+def finished(c: Column) -> Column:
+    """Whether the last sentence has its end. Only the end of the text is looked at."""
+    return F.right(F.rtrim(c, F.lit(CLOSERS)), F.lit(1)).isin(*ENDS)
+
+
+def mark_of(c: Column) -> Column:
+    """The mark of a cut at the end, empty if there is none. The last part of one has 14 characters at most, so most texts needn't be searched."""
+    return F.when(F.right(F.rtrim(c, F.lit(" \t\r\n")), F.lit(16)).rlike(MARK), F.trim(F.regexp_extract(c, MARK, 0))).otherwise("")
+
+
+def _count(c: Column, chars: str) -> Column:
+    return sum((F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in chars), F.lit(0))
 
 
 def lengths(c: Column) -> dict[str, Column]:
     """Lengths under alternative encodings and conversions."""
-    n, lines = F.char_length(c), _count(c, r"\n")
+    n, lines = F.char_length(c), _count(c, "\n")
+    escaped = _count(c, "\"\\\n\r\t")
+    beyond_ascii = F.regexp_count(c, F.lit(r"[^\x00-\x7F]"))
     return {
         "characters": n,
         "utf8_bytes": F.octet_length(c),
-        "utf16_units": n + _count(c, r"[\x{10000}-\x{10FFFF}]"),
-        "html_escaped": n + 4 * _count(c, "&") + 3 * _count(c, "[<>]") + 5 * _count(c, "\""),
-        "numeric_entities": n + 5 * _count(c, r"[^\x00-\x7F]"),
-        "json_escaped": n + _count(c, r"[\"\\\n\r\t]"),
-        "json_ascii": n + _count(c, r"[\"\\\n\r\t]") + 5 * _count(c, r"[^\x00-\x7F]"),
+        "utf16_units": n + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]")),
+        "html_escaped": n + 4 * _count(c, "&") + 3 * _count(c, "<>") + 5 * _count(c, "\""),
+        "numeric_entities": n + 5 * beyond_ascii,
+        "json_escaped": n + escaped,
+        "json_ascii": n + escaped + 5 * beyond_ascii,
         "crlf_characters": n + lines,
         "crlf_utf8_bytes": F.octet_length(c) + lines,
     }
@@ -56,15 +68,16 @@ def values(segments: DataFrame) -> DataFrame:
 
 def limits(vals: DataFrame) -> DataFrame:
     """field_name, model, encoding, limit, slack and values at it: at most one limit for each field and model."""
-    each = F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k in lengths(F.col("value")))), F.array(*(v.cast("int") for v in lengths(F.col("value")).values())))).alias("encoding", "length")
-    torn = (~F.col("value").rlike(FINISHED) | (F.regexp_extract("value", MARK, 0) != "")) & F.coalesce("source_text", F.lit(".")).rlike(FINISHED)
-    counts = vals.select("field_name", "model", torn.alias("torn"), each).groupBy("field_name", "model", "encoding", "length").agg(F.count(F.lit(1)).alias("n"), F.count_if("torn").alias("torn"))
+    each = F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k in lengths(F.lit("")))), "lengths")).alias("encoding", "length")
+    torn = (~finished(F.col("value")) | (mark_of(F.col("value")) != "")) & finished(F.coalesce("source_text", F.lit(".")))
+    told = vals.select("field_name", "model", torn.alias("torn"), F.array(*(v.cast("int") for v in lengths(F.col("value")).values())).alias("lengths"))
+    counts = told.select("field_name", "model", "torn", each).groupBy("field_name", "model", "encoding", "length").agg(F.count(F.lit(1)).alias("n"), F.count_if("torn").alias("torn"))
     group = ["field_name", "model", "encoding"]
     by = Window.partitionBy(*group).orderBy("length")
     bytes_ = F.col("encoding").contains("bytes")
     near = lambda lo, hi: F.coalesce(F.sum("n").over(by.rangeBetween(lo, hi)), F.lit(0))
     heaps = counts.withColumns({
-        "slack": F.when(bytes_, SLACK).otherwise(0), "at": F.when(bytes_, near(-SLACK, 0)).otherwise(F.col("n")), "below": F.when(bytes_, near(-SLACK - NEAR, -SLACK - 1)).otherwise(near(-NEAR, -1)), "above": near(1, Window.unboundedFollowing),
+        "slack": F.when(bytes_, SLACK).otherwise(0), "at": F.when(bytes_, near(-SLACK, 0)).otherwise(F.col("n")), "below": F.when(bytes_, near(-SLACK - NEAR, -SLACK - 1)).otherwise(near(-NEAR, -1)), "above": F.sum("n").over(Window.partitionBy(*group)) - near(Window.unboundedPreceding, 0),
         "torn": F.when(bytes_, F.coalesce(F.sum("torn").over(by.rangeBetween(-SLACK, 0)), F.lit(0))).otherwise(F.col("torn")),
     })
     heaps = heaps.withColumn("limit", F.col("length")).where((F.col("torn") >= LEAST) & (F.col("at") >= F.col("below") * (F.col("slack") + 1) / NEAR * TIMES) & (F.col("above") <= F.col("at") * STRAY))
@@ -89,10 +102,10 @@ def judged(segments: DataFrame) -> DataFrame:
     v = (
         vals.join(found.withColumnRenamed("model", "of_model").withColumnRenamed("field_name", "of_field"), F.col("model").eqNullSafe(F.col("of_model")) & (F.col("field_name") == F.col("of_field")), "left")
         .withColumn("at_limit", F.coalesce(here >= F.col("limit") - F.col("slack"), F.lit(False)))
-        .withColumn("mark", F.trim(F.regexp_extract("value", MARK, 0)))
-        .withColumn("finished", F.col("value").rlike(FINISHED))
+        .withColumn("mark", mark_of(F.col("value")))
+        .withColumn("finished", finished(F.col("value")))
         .withColumn("source", F.coalesce("source_text", F.lit(".")))
-        .withColumn("source_finished", F.col("source").rlike(FINISHED))
+        .withColumn("source_finished", finished(F.col("source")))
         .withColumn("source_sig", F.when(~F.col("source_finished") & ~F.rtrim("source").endswith("…"), _signature(F.col("source"))))
         .withColumn("sig", F.when(F.col("source_sig").isNotNull() & ~F.col("finished") & (F.col("mark") == ""), _signature(F.col("value"))))
     )

@@ -14,18 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiremill.llm import codes as C
+from quiremill.llm.tables import cut_table
 from quiremill.session import spread
 
 STATES = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
 #: Odds that a line has its document's label rather than one of the others.
 SLIP = 8.0
-#: Labelled documents that the model is fitted on, at most: those of the least hash.
-SAMPLE = 4000
+#: Labelled documents that the model is fitted on, at most, and characters that they have together: those of the least hash.
+SAMPLE, SAMPLE_CHARS = 4000, 20_000_000
+#: Lines of a text that are decoded one after the other; longer texts are taken apart into blocks that advance together.
+BLOCK = 256
 #: A word is common when so large a share of the documents has it; this bounds the number of common words.
 COMMON_SHARE = 0.02
 
@@ -215,26 +218,57 @@ class LineModel:
         b = np.exp(np.maximum(b - b.max(axis=1, keepdims=True), -60))
         if prior is not None:
             b = b * prior
-        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        move, start = np.exp(self.move), np.exp(self.start)
+        head = np.diff(doc, prepend=-1) != 0  # first lines of texts
+        place = np.arange(n) - np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        first = np.flatnonzero(place % BLOCK == 0)
         size = np.diff(np.concatenate([first, [n]]))
+        enter, leave = self._borders(b, first, size, head, move, start)
         by_size = np.argsort(-size, kind="stable")
-        first, size = first[by_size], size[by_size]
-        move, start = np.exp(self.move), np.exp(self.start)
-        alpha, beta = np.empty((n, 4)), np.ones((n, 4))
-        alpha[first] = _normal(start * b[first])
+        first, size, enter, leave = first[by_size], size[by_size], enter[by_size], leave[by_size]
+        alpha, beta = np.empty((n, 4)), np.empty((n, 4))
+        alpha[first] = _normal(np.where(head[first][:, None], start, enter @ move) * b[first])
         for t in range(1, int(size[0])):
             at = first[: np.searchsorted(-size, -t, "left")] + t
             alpha[at] = _normal((alpha[at - 1] @ move) * b[at])
-        moves = np.zeros((4, 4))
+        beta[first + size - 1] = leave
         for t in range(int(size[0]) - 1, 0, -1):
             at = first[: np.searchsorted(-size, -t, "left")] + t
-            right = b[at] * beta[at]
-            if prior is not None:
-                joint = alpha[at - 1][:, :, None] * move * right[:, None, :]
-                moves += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            beta[at - 1] = _normal(right @ move.T)
+            beta[at - 1] = _normal((b[at] * beta[at]) @ move.T)
+        moves = np.zeros((4, 4))
+        if prior is not None:
+            at = np.flatnonzero(~head)
+            joint = alpha[at - 1][:, :, None] * move * (b[at] * beta[at])[:, None, :]
+            moves = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         return _normal(alpha * beta), moves
 
+    def _borders(self, b: np.ndarray, first: np.ndarray, size: np.ndarray, head: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each block the forward message of the line before it and the backward message of its last line.
+
+        The lines of a block make one matrix, all blocks at once; only these are chained from block to block.
+        """
+        enter, leave = np.zeros((len(first), 4)), np.ones((len(first), 4))
+        goes_on = np.concatenate([~head[first[1:]], [False]])  # the next block is the same text's
+        many = np.flatnonzero(goes_on | ~head[first])
+        if not len(many):
+            return enter, leave
+        order = many[np.argsort(-size[many], kind="stable")]
+        whole = np.tile(np.eye(4), (len(first), 1, 1))
+        for t in range(int(size[order[0]])):
+            k = order[: np.searchsorted(-size[order], -t, "left")]
+            at = first[k] + t
+            step = (whole[k] @ move) * b[at][:, None, :]
+            if t == 0:
+                step = np.where(head[at][:, None, None], start * b[at][:, None, :] * np.ones((4, 1)), step)
+            whole[k] = step / step.sum(axis=(1, 2), keepdims=True)
+        for k in many.tolist():
+            if goes_on[k]:
+                enter[k + 1] = _normal((np.ones(4) if head[first[k]] else enter[k]) @ whole[k])
+        for k in many[::-1].tolist():
+            if not head[first[k]]:
+                leave[k - 1] = _normal(whole[k] @ leave[k])
+        return enter, leave
+
     def fit(self, x: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int = 12) -> LineModel:
         """label: the state that the document of each line is said to have."""
         prior = np.ones((len(x), 4))
@@ -264,7 +298,12 @@ def fit_model(documents: DataFrame, labels: DataFrame, common: np.ndarray, sampl
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[doc], "label": b["label"].to_numpy()[doc], "x": [r.tobytes() for r in x]})
 
     kind = dict(documents.dtypes)["doc_id"]
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(taken), "doc_id").mapInPandas(over, f"doc_id {kind}, label string, x binary").toPandas()
+    mine = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.max("text").alias("text"))
+    mine = cut_table(mine.where(F.length("text") <= SAMPLE_CHARS))
+    chars = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))  # of SAMPLE rows
+    ids = [r[0] for r in mine.select("doc_id", F.coalesce(chars, F.lit(0)).alias("before")).where(F.col("before") < SAMPLE_CHARS).select("doc_id").collect()]
+    bound = documents.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {kind}")
+    rows = mine.join(F.broadcast(bound), "doc_id").mapInPandas(over, f"doc_id {kind}, label string, x binary").toPandas()
     doc = pd.factorize(rows["doc_id"])[0]
     order = np.argsort(doc, kind="stable")
     x = np.frombuffer(b"".join(rows["x"]), np.int8).reshape(-1, len(BINS))[order] if len(rows) else np.zeros((0, len(BINS)), np.int8)

@@ -202,6 +202,17 @@ def test_forward_backward_is_exact():
         assert np.allclose(p[lo:hi], marg / total, atol=1e-6)
 
 
+def test_blocks_of_lines_change_nothing(monkeypatch):
+    rng = np.random.default_rng(8)
+    m = quality.LineModel()
+    x = np.stack([rng.integers(0, len(b) + 1, 60) for b in quality.BINS.values()], axis=1)
+    doc, prior = np.repeat([0, 1, 2, 3], [31, 1, 8, 20]), rng.random((60, 4)) + 0.1
+    whole, moves = m.posterior(x, doc, prior)
+    monkeypatch.setattr(quality, "BLOCK", 4)
+    parts, again = m.posterior(x, doc, prior)
+    assert np.allclose(whole, parts) and np.allclose(moves, again)
+
+
 def test_word_hashes_agree():
     texts = ["The mill. the MILL", "mill の水車小屋"]
     c, _ = codes.encode(texts)
@@ -351,12 +362,44 @@ def test_sentences():
 
 
 def test_spans_grow_to_their_end():
-    none = bitext.Lexicon(pd.DataFrame({"e": [None], "v": [None], "n": [1.0]}))
+    none = bitext.NO_LEXICON
     named = ["Aldern", "Bostwick", "Corvane", "Dunmore", "Elswick", "Farrow"]
     assert bitext.align([" ".join(named) + "."], [f"{w}." for w in named], none) == [(0, j) for j in range(6)]
     assert bitext.align([f"{w}." for w in named], [" ".join(named) + "."], none) == [(i, 0) for i in range(6)]
 
 
+def test_lexicon_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    words_ = {f"word{i}": f"tieng{i}" for i in range(12)}
+    texts = []
+    for k in range(80):
+        src = [rng.sample(sorted(words_), 3) for _ in range(3)]
+        tgt = [[words_[w] for w in x] + rng.sample(["la", "cua", "va"], 2) for x in src]
+        texts.append((" ".join(f"Nama{'abc'[i]}b {' '.join(x)}." for i, x in enumerate(src)), " ".join(f"Nama{'abc'[i]}b {' '.join(x)}." for i, x in enumerate(tgt))))
+    monkeypatch.setattr(bitext, "KEYS", 50)
+    got = bitext.induce(spark.createDataFrame(texts, "source_text string, value string"))
+    pairs = []
+    for s, t in texts:
+        named = {m.lower() for m in bitext.marks(s) & bitext.marks(t)}
+        for i, j in bitext.anchor_pairs(bitext.sentences(s), bitext.sentences(t)):
+            pairs.append((bitext.source_units(bitext.sentences(s)[i]) - named, {x for x in bitext.target_units(bitext.sentences(t)[j]) if named.isdisjoint(x.split())}))
+    a, b, both = {}, {}, {}
+    for e, v in pairs:
+        for x in e:
+            a[x] = a.get(x, 0) + 1
+        for y in v:
+            b[y] = b.get(y, 0) + 1
+        for x in e:
+            for y in v:
+                both[x, y] = both.get((x, y), 0) + 1
+    total, want = len(pairs), {}
+    for (x, y), n in both.items():
+        rise, back = (n / b[y] - a[x] / total) / (1 - a[x] / total), (n / a[x] - b[y] / total) / (1 - b[y] / total)
+        if n >= 3 and rise >= bitext.RISE and back >= bitext.BACK and bitext.log_likelihood(n, a[x], b[y], total) >= bitext.RATIO:
+            want[bitext._hash[x], bitext._hash[y]] = round(rise, 9)
+    assert {(e, v): round(r, 9) for v, x in got.entries.items() for e, r in zip(*x)} == want and len(want) >= 12
+
+
 def test_alignment_keeps_anchors(spark, data):
     got = {}
     for r in queries.p2_found(spark, data.replace("sf0.001", "sf0.01")).collect():
