@@ -46,6 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """As many partitions as the session shuffles into, none put together again: for Python stages whose work isn't told by their input's size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition an input that has fewer partitions than half the cores; larger inputs are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
