@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quiremill.llm.cutoff import judged
 from quiremill.llm.tables import cut_table
+from quiremill.session import shuffled
 
 #: Log-likelihood ratio, and rise of the word's chance by the unit and of the unit's by the word, from which a pair is an entry.
 RATIO, RISE, BACK = 15.0, 0.25, 0.06
@@ -392,7 +393,7 @@ def aligned(segments: DataFrame) -> DataFrame:
     vals = segments.where("source_text <> ''").select("seg_row", "source_text", both).select("seg_row", "source_text", "v.*").where("value <> ''")
     ends = judged(segments).select(F.col("seg_row").alias("row"), F.col("field_name").alias("field"), "cut").distinct()
     # The texts are the heavy part: they are spread over the cores before Python sees them.
-    vals = vals.repartition(max(8, 3 * segments.sparkSession.sparkContext.defaultParallelism))
+    vals = shuffled(vals)
     lexicon = segments.sparkSession.sparkContext.broadcast(induce(vals))
     rows = vals.join(ends, (F.col("seg_row") == F.col("row")) & (F.col("field_name") == F.col("field")), "left").select("seg_row", "field_name", "source_text", "value", F.coalesce("cut", F.lit(False)).alias("cut"))
     kind = dict(segments.dtypes)["seg_row"]

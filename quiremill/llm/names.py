@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiremill.session import cut
+from quiremill.llm.tables import cut_table
+from quiremill.session import shuffled
 
 RADIUS = 1
 #: Stands before the joined words of a title or body, which are a token of their own.
@@ -281,7 +282,8 @@ def token_pairs(tokens: DataFrame) -> DataFrame:
     """field_name, token and other of all pairs of tokens within RADIUS, each both ways and with itself."""
     cells = tokens.mapInPandas(_cells, "field_name string, token string, pivot string").withColumn("cell", F.xxhash64("field_name", "pivot")).drop("pivot")
     pairs = cells.alias("a").join(cells.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.token") < F.col("b.token")) & (F.col("a.field_name") == F.col("b.field_name"))).select("a.field_name", "a.token", F.col("b.token").alias("other")).distinct()
-    near = pairs.mapInPandas(_near, "field_name string, token string, other string")
+    # The cheap distance in the JVM first: a transposition is two of its edits.
+    near = pairs.where(F.levenshtein("token", "other") <= 2 * RADIUS).mapInPandas(_near, "field_name string, token string, other string")
     return near.union(near.select("field_name", "other", "token")).union(tokens.select("field_name", "token", F.col("token").alias("other")))
 
 
@@ -292,14 +294,14 @@ def linked_names(names: DataFrame) -> DataFrame:
     and names without a letter or digit match nothing; equal names count once.
     """
     distinct = names.select("field_name", "name").where(F.col("name").rlike(r"[\p{L}\p{N}]")).distinct()
-    anchors = cut(distinct.mapInPandas(_tokens, "field_name string, name string, token string, sort string, asks boolean").withColumn("sort", F.xxhash64("sort")).distinct())
+    anchors = cut_table(shuffled(distinct).mapInPandas(_tokens, "field_name string, name string, token string, sort string, asks boolean").withColumn("sort", F.xxhash64("sort")).distinct())
     near = token_pairs(anchors.select("field_name", "token").distinct())
     # Either name may be the one that asks.
     left = anchors.where("asks").join(near, ["field_name", "token"]).select("field_name", F.col("name").alias("x"), F.col("other").alias("token"), "sort")
     right = anchors.select("field_name", F.col("name").alias("y"), "token", "sort")
     candidates = left.join(right, ["field_name", "token", "sort"]).where("x <> y").select("field_name", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
     shape = "field_name string, name_a string, name_b string"
-    direct = cut(candidates.mapInPandas(_same(RADIUS), shape))
+    direct = cut_table(shuffled(candidates).mapInPandas(_same(RADIUS), shape))
     both = direct.union(direct.select("field_name", F.col("name_b"), F.col("name_a")))
     by_third = both.alias("x").join(both.alias("y"), (F.col("x.field_name") == F.col("y.field_name")) & (F.col("x.name_b") == F.col("y.name_a")) & (F.col("x.name_a") < F.col("y.name_b"))).select("x.field_name", "x.name_a", F.col("y.name_b").alias("name_b")).distinct()
     more = by_third.join(direct, ["field_name", "name_a", "name_b"], "left_anti").mapInPandas(_same(2 * RADIUS), shape)
