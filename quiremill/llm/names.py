@@ -59,8 +59,17 @@ def distance(a: str, b: str, most: int) -> int:
     """Damerau-Levenshtein distance with any transpositions, a metric; most + 1 stands for anything greater."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    # Most pairs are told apart by length, by letters that only one has, or by what is left without common ends.
+    if abs(len(a) - len(b)) > most or (len(a) > 2 and (len(set(a).difference(b)) > most or len(set(b).difference(a)) > most)):
         return most + 1
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if most == 1:
+        return 1 if len(a) <= 1 and len(b) <= 1 or len(a) == len(b) == 2 and a == b[::-1] else 2
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
     big = len(a) + len(b)
     last: dict[str, int] = {}
     d = [[big] * (len(b) + 2) for _ in range(len(a) + 2)]
@@ -80,7 +89,7 @@ def distance(a: str, b: str, most: int) -> int:
     return min(d[len(a) + 1][len(b) + 1], most + 1)
 
 
-@lru_cache(1 << 15)
+@lru_cache(1 << 17)
 def parse(field: str, value: str) -> tuple[str, str, tuple[tuple[str, ...], ...]]:
     """Kind (title, body or people), part, and the tokens of each person or of the whole; a dot stays on abbreviations."""
     s = fold(value)
@@ -171,7 +180,7 @@ def _all_cost(a: tuple[str, ...], b: tuple[str, ...], most: int) -> int:
     return total
 
 
-@lru_cache(1 << 15)
+@lru_cache(1 << 17)
 def _given(w: str) -> frozenset[str]:
     """The given names that a word can be: itself, the full name of a nickname, a known name with one typo."""
     w = w.rstrip(".")

@@ -334,6 +334,7 @@ def test_distance_is_a_metric():
     ws = ["".join(rng.choices("abc", k=rng.randint(0, 5))) for _ in range(24)]
     d = {(a, b): names.distance(a, b, 99) for a in ws for b in ws}
     assert all(d[a, b] == d[b, a] and (d[a, b] == 0) == (a == b) for a in ws for b in ws) and all(d[a, c] <= d[a, b] + d[b, c] for a in ws for b in ws for c in ws)
+    assert all(names.distance(a, b, m) == min(d[a, b], m + 1) for a in ws for b in ws for m in (1, 2))
     assert names.distance("ab", "ba", 9) == 1 and names.distance("ca", "abc", 9) == 2
     assert all(names.pivots(a) & names.pivots(b) for a in ws for b in ws if len(a) >= 4 and len(b) >= 4 and d[a, b] <= 1)
 
