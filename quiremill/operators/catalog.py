@@ -19,12 +19,19 @@ def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*").select(*rows.columns)
 
 
-def with_canonical_license(works: DataFrame, licenses: DataFrame) -> DataFrame:
-    """license_id (canonical) and license_known (whether the catalogue has that). A null licence is empty and not known."""
-    ids = F.broadcast(licenses.select(F.col("id").alias("lic_id")).distinct())  # a list kept by hand
-    raw = works.withColumn("_raw", F.trim(F.coalesce("license", F.lit(""))))
-    named = raw.join(ids, F.col("_raw") == F.col("lic_id"), "left").withColumn("license_id", T.canonical_license(F.col("license"), F.col("lic_id").isNotNull())).drop("lic_id", "_raw")
-    return named.join(ids, F.col("license_id") == F.col("lic_id"), "left").withColumn("license_known", F.col("lic_id").isNotNull() & (F.col("license_id") != "")).drop("lic_id")
+def with_canonical_license(works: DataFrame, licenses: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """license_id (canonical) and license_known (whether the catalogue has that). A null licence is empty and not known.
+
+    aliases: alias and id, which come before everything else; then the catalogue's own ids and the
+    table of labels. The labels that there are, far fewer than works, are looked up once and joined.
+    """
+    label = F.trim(F.coalesce("license", F.lit("")))
+    known = licenses.select(F.col("id").alias("label"), F.col("id").alias("own")).distinct()
+    labels = works.select(label.alias("label")).distinct().join(known, "label", "left")
+    labels = labels.join(aliases.select(F.col("alias").alias("label"), F.col("id").alias("aliased")).distinct(), "label", "left") if aliases is not None else labels.withColumn("aliased", F.lit(None).cast("string"))
+    told = labels.select("label", F.coalesce("aliased", "own", T.license_by_label(F.col("label")), "label").alias("license_id"))
+    told = told.join(known.select(F.col("label").alias("license_id"), F.lit(True).alias("has")), "license_id", "left").select(F.col("label").alias("_label"), "license_id", (F.coalesce("has", F.lit(False)) & (F.col("license_id") != "")).alias("license_known"))
+    return works.withColumn("_label", label).join(told, "_label").drop("_label")
 
 
 def build(works: DataFrame, licenses: DataFrame) -> DataFrame:

@@ -66,18 +66,61 @@ def verse_runs(lines: DataFrame, key: str, least: int = 3, score: float = 0.45)
     return found.where((F.col("lines") >= least) & (F.col("score") >= score)).drop("island", "part")
 
 
-def join_decisions(lines: DataFrame, key: str) -> DataFrame:
-    """key, line_index, join_next and why for each line and the one after it, by rules on the pair; the last line of a text joins nothing."""
+#: Characters from which a line is long enough to have been wrapped, and to be so in a Gutenberg text.
+WRAPPED, WRAPPED_GUTENBERG = 55, 40
+
+
+def join_evidence(before: Column, after: Column, gap: Column, gutenberg: Column, family: Column | None = None) -> tuple[dict[str, Column], dict[str, Column]]:
+    """What forbids that a line goes on in the next, and what speaks for it, by name and in order of weight.
+
+    gap: a blank line between them; gutenberg: whether the text comes from there, where lines are wrapped
+    by default. A hanging word or an imprint reaches across a blank line.
+    """
+    p, n = F.rtrim(before), F.trim(after)
+    whole = F.trim(before)
+    ended, begins = T.sentence_ended(p), n.rlike(T.CONTINUATION)
+    hanging = p.rlike(T.HANGING) & ~ended
+    printed = gutenberg & (T.imprint_line(p) | T.imprint_line(n))
+    forbids = {
+        "blank": gap & ~hanging & ~printed,
+        "structure": T.hard_structural(n, family),
+        "rule": n.rlike(T.RULE),
+        "lead in": n.rlike(T.LEAD_IN),
+        "closed quote": whole.rlike(T.CLOSED_QUOTE),
+    }
+    quoted = whole.rlike(T.OPENED_QUOTE) & (n.rlike(r"^\p{Ll}") | whole.rlike(T.OPEN_END)) & (~whole.rlike(T.SENTENCE_END) | whole.rlike(T.OPEN_END))
+    speaks = {
+        "hanging across a blank": gap & hanging & n.rlike(r"^[A-Za-z(\[\"]"),
+        "imprint": gutenberg & T.imprint_line(p) & (T.imprint_line(n) | n.rlike("^(?:AND|and) ")),
+        "quotation": quoted,
+        "hanging word": hanging & (F.length(before) >= WRAPPED),
+        "hyphen": p.endswith("-") & n.rlike(r"^\p{Ll}"),
+        "continuation": begins & ~ended,
+        "wrapped": (F.length(p) >= WRAPPED) & ~ended & n.rlike("^[A-Z]") & ~n.rlike(T.NEW_UNIT),
+        "open clause": p.rlike(r"(?:[,;]|--)$") & begins,
+        "colon": p.endswith(":") & n.rlike("^[\"“_«]"),
+        "open bracket": p.rlike(T.OPEN_BRACKET) & n.rlike(T.BRACKET_REST),
+        "default": ~gap & gutenberg & ((F.length(p) >= WRAPPED_GUTENBERG) | ~ended),
+    }
+    return forbids, speaks
+
+
+def _first_of(named: dict[str, Column]) -> Column:
+    return F.coalesce(*(F.when(c, F.lit(k)) for k, c in named.items()))
+
+
+def join_decisions(lines: DataFrame, key: str, gutenberg: Column | None = None, family: str | None = None) -> DataFrame:
+    """key, line_index, join_next and why for each line and the one after it; the last line of a text joins nothing.
+
+    A line goes on when nothing forbids it and something speaks for it. gutenberg: whether the text is
+    from there, true where it isn't given. A null text is an empty line, a null blank_before no blank line.
+    """
     w = Window.partitionBy(key).orderBy("line_index")
-    x = lines.withColumns({"nxt": F.lead("text").over(w), "gap": F.lead("blank_before").over(w)}).where("nxt is not null")
-    cur, nxt = F.rtrim("text"), F.trim("nxt")
-    hanging = cur.rlike(T.HANGING) & ~T.sentence_ended(cur)
-    why = (
-        F.when(F.col("gap") & ~hanging, "blank").when(T.hard_structural(nxt), "structure").when(nxt.rlike(r"^[\-–—_*=\s]{3,}$"), "rule")
-        .when(F.col("gap") & nxt.rlike(r"^[A-Za-z(\[\"]"), "hanging across a blank").when(hanging & (F.length(cur) >= 55), "hanging word").when(cur.endswith("-") & nxt.rlike(r"^\p{Ll}"), "hyphen")
-        .when(nxt.rlike(T.CONTINUATION) & ~T.sentence_ended(cur), "continuation").when((F.length(cur) >= 55) & ~T.sentence_ended(cur) & nxt.rlike("^[A-Z]"), "wrapped").when(cur.rlike("[,;]$|--$") & nxt.rlike(T.CONTINUATION), "open clause").otherwise("ended")
-    )
-    return x.select(key, "line_index", why.alias("why")).withColumn("join_next", ~F.col("why").isin("blank", "structure", "rule", "ended"))
+    x = lines.withColumns({"_g": F.lit(True) if gutenberg is None else gutenberg, "_text": F.coalesce("text", F.lit(""))})
+    x = x.withColumns({"_last": F.lead("line_index").over(w).isNull(), "_nxt": F.lead("_text").over(w), "_gap": F.coalesce(F.lead("blank_before").over(w), F.lit(False))}).where("not _last")
+    forbids, speaks = join_evidence(F.col("_text"), F.col("_nxt"), F.col("_gap"), F.col("_g"), None if family is None else F.lit(family))
+    x = x.withColumns({"_no": _first_of(forbids), "_yes": _first_of(speaks)})
+    return x.select(key, "line_index", (F.col("_no").isNull() & F.col("_yes").isNotNull()).alias("join_next"), F.coalesce("_no", "_yes", F.lit("ended")).alias("why"))
 
 
 def wrap_review(decided: DataFrame, labels: DataFrame) -> DataFrame:
@@ -86,6 +129,13 @@ def wrap_review(decided: DataFrame, labels: DataFrame) -> DataFrame:
     return both.groupBy("why", "join_next", "parser_join").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("join_next") != F.col("parser_join")).alias("disagree"))
 
 
+def suspect_wraps(decided: DataFrame, labels: DataFrame, least: float = 0.8) -> DataFrame:
+    """line_id, why, rule_join, parser_join, confidence and suspect of each pair: one that the rules and the parser's label disagree on, or of which the parser isn't sure."""
+    both = decided.join(labels, "line_id")
+    suspect = F.coalesce(F.col("join_next") != F.col("parser_join"), F.lit(False)) | (F.coalesce("confidence", F.lit(1.0)) < least)
+    return both.select("line_id", "why", F.col("join_next").alias("rule_join"), "parser_join", "confidence", suspect.alias("suspect"))
+
+
 def reflowed(lines: DataFrame, key: str) -> DataFrame:
     """key, block and text: lines joined where the printer wrapped them, hyphens undone; headings stand alone and blank lines separate."""
     w = Window.partitionBy(key).orderBy("line_index")

@@ -94,17 +94,57 @@ def verse_runs(spark, d):
     return lines.verse_runs(labelled(spark, d), "work_id", least=1)
 
 
-@query()
+def _evidence_sql() -> str:
+    """before, nxt, gap and g to forbidding and speaking reasons, the first of each."""
+    p, n, b = "rtrim(before)", "trim(nxt)", "trim(before)"
+    ended = f"({like(p, T.SENTENCE_END)} and not {like(p, T.ABBREVIATED)})"
+    begins, hanging = like(n, T.CONTINUATION), f"({like(p, T.HANGING)} and not {ended})"
+
+    def imprint(c: str) -> str:
+        s, letters, caps = strip_sql(c), f"length({sub(strip_sql(c), '[^A-Za-z]')})", f"length({sub(strip_sql(c), '[^A-Z]')})"
+        return f"({s} <> '' and ({like(s, T.IMPRINT)} or {like(s, T.ROMAN_YEAR)} or (length({sub(s, '[^,]')}) >= 3 and length({s}) >= 30 and {letters} >= 12 and {caps} * 10 >= {letters} * 7)))"
+
+    hard = _HARD.replace("text", "nxt")
+    forbids = {
+        "blank": f"gap and not {hanging} and not (g and ({imprint(p)} or {imprint(n)}))", "structure": hard, "rule": like(n, T.RULE), "lead in": like(n, T.LEAD_IN), "closed quote": like(b, T.CLOSED_QUOTE),
+    }
+    speaks = {
+        "hanging across a blank": f"gap and {hanging} and {like(n, '^[A-Za-z(' + chr(92) + '[' + chr(34) + ']')}", "imprint": f"g and {imprint(p)} and ({imprint(n)} or {like(n, '^(?:AND|and) ')})",
+        "quotation": f"{like(b, T.OPENED_QUOTE)} and ({like(n, '^' + chr(92) + 'p{Ll}')} or {like(b, T.OPEN_END)}) and (not {like(b, T.SENTENCE_END)} or {like(b, T.OPEN_END)})",
+        "hanging word": f"{hanging} and length(before) >= 55", "hyphen": f"{p} like '%-' and {like(n, '^' + chr(92) + 'p{Ll}')}", "continuation": f"{begins} and not {ended}", "wrapped": f"length({p}) >= 55 and not {ended} and {like(n, '^[A-Z]')} and not {like(n, T.NEW_UNIT)}",
+        "open clause": f"{like(p, '(?:[,;]|--)$')} and {begins}", "colon": f"{p} like '%:' and {like(n, '^[' + chr(34) + '“_«]')}", "open bracket": f"{like(p, T.OPEN_BRACKET)} and {like(n, T.BRACKET_REST)}",
+        "default": f"not gap and g and (length({p}) >= 40 or not {ended})",
+    }
+    first = lambda named: "case " + " ".join(f"when {c} then '{k}'" for k, c in named.items()) + " end"
+    return f"{first(forbids)} as no, {first(speaks)} as yes"
+
+
+_JOINS = f"""n as (select line_id, work_id, line_index, coalesce(text, '') as before, gutenberg_id is not null as g, lead(coalesce(text, '')) over w as nxt, coalesce(lead(blank_before) over w, false) as gap, lead(line_index) over w as after from text_lines window w as (partition by work_id order by line_index)),
+  e as (select line_id, work_id, line_index, {_evidence_sql()} from n where after is not null), j as (select line_id, work_id, line_index, no is null and yes is not null as join_next, coalesce(no, yes, 'ended') as why from e)"""
+
+
+def _decided(spark, d):
+    rows = table(spark, d, "text_lines")
+    ids = rows.select("work_id", "line_index", "line_id")
+    return lines.join_decisions(rows, "work_id", F.col("gutenberg_id").isNotNull()).join(ids, ["work_id", "line_index"])
+
+
+@query(f"with {_JOINS} select work_id, line_index, join_next, why from j")
 def join_decisions(spark, d):
     """Whether each line goes on in the next."""
-    return lines.join_decisions(table(spark, d, "text_lines"), "work_id")
+    return lines.join_decisions(table(spark, d, "text_lines"), "work_id", F.col("gutenberg_id").isNotNull())
 
 
-@query()
+@query(f"with {_JOINS} select why, j.join_next, l.join_next as parser_join, count(*) as pairs, count(*) filter (where j.join_next <> l.join_next) as disagree from j join line_labels l using (line_id) where l.join_next is not null group by all")
 def wrap_review(spark, d):
     """How the rules and the parser's labels agree on joins, by reason."""
-    decided = lines.join_decisions(table(spark, d, "text_lines"), "work_id").join(table(spark, d, "text_lines").select("work_id", "line_index", "line_id"), ["work_id", "line_index"])
-    return lines.wrap_review(decided, table(spark, d, "line_labels").select("line_id", F.col("join_next").alias("parser_join")))
+    return lines.wrap_review(_decided(spark, d), table(spark, d, "line_labels").select("line_id", F.col("join_next").alias("parser_join")))
+
+
+@query(f"with {_JOINS} select line_id, why, j.join_next as rule_join, l.join_next as parser_join, confidence, coalesce(j.join_next <> l.join_next, false) or coalesce(confidence, 1.0) < 0.8 as suspect from j join line_labels l using (line_id)")
+def suspect_wraps(spark, d):
+    """Each pair of lines with the rules' and the parser's answer."""
+    return lines.suspect_wraps(_decided(spark, d), table(spark, d, "line_labels").select("line_id", F.col("join_next").alias("parser_join"), "confidence"))
 
 
 @query()

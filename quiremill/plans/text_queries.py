@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quiremill.functions import shapes
 from quiremill.functions import text as T
 from quiremill.operators import matching, spans, translation
 from quiremill.session import table
@@ -186,23 +187,25 @@ def inline_expected(spark, d):
 _BRACKETS = r"\[([^\]\n]+?)\]"
 
 
-@query(rf"""with b as (select sample_row, unnest(regexp_extract_all(text, '{_BRACKETS}', 1)) as inner_text from inline_samples), s as (select *, {strip_sql('inner_text')} as b from b)
-  select case when regexp_matches(b, '^\d{{1,4}}(?:,\s*\d{{1,4}})*$') then 'footnote' when length(b) >= 18 or length(b) - length(replace(b, ' ', '')) >= 3 or regexp_matches(b, '[A-Za-zÀ-ỹ]{{4,}}') then 'bracket_note'
-  when regexp_matches(b, '^[A-Za-z]{{1,3}}\.?[A-Za-z0-9 .-]{{0,40}}$') then 'bracket_cite' else 'bracket_other' end as style, count(*) as brackets from s group by 1""")
+_ROUND = r"[(（]([^()（）\n]+?)[)）]"
+
+
+def _classes(pattern: str, classes: tuple, counted: str) -> str:
+    return f"with b as (select unnest(regexp_extract_all(text, '{pattern}', 1)) as x from inline_samples), s as (select {strip_sql('x')} as b from b) select {shapes.class_sql('b', classes, like)} as style, count(*) as {counted} from s group by 1"
+
+
+@query(_classes(_BRACKETS, shapes.SQUARE, "brackets"))
 def bracket_classes(spark, d):
     """What the square brackets of the samples hold."""
-    each = table(spark, d, "inline_samples").select(F.explode(F.regexp_extract_all("text", F.lit(_BRACKETS), F.lit(1))).alias("inner_text"))
-    return each.groupBy(T.bracket_class(F.col("inner_text")).alias("style")).agg(F.count(F.lit(1)).alias("brackets"))
+    each = table(spark, d, "inline_samples").select(F.explode(F.regexp_extract_all("text", F.lit(_BRACKETS), F.lit(1))).alias("x"))
+    return each.groupBy(shapes.bracket_class(F.col("x")).alias("style")).agg(F.count(F.lit(1)).alias("brackets"))
 
 
-@query(r"""with b as (select unnest(regexp_extract_all(text, '[(（]([^()（）\n]+?)[)）]', 1)) as x from inline_samples), s as (select regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as b from b)
-  select case when regexp_matches(b, '^(?:19|20)\d{2}$') or regexp_matches(b, '^\d{3,4}\s*[-–—]\s*\d{3,4}$') then 'paren_aside' when regexp_matches(b, '^\d{1,2}$') then 'list_marker' when regexp_matches(b, '^[1-9]\d{3}$') then 'paren_aside' when regexp_matches(b, '^\d{3,4}$') then 'paren_page'
-  when regexp_matches(b, '^\d{1,4}(?:,\s*\d{1,4})*$') then 'footnote' when regexp_matches(lower(b), '^(?:as |see |cf\. |e\.g\. |i\.e\. )') then 'paren_cite' when length(b) - length(replace(b, ' ', '')) >= 5 or length(b) >= 40 then 'paren_aside'
-  when regexp_matches(b, '["''“”‘’]') then 'paren_quote' when len(regexp_split_to_array(b, '[\s\p{Z}]+')) <= 6 and regexp_matches(b, '[A-Za-zÀ-ỹ]') then 'paren_cite' else 'paren_aside' end as style, count(*) as parens from s group by 1""")
+@query(_classes(_ROUND, shapes.ROUND, "parens"))
 def paren_classes(spark, d):
     """What the round brackets of the samples hold."""
-    each = table(spark, d, "inline_samples").select(F.explode(F.regexp_extract_all("text", F.lit(r"[(（]([^()（）\n]+?)[)）]"), F.lit(1))).alias("x"))
-    return each.groupBy(T.paren_class(F.col("x")).alias("style")).agg(F.count(F.lit(1)).alias("parens"))
+    each = table(spark, d, "inline_samples").select(F.explode(F.regexp_extract_all("text", F.lit(_ROUND), F.lit(1))).alias("x"))
+    return each.groupBy(shapes.paren_class(F.col("x")).alias("style")).agg(F.count(F.lit(1)).alias("parens"))
 
 
 @query("select year, case when year between 1 and 3999 then repeat('M', year // 1000) || ['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'][(year // 100) % 10 + 1] || ['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][(year // 10) % 10 + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][year % 10 + 1] end as roman, year as back from (select distinct year from works where year is not null)")

@@ -91,10 +91,19 @@ def test_reflow(spark):
     assert [r["text"] for r in lines.reflowed(df, "k").orderBy("block").collect()] == ["x" * 54 + "yes", "CHAPTER I", "next"]
 
 
-def test_inline_spans():
-    got = [(s, t) for _, _, s, t in spans.inline_spans('He _said_ “no, no”[12] (see Job) and (a (b) c d e f g h) 「はい」.')]
-    assert got == [("em", "_said_"), ("quote", "“no, no”"), ("footnote", "[12]"), ("paren_cite", "(see Job)"), ("paren_aside", "(a (b) c d e f g h)"), ("quote", "「はい」")]
-    assert spans.inline_spans("") == [] and spans.inline_spans("(open") == []
+def spans_of(spark, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    return [[(s.style, s.span, s.start, s.end) for s in r[0] or []] for r in df.orderBy("k").select(spans.inline_spans(F.col("t"))).collect()]
+
+
+def test_inline_spans(spark):
+    text = 'He _said_ “no, no”[12] (see Job) and (a (b) c d e f g h) 「はい」.'
+    got = spans_of(spark, text, "", "(open", None, "  _all of it, to the end_ ", "a ) b (c) (d", "“a quotation with [7] inside”", "“x [7] y”", "（𝒜 (b)）", "()[ ]~~")
+    assert [g[:2] for g in got[0]] == [("em", "_said_"), ("quote", "“no, no”"), ("footnote", "[12]"), ("paren_cite", "(see Job)"), ("paren_aside", "(a (b) c d e f g h)"), ("quote", "「はい」")]
+    assert all(text[a:b] == s for _, s, a, b in got[0])
+    assert got[1] == got[2] == got[3] == got[9] == []
+    assert got[4] == [("em", "_all of it, to the end_", 0, 26)] and got[5] == [("paren_cite", "(c)", 6, 9)]
+    assert got[6] == [("footnote", "[7]", 18, 21)] and got[7] == [("quote", "“x [7] y”", 0, 9)] and got[8] == [("paren_cite", "（𝒜 (b)）", 0, 7)]
 
 
 def test_spans_offsets(spark, data):
