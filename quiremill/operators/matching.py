@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from quiremill.session import cut
+
 STOP_WORDS = {"a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with"}
-_NUMBERED = re.compile(r"^\s*(?:chapter|chap\.?|book|part|volume)\s+([ivxlcdm]+|\d+)\b[.:]?\s*", re.I)
 
 
 def folded(s: str) -> str:
@@ -28,45 +28,6 @@ def fold_key(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else folded(v).replace(" ", ""))
 
 
-def contents_matches(lines: pd.DataFrame, entries: pd.DataFrame) -> list[tuple[int, int]]:
-    """Pairs of entry and line: each entry takes the first line after the last entry's that has its chapter number, its title, or all its words of weight."""
-    body = [(n, t, folded(t), _NUMBERED.match(t or "")) for n, t in zip(lines["line_index"], lines["text"]) if t and len(t) <= 120]
-    out, at = [], -1
-    for n, label in zip(entries["entry"], entries["label"]):
-        number = _NUMBERED.match(label or "")
-        want = number[1].lower() if number else None
-        key = folded(_NUMBERED.sub("", label or "")) or folded(label)
-        weight = {w for w in key.split() if w not in STOP_WORDS and len(w) > 1}
-        for i, _, f, m in body:
-            if i <= at:
-                continue
-            hit = (m is not None and m[1].lower() == want) if want else bool(f) and (f == key or (len(weight) >= 2 and weight <= set(f.split())))
-            if hit:
-                out.append((int(n), int(i)))
-                at = i
-                break
-    return out
-
-
-def match_contents(lines: DataFrame, entries: DataFrame, key: str) -> DataFrame:
-    """key, entry and line_index: contents entries found in the body in order.
-
-    Where an entry may match depends on where the one before it did, so each text is matched as a
-    whole; lines that can't be headings (over 120 characters) don't reach Python. Texts without lines or
-    entries have no rows.
-    """
-    kind = dict(lines.dtypes)[key]
-
-    def over(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({key: [], "entry": [], "line_index": []})
-        pairs = contents_matches(left.sort_values("line_index"), right.sort_values("entry"))
-        return pd.DataFrame({key: [left[key].iloc[0]] * len(pairs), "entry": [a for a, _ in pairs], "line_index": [b for _, b in pairs]})
-
-    short = lines.where("length(text) <= 120").select(key, "line_index", "text")
-    return short.groupBy(key).cogroup(entries.select(key, "entry", "label").groupBy(key)).applyInPandas(over, f"{key} {kind}, entry int, line_index int")
-
-
 def title_scores(titles: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """key, title, label and score of the best label for each title of the same text: 1 if equal, at least 0.8 if one holds the other as whole words; others don't match.
 
@@ -105,14 +66,20 @@ def caption_score(query: Column, caption: Column) -> Column:
     return F.when((query == "") | (caption == ""), 0.0).when(query == caption, 1.0).when(inside & few, 0.0).when(inside, 0.94).when(share >= 0.55, 0.55 + 0.35 * share).otherwise(0.0)
 
 
-def bind_captions(figures: pd.DataFrame, images: pd.DataFrame, scores: pd.DataFrame, least: float = 0.55) -> list[tuple[int, int]]:
-    """One image for one figure: pairs by falling score, ties by their order; both sides once."""
-    used_f, used_i, out = set(), set(), []
-    for r in scores[scores["score"] >= least].sort_values(["score", "figure", "image"], ascending=[False, True, True]).itertuples():
-        if r.figure not in used_f and r.image not in used_i:
-            used_f.add(r.figure), used_i.add(r.image)
-            out.append((r.figure, r.image))
-    return out
+def bound_captions(scores: DataFrame, key: str, least: float = 0.55) -> DataFrame:
+    """key, figure and image: each figure with one image and each image with one figure, by falling score, ties by figure and image.
+
+    scores: key, figure, image and score. A pair is taken when it is the best that is left for both, over
+    and over until none is: the same as going through all pairs in order. Nulls and scores under `least` bind nothing.
+    """
+    left = cut(scores.where(F.col("score") >= least).select(key, "figure", "image", "score").distinct())
+    taken = None
+    while not left.isEmpty():
+        rank = lambda side: F.row_number().over(Window.partitionBy(key, side).orderBy(F.desc("score"), "figure", "image"))
+        best = cut(left.withColumns({"f": rank("figure"), "i": rank("image")}).where("f = 1 and i = 1").select(key, "figure", "image"))
+        taken = best if taken is None else taken.unionByName(best)
+        left = cut(left.join(best.select(key, "figure"), [key, "figure"], "left_anti").join(best.select(key, "image"), [key, "image"], "left_anti"))
+    return left.select(key, "figure", "image") if taken is None else taken
 
 
 def content_matches(titles: DataFrame, lines: DataFrame, key: str, head: int = 24) -> DataFrame:

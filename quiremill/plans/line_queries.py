@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiremill.functions import text as T
-from quiremill.operators import blocks, lines, matching, structure
+from quiremill.operators import blocks, contents, lines, matching, structure
 from quiremill.plans.text_queries import like, q, strip_sql, sub
 from quiremill.session import table
 
@@ -154,14 +154,15 @@ def reflow(spark, d):
 
 
 _BLOCKS = """x as (select *, lag(role) over w as lr, lag(join_next) over w as lj from text_lines join line_labels using (line_id) window w as (partition by work_id order by line_index)),
-  y as (select *, coalesce(lr = role and ((role = 'prose' and coalesce(lj, false)) or (role = 'verse_line' and not blank_before)), false) as go from x),
+  y as (select *, coalesce(lr = role and ((role in ('prose', 'heading') and coalesce(lj, false)) or (role = 'verse_line' and not blank_before)), false) as go from x),
   z as (select *, sum(case when go then 0 else 1 end) over (partition by work_id order by line_index rows unbounded preceding) as block, case when lead(go) over w then lead(text) over w end as nxt from y window w as (partition by work_id order by line_index)),
-  p as (select *, case when nxt is null then text when role = 'verse_line' then text || chr(10) when text like '%-' and regexp_matches(nxt, '^\\p{Ll}') then left(text, length(text) - 1) else text || ' ' end as piece from z),
-  b as (select work_id, block, case when min_by(role, line_index) = 'heading' then 'heading' when min_by(role, line_index) = 'verse_line' then 'stanza' else 'paragraph' end as type, max(level) as level, count(*) as lines, string_agg(piece, '' order by line_index) as text from p group by work_id, block)"""
+  p as (select *, case when nxt is null then text when role = 'verse_line' and not coalesce(join_next, false) then text || chr(10) when text like '%-' and regexp_matches(nxt, '^\\p{Ll}') then left(text, length(text) - 1) else text || ' ' end as piece from z),
+  b0 as (select work_id, block, min_by(role, line_index) as role, max(level) as level, count(*) as lines, string_agg(piece, '' order by line_index) as text from p group by work_id, block),
+  b as (select work_id, block, case when role = 'heading' then 'heading' when role = 'verse_line' and regexp_matches(trim(text), '^["“«_]') then 'blockquote' when role = 'verse_line' then 'stanza' else 'paragraph' end as type, level, lines, text from b0)"""
 
 
 def _blocks(spark, d):
-    return blocks.from_labels(labelled(spark, d), "work_id")
+    return blocks.from_labels(labelled(spark, d), "work_id").drop("speaker")
 
 
 @query(f"with {_BLOCKS} select work_id, block, type, level, lines, text from b")
@@ -170,11 +171,11 @@ def labels_to_blocks(spark, d):
     return _blocks(spark, d)
 
 
-@query(f"""with {_BLOCKS}, h as (select *, type = 'heading' and level <= 2 as h from b), g as (select *, sum(case when h and coalesce(lh, false) and length(text) <= 90 then 0 else 1 end) over (partition by work_id order by block rows unbounded preceding) as g from (select *, lag(h) over (partition by work_id order by block) as lh from h))
+@query(f"""with {_BLOCKS}, h as (select *, type = 'heading' and level <= 2 as h from b), g as (select *, sum(case when h and coalesce(lh, false) and length(text) <= 90 and not ({like('text', blocks.ACT)} or {like('text', blocks.SCENE)} or {like('text', blocks.ARTICLE)} or {like('lt', blocks.ARTICLE)}) then 0 else 1 end) over (partition by work_id order by block rows unbounded preceding) as g from (select *, lag(h) over w as lh, lag(text) over w as lt from h window w as (partition by work_id order by block)))
   select work_id, min(block) as block, min_by(type, block) as type, min(level) as level, string_agg(text, ' ' order by block) as text from g group by work_id, g""")
 def merged_headings(spark, d):
     """Blocks with neighbouring headings made one."""
-    return blocks.merged_headings(_blocks(spark, d), "work_id")
+    return blocks.merged_headings(_blocks(spark, d), "work_id").drop("lines")
 
 
 @query(rf"""with {_BLOCKS}, s as (select *, regexp_replace(regexp_replace(lower({sub(strip_sql('text'), r'[\s\p{Z}]+', ' ')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as raw from b), k as (select *, case when raw = '' then 'empty' else left(raw, 48) end as slug from s),
@@ -184,8 +185,8 @@ def block_ids(spark, d):
     return blocks.block_ids(_blocks(spark, d), "work_id").select("work_id", "block", "block_id")
 
 
-@query(f"""with {_BLOCKS}, m as (select work_id, count(*) as blocks, case when bool_or(type = 'stanza') and not bool_or(type = 'paragraph') then 'verse' when bool_or(type = 'stanza') then 'mixed' else 'prose' end as content_kind, coalesce(string_agg(trim(text), chr(10) || chr(10) order by block) filter (where trim(text) <> ''), '') as markdown from b group by work_id)
-  select work_id, blocks, content_kind, length(markdown) as chars, sha256(markdown) as hash from m""")
+@query(f"""with {_BLOCKS}, m as (select work_id, count(*) as blocks, case when bool_or(type = 'stanza') and not bool_or(type = 'paragraph') then 'verse' when bool_or(type = 'stanza') then 'mixed' else 'prose' end as content_kind, coalesce(string_agg(case when type = 'blockquote' then '> ' else '' end || trim(text), chr(10) || chr(10) order by block) filter (where trim(text) <> ''), '') as markdown,
+  to_json(list(struct_pack(level := level, text := text, type := type) order by block)) as canonical from b group by work_id) select work_id, blocks, content_kind, length(markdown) as chars, sha256(canonical) as hash from m""")
 def edition_markdown(spark, d):
     """Each work's blocks as one text, with its kind and hash."""
     return blocks.markdown(_blocks(spark, d), "work_id").select("work_id", "blocks", "content_kind", F.length("markdown").alias("chars"), "hash")
@@ -255,11 +256,23 @@ def division_level(spark, d):
     return structure.division_level(structure.heading_lines(table(spark, d, "text_lines"), "work_id"), "work_id")
 
 
+@query()
+def toc_runs(spark, d):
+    """Tables of contents in the documents."""
+    return contents.contents_runs(lines.line_table(table(spark, d, "documents"), "doc_id"), "doc_id")
+
+
+@query()
+def stub_chapters(spark, d):
+    """Chapter lines of the documents that are only rows of contents."""
+    return contents.stub_chapters(lines.line_table(table(spark, d, "documents"), "doc_id"), "doc_id")
+
+
 @query()
 def toc_match(spark, d):
     """Headings of the works as contents entries, found again in the body in order."""
     entries = labelled(spark, d).where("role = 'heading' and level >= 1").select("work_id", F.col("line_index").alias("entry"), F.col("text").alias("label"))
-    return matching.match_contents(table(spark, d, "text_lines"), entries, "work_id")
+    return contents.match_contents(table(spark, d, "text_lines"), entries, "work_id")
 
 
 @query(rf"""with l as (select distinct work_id, {sub(sub('lower(text)', '[^a-z0-9]+', ' '), '^ +| +$')} as label from text_lines join line_labels using (line_id) where role = 'heading'), w as (select distinct work_id, {sub(sub('lower(work)', '[^a-z0-9]+', ' '), '^ +| +$')} as title from works where work is not null),

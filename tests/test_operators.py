@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from quiremill.operators import blocks, catalog, lines, matching, spans, structure, translation
+from quiremill.operators import blocks, catalog, contents, lines, matching, spans, structure, translation
 from quiremill.sources import readers
 from quiremill.streaming import streams
 
@@ -159,7 +161,7 @@ def test_parsed_objects(spark):
 def test_contents_matching_goes_in_order(spark):
     body = spark.createDataFrame([("w", i, t) for i, t in enumerate(["The Mill", "x", "CHAPTER II", "CHAPTER I", "The road to the mill house", "CHAPTER II"])], "work_id string, line_index int, text string")
     toc = spark.createDataFrame([("w", 0, "Chapter I"), ("w", 1, "Mill road"), ("w", 2, "Chapter II. The End"), ("w", 3, "Chapter II")], "work_id string, entry int, label string")
-    assert rows(matching.match_contents(body, toc, "work_id")) == [("w", 0, 3), ("w", 1, 4), ("w", 2, 5)]
+    assert rows(contents.match_contents(body, toc, "work_id")) == [("w", 0, 3), ("w", 1, 4), ("w", 2, 5)]
 
 
 def test_glossary_lookup(spark):
@@ -325,3 +327,93 @@ def test_heading_candidate_lines_are_not_capped(spark, tmp_path):
     spark.createDataFrame([(i, "w", i, f"CHAPTER {i}", None) for i in range(15)], "line_id bigint, work_id string, line_index int, text string, gutenberg_id string").write.parquet(f"{tmp_path}/text_lines.parquet")
     spark.createDataFrame([(i, "heading" if i < 12 else "prose", i / 20) for i in range(15)], "line_id bigint, role string, confidence double").write.parquet(f"{tmp_path}/line_labels.parquet")
     assert sorted(tuple(r) for r in line_queries.heading_candidate_lines(spark, str(tmp_path)).collect()) == [("w", i, i / 20) for i in range(12)]
+
+
+def brute_contents(body, entries):
+    """Each entry takes the first line behind the last entry's that fits it."""
+    numbered = re.compile(r"^\s*(?:chapter|chap\.?|book|part|volume)\s+([ivxlcdm]+|\d+)\b[.:]?\s*", re.I)
+    out, at = [], -1
+    for n, label in entries:
+        m = numbered.match(label)
+        key = matching.folded(numbered.sub("", label)) or matching.folded(label)
+        weight = {w for w in key.split() if w not in matching.STOP_WORDS and len(w) > 1}
+        for i, t in body:
+            f, b = matching.folded(t), numbered.match(t)
+            fits = b is not None and b[1].lower() == m[1].lower() if m else bool(f) and (f == key or (len(weight) >= 2 and weight <= set(f.split())))
+            if i > at and len(t) <= 120 and fits:
+                out.append((n, i))
+                at = i
+                break
+    return out
+
+
+def test_contents_equal_brute_force(spark):
+    rng = random.Random(3)
+    words = ["mill", "river", "the", "Café", "old", "of", "harvest"]
+    texts = {}
+    for k in range(12):
+        body = [(i, rng.choice([f"Chapter {rng.randint(1, 5)}", f"BOOK {rng.choice(['i', 'ii', 'IV'])}. {rng.choice(words)}", " ".join(rng.choices(words, k=rng.randint(1, 5)))])) for i in range(25)]
+        entries = [(n, rng.choice([f"CHAPTER {rng.randint(1, 5)}.", f"Book {rng.choice(['I', 'ii'])}", " ".join(rng.choices(words, k=rng.randint(1, 3)))])) for n in range(8)]
+        texts[f"w{k}"] = (body, entries)
+    lines_ = spark.createDataFrame([(k, i, t) for k, (b, _) in texts.items() for i, t in b] + [("x", 0, None)], "work_id string, line_index int, text string")
+    entries_ = spark.createDataFrame([(k, n, t) for k, (_, e) in texts.items() for n, t in e] + [("x", 0, None), ("y", 0, "mill")], "work_id string, entry int, label string")
+    got = contents.match_contents(lines_, entries_, "work_id").collect()
+    assert sorted(map(tuple, got)) == sorted((k, n, i) for k, (b, e) in texts.items() for n, i in brute_contents(b, e))
+    assert contents.match_contents(lines_.limit(0), entries_, "work_id").count() == 0
+
+
+def lines_of(spark, *texts):
+    return lines.line_table(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string"), "k")
+
+
+def test_contents_runs_and_stubs(spark):
+    prose = "It was the first day of the year and the miller went down to the river with the baker and the widow."
+    book = ["CONTENTS", "CHAPTER I. The Mill", "CHAPTER II. The River", "THE HARVEST", "", "CHAPTER I", prose, prose, "CHAPTER II", "The ferry—the widow—the bell", "CHAPTER III", prose]
+    t = lines_of(spark, "\n".join(book), prose, "", None, "1. Mill\n2. River\n3. Bell")
+    runs = {r["k"]: r for r in contents.contents_runs(t, "k").collect()}
+    assert sorted(runs) == [0, 4] and runs[0]["headed"] and (runs[0]["first_line"], runs[0]["last_line"]) == (0, 3) and runs[4]["rows"] == 3 and not runs[4]["headed"]
+    assert rows(contents.stub_chapters(t, "k")) == [(0, 7)]
+    assert contents.contents_runs(t.limit(0), "k").count() == contents.stub_chapters(t.limit(0), "k").count() == 0
+
+
+def test_bound_captions(spark):
+    rng = random.Random(2)
+    scores = [(k, f, i, rng.choice([0.3, 0.6, 0.94, 1.0])) for k in "ab" for f in range(6) for i in range(5) if rng.random() < 0.7]
+    want = set()
+    for k in "ab":
+        for _, f, i, x in sorted((s for s in scores if s[0] == k and s[3] >= 0.55), key=lambda s: (-s[3], s[1], s[2])):
+            if not any(a == k and (b == f or c == i) for a, b, c in want):
+                want.add((k, f, i))
+    df = spark.createDataFrame(scores + [("a", None, 1, None)], "k string, figure int, image int, score double")
+    assert set(rows(matching.bound_captions(df, "k"))) == want and want and matching.bound_captions(df.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("before,after,gap,gutenberg,why,joins", [
+    ("The miller went down to the", "river.", True, False, "hanging across a blank", True), ("He came.", "She left.", True, True, "blank", False), ("The end of the matter", "CHAPTER II", False, True, "structure", False), ("one", "* * * * *", False, True, "rule", False),
+    ("he wrote", "And in this wise:", False, True, "lead in", False), ("“no more.”[12]", "then", False, True, "closed quote", False), ("“He came to us,", "And we were glad", False, False, "quotation", True), ("a miller and a ba-", "ker came", False, False, "hyphen", True),
+    ("the miller said", "nothing at all", False, False, "continuation", True), ("Said Dr.", "(so they tell)", False, False, "continuation", True), ("It was the longest day that anyone could remember, so", "The baker slept", False, False, "ended", False), ("It was the longest day that anyone could remember, so said", "The baker slept", False, False, "wrapped", True),
+    ("as follows:", "“Come”", False, False, "colon", True), ("see [Job", "12:3]", False, False, "open bracket", True), ("A short one", "Of two", False, True, "default", True), ("A short one", "Of two", False, False, "ended", False), ("LONDON", "MDCCCXC", True, True, "imprint", True), ("It ended here.", "The next", False, True, "ended", False),
+])
+def test_join_evidence(spark, before, after, gap, gutenberg, why, joins):
+    df = spark.createDataFrame([("w", 0, before, False), ("w", 1, after, gap)], "k string, line_index int, text string, blank_before boolean")
+    assert rows(lines.join_decisions(df, "k", F.lit(gutenberg))) == [("w", 0, joins, why)]
+
+
+def test_blocks_of_all_types(spark):
+    said = [("speaker_cue", "THE MILLER.", False), ("dialogue_line", "I came from the ri-", True), ("dialogue_line", "ver.", False), ("speaker_cue", "BAKER.", False), ("hr", "* * *", False), ("stage_direction", "Exit baker", False), ("metadata", "a", False), ("metadata", "b", False), ("toc", "I. One", True), ("toc", "II. Two", False)]
+    said += [("verse_line", "“O mill,", False), ("verse_line", "O bell", False), ("blockquote", "quoted ba-", False), ("blockquote", "ker", False), ("list_item", "(1) one", False), ("heading", "ACT I", False), ("heading", "SCENE I", False), ("odd", "plain", None)]
+    df = spark.createDataFrame([("w", i, r, 1 if r == "heading" else 0, t, j, False) for i, (r, t, j) in enumerate(said)], "k string, line_index int, role string, level int, text string, join_next boolean, blank_before boolean")
+    made = blocks.from_labels(df, "k")
+    got = [(r["type"], r["text"], r["speaker"]) for r in made.orderBy("block").collect()]
+    assert got == [
+        ("dialogue", "I came from the river.", "THE MILLER"), ("stage_direction", "BAKER.", None), ("hr", "", None), ("stage_direction", "Exit baker", None), ("metadata", "a\nb", None), ("metadata", "I. One\nII. Two", None), ("blockquote", "“O mill,\nO bell", None),
+        ("blockquote", "quoted baker", None), ("list_item", "(1) one", None), ("heading", "ACT I", None), ("heading", "SCENE I", None), ("paragraph", "plain", None),
+    ]
+    both = blocks.merged_neighbours(blocks.merged_neighbours(made, "k", "metadata"), "k", "blockquote")
+    assert [r["text"] for r in both.where("type in ('metadata', 'blockquote')").orderBy("block").collect()] == ["a\nb\nI. One\nII. Two", "“O mill,\nO bell quoted baker"]
+    assert blocks.merged_headings(both, "k").where("type = 'heading'").count() == 2
+    r = blocks.markdown(both.withColumn("hidden", F.col("type") == "list_item"), "k").first()
+    assert r["content_kind"] == "drama" and "THE MILLER. I came" in r["markdown"] and "[Exit baker]" in r["markdown"] and "---" in r["markdown"] and "> “O mill" in r["markdown"] and "(1)" not in r["markdown"]
+    assert blocks.from_labels(df.limit(0), "k").count() == 0
+    stale = spark.createDataFrame([("w", "book:heading:act-i-2", 1, "x", None), ("w", "book:none:x", 2, "y", None)], "k string, block_id string, seq int, text string, hidden boolean")
+    assert sorted((r["block_id"], r["candidate"]) for r in blocks.stale_patches(blocks.block_ids(both, "k"), stale, "k").collect()) == [("book:heading:act-i-2", "book:heading:act-i"), ("book:none:x", None)]
