@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiremill.functions import text as T
@@ -57,13 +57,32 @@ def chapter_order(segments: DataFrame) -> DataFrame:
     return s.select("segment_id", "rank", F.row_number().over(Window.partitionBy("work_id").orderBy("rank", "chapter", "segment_id")).alias("place"))
 
 
-def packed(texts: DataFrame, key: str, text: str, target: int = 1200, hard: int = 1500) -> DataFrame:
+def sentence_pieces(paragraph: Column, hard: int) -> Column:
+    """A paragraph of more than `hard` words as pieces that end where sentences do, each of `hard` words at most unless a sentence is longer; any other as it is."""
+    parts = F.filter(F.split(paragraph, r"(?<=[.!?…][\"'”’»)\]]{0,2})\s+"), lambda p: p != "")
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("words"))
+
+    def step(acc, p):
+        n = T.word_count(p)
+        fresh = (F.size(acc["out"]) == 0) | (acc["words"] + n > hard)
+        head = F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0)))
+        longer = F.concat(head, F.array(F.concat(F.element_at(acc["out"], -1), F.lit(" "), p)))
+        return F.struct(F.when(fresh, F.concat(acc["out"], F.array(p))).otherwise(longer).alias("out"), F.when(fresh, n).otherwise(acc["words"] + n).alias("words"))
+
+    return F.when(T.word_count(paragraph) <= hard, F.array(paragraph)).otherwise(F.aggregate(parts, empty, step, lambda acc: acc["out"]))
+
+
+def packed(texts: DataFrame, key: str, text: str, target: int = 1200, hard: int = 1500, split: bool = False) -> DataFrame:
     """key, part, first and last paragraph, and words: paragraphs packed greedily into parts of about `target` words and no more than `hard` unless one paragraph is longer.
 
+    With `split` longer paragraphs are first taken apart where sentences end, and the pieces count as paragraphs.
+
     Whether a paragraph opens a part depends on all before it, which no window sum can say: each text's
     paragraphs are folded in order, in the JVM.
     """
     paras = F.filter(F.transform(F.split(text, r"\n[\s\p{Z}]*\n"), lambda p: T.strip(p)), lambda p: p != "")
+    if split:
+        paras = F.flatten(F.transform(paras, lambda p: sentence_pieces(p, hard)))
     counts = F.transform(paras, lambda p: T.word_count(p))
     empty = F.struct(F.array().cast("array<int>").alias("parts"), F.lit(0).alias("words"), F.lit(0).alias("part"))
 
@@ -107,18 +126,38 @@ def located_anchors(annotations: DataFrame, segments: DataFrame) -> DataFrame:
     return annotations.join(src, "segment_id", "left").select("annotation_row", at.alias("at"))
 
 
+WORDS = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
+
+
 def glossary_hits(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     """segment_id, term_en and used: which of the source's glossary terms have one of their renderings in the final text.
 
-    Terms are found as whole words by an equi-join of the source's words and word pairs with the terms,
-    so the work follows the words, not words times terms.
+    Terms of any number of words are found as whole words, by an equi-join of the source's runs of words
+    with the terms; runs are made of the lengths that terms have, so the work follows the words, not words
+    times terms. Of terms that overlap the longer ones stay, then the earlier. Nulls match nothing.
     """
-    s = current(segments).select("segment_id", F.lower("source_text").alias("src"), F.lower(F.coalesce("final", F.lit(""))).alias("out"))
-    words = F.regexp_extract_all("src", F.lit(r"[\p{L}-]+"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    each = s.select("segment_id", "out", F.explode(F.array_distinct(F.concat(words, pairs))).alias("term_en"))
-    terms = F.broadcast(glossary.groupBy(F.lower("term_en").alias("term_en")).agg(F.collect_set(F.lower("term_vi")).alias("renderings")))  # a list kept by hand
-    return each.join(terms, "term_en").select("segment_id", "term_en", F.exists("renderings", lambda r: F.contains(F.col("out"), r)).alias("used"))
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORDS), F.lit(0))
+    terms = glossary.where("term_en is not null").select(F.array_join(tokens("term_en"), " ").alias("term_en"), F.lower("term_vi").alias("term_vi")).where("term_en <> ''")
+    terms = terms.groupBy("term_en").agg(F.collect_set("term_vi").alias("renderings")).withColumn("n", F.size(F.split("term_en", " ")))
+    sizes = terms.agg(F.sort_array(F.collect_set("n")).alias("sizes"))  # one row, as many as terms have lengths
+    s = current(segments).where("source_text is not null").select("segment_id", tokens("source_text").alias("words"), F.lower(F.coalesce("final", F.lit(""))).alias("out")).crossJoin(F.broadcast(sizes))
+    runs = F.flatten(F.transform("sizes", lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("term_en")))))
+    found = s.select("segment_id", "out", F.inline(runs)).join(terms, ["term_en", "n"])
+    # A hit stays when no longer one, and no earlier one as long, shares a word with it: settled from the longest on.
+    kind = "array<struct<term_en:string,at:int,n:int,used:boolean>>"
+    used = F.exists("renderings", lambda r: F.contains(F.col("out"), r))
+    hits = found.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "at", "n", "term_en", used.alias("used")))).alias("hits"))
+    free = lambda kept, h: ~F.exists(kept, lambda x: (x["at"] < h["at"] + h["n"]) & (h["at"] < x["at"] + x["n"]))
+    kept = F.aggregate("hits", F.array().cast(kind), lambda acc, h: F.when(free(acc, h), F.concat(acc, F.array(F.struct(h["term_en"].alias("term_en"), h["at"].alias("at"), h["n"].alias("n"), h["used"].alias("used"))))).otherwise(acc))
+    return hits.select("segment_id", F.inline(kept)).select("segment_id", "term_en", "used").distinct()
+
+
+def merged_glossary(rows: DataFrame, place: str) -> DataFrame:
+    """The last row of each name and aliases, by `place`, at the place of the first one. A null name or list is an empty one."""
+    keys = [F.coalesce("name", F.lit("")).alias("name"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")]
+    rest = [c for c in rows.columns if c not in ("name", "aliases", place)]
+    last = F.max_by(F.struct(*rest), place).alias("r")
+    return rows.groupBy(*keys).agg(F.min(place).alias(place), last).select("name", "aliases", place, "r.*")
 
 
 def parsed_objects(texts: DataFrame, key: str, text: str, schema: str) -> DataFrame:

@@ -129,10 +129,12 @@ def title_fallback(spark, d):
     return table(spark, d, "segments").where("chapter is not null").select("chapter").distinct().select("chapter", translation.fallback_title(F.col("chapter")).alias("title"))
 
 
-@query("select lower(term_en) as term, max(term_vi) as rendering, count(*) as renderings from glossary group by 1")
+@query("select lower(term_en) as name, count(*) as renderings, max(term_vi) as term_vi from glossary group by 1")
 def glossary_merge(spark, d):
-    """One entry for each term."""
-    return table(spark, d, "glossary").groupBy(F.lower("term_en").alias("term")).agg(F.max("term_vi").alias("rendering"), F.count(F.lit(1)).alias("renderings"))
+    """One entry for each term: the last of its rows by rendering, the table having no order of its own."""
+    g = table(spark, d, "glossary").select(F.lower("term_en").alias("name"), F.array().cast("array<string>").alias("aliases"), F.col("term_vi").alias("place"), "term_vi")
+    n = g.groupBy("name").agg(F.count(F.lit(1)).alias("renderings"))
+    return translation.merged_glossary(g, "place").join(n, "name").select("name", "renderings", "term_vi")
 
 
 @query("select work_id, count(*) as deliveries, count(distinct segment_id) as segments, count(*) filter (where status = 'ok') as ok, max_by(seg_row, (updated_at, seg_row)) as latest from segments group by 1")

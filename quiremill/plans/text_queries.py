@@ -151,9 +151,16 @@ def excerpt_locate(spark, d):
     return translation.located_anchors(table(spark, d, "annotations"), table(spark, d, "segments"))
 
 
-@query(f"""with {_CURRENT}, w as (select segment_id, lower(coalesce(final, '')) as out, regexp_extract_all(lower(source_text), '[\\p{{L}}-]+') as ws from c),
-  e as (select distinct segment_id, out, unnest(list_concat(ws, list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1]))) as term_en from w)
-  select segment_id, lower(g.term_en) as term_en, bool_or(contains(out, lower(term_vi))) as used from e join glossary g on lower(g.term_en) = e.term_en group by segment_id, lower(g.term_en)""")
+_TOKENS = lambda c: f"regexp_extract_all(lower({c}), {q(translation.WORDS)})"
+
+
+@query(f"""with recursive {_CURRENT}, g as (select array_to_string({_TOKENS('term_en')}, ' ') as term_en, lower(term_vi) as term_vi from glossary where term_en is not null), w as (select segment_id, lower(coalesce(final, '')) as out, {_TOKENS('source_text')} as ws from c where source_text is not null),
+  z as (select distinct len(string_split(term_en, ' ')) as n from g where term_en <> ''), e as (select segment_id, out, n, unnest(range(0, len(ws) - n + 1)) as pos, ws from w, z where len(ws) >= n),
+  h as (select segment_id, pos, n, term_en, bool_or(contains(out, term_vi)) as used from (select *, array_to_string(ws[pos + 1:pos + n], ' ') as term from e) join g on term = term_en group by all),
+  o as (select *, row_number() over (partition by segment_id order by -n, pos) as k from h),
+  r as (select segment_id, 0 as k, []::struct(a bigint, b bigint)[] as kept, null::varchar as term_en, null::boolean as used, false as fresh from (select distinct segment_id from o)
+    union all select r.segment_id, o.k, case when f then list_append(kept, {{'a': o.pos::bigint, 'b': (o.pos + o.n)::bigint}}) else kept end, o.term_en, o.used, f from r join o on o.segment_id = r.segment_id and o.k = r.k + 1, lateral (select len(list_filter(kept, lambda x: x.a < o.pos + o.n and o.pos < x.b)) = 0 as f))
+  select distinct segment_id, term_en, used from r where fresh""")
 def glossary_scan(spark, d):
     """Glossary terms of each source and whether the translation uses a rendering of theirs."""
     return translation.glossary_hits(table(spark, d, "segments"), table(spark, d, "glossary"))

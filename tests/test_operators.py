@@ -368,7 +368,7 @@ def lines_of(spark, *texts):
 
 def test_contents_runs_and_stubs(spark):
     prose = "It was the first day of the year and the miller went down to the river with the baker and the widow."
-    book = ["CONTENTS", "CHAPTER I. The Mill", "CHAPTER II. The River", "THE HARVEST", "", "CHAPTER I", prose, prose, "CHAPTER II", "The ferry—the widow—the bell", "CHAPTER III", prose]
+    book = ["CONTENTS", "CHAPTER I. The Mill", "CHAPTER II. The River", "THE HARVEST", "", "CHAPTER I.", prose, prose, "CHAPTER II", "The ferry—the widow—the bell", "CHAPTER III", prose]
     t = lines_of(spark, "\n".join(book), prose, "", None, "1. Mill\n2. River\n3. Bell")
     runs = {r["k"]: r for r in contents.contents_runs(t, "k").where("run = 1").collect()}
     assert sorted(runs) == [0, 4] and runs[0]["headed"] and [runs[0][c] for c in ("first_line", "last_line")] == [0, 3] and runs[4]["rows"] == 3 and not runs[4]["headed"]
@@ -417,3 +417,25 @@ def test_blocks_of_all_types(spark):
     assert blocks.from_labels(df.limit(0), "k").count() == 0
     stale = spark.createDataFrame([("w", "book:heading:act-i-2", 1, "x", None), ("w", "book:none:x", 2, "y", None)], "k string, block_id string, seq int, text string, hidden boolean")
     assert sorted((r["block_id"], r["candidate"]) for r in blocks.stale_patches(blocks.block_ids(both, "k"), stale, "k").collect()) == [("book:heading:act-i-2", "book:heading:act-i"), ("book:none:x", None)]
+
+
+def test_glossary_terms_of_many_words(spark):
+    t = dt.datetime(2024, 1, 1)
+    seg = spark.createDataFrame([(0, "s", "The old mill of Saint-Denis, and the old mill; the miller's bell.", "cối xay cũ ở Saint-Denis", t), (1, "e", None, "x", t), (2, "n", "", None, t)], "seg_row bigint, segment_id string, source_text string, final string, arrived_at timestamp")
+    terms = spark.createDataFrame([("old mill of Saint-Denis", "cối xay cũ ở Saint-Denis"), ("old mill", "cối xay"), ("mill", "xay"), ("miller's bell", "chuông"), ("miller", "thợ xay"), (None, "x")], "term_en string, term_vi string")
+    assert rows(translation.glossary_hits(seg, terms)) == [("s", "miller's bell", False), ("s", "old mill of saint-denis", True), ("s", "old mill", True)]
+    assert translation.glossary_hits(seg, terms.limit(0)).count() == translation.glossary_hits(seg.limit(0), terms).count() == 0
+
+
+def test_glossary_keeps_last_rows(spark):
+    df = spark.createDataFrame([(0, "mill", ["m"], "a"), (1, "mill", None, "b"), (2, "mill", ["m"], "c"), (3, "mill", [], "d")], "place int, name string, aliases array<string>, vi string")
+    assert rows(translation.merged_glossary(df, "place")) == [("mill", [], 1, "d"), ("mill", ["m"], 0, "c")]
+
+
+def test_oversized_paragraphs(spark):
+    long = "One two three. Four five six! Seven eight nine? Ten"
+    df = spark.createDataFrame([(1, f"{long}\n\nshort one"), (2, ""), (3, None), (4, "a b c d e f g h i")], "k int, t string")
+    got = df.select("k", translation.sentence_pieces(F.col("t"), 6).alias("p")).orderBy("k").collect()
+    assert got[0]["p"][0] == "One two three. Four five six!" and got[3]["p"] == ["a b c d e f g h i"] and got[1]["p"] == [""]
+    parts = rows(translation.packed(df, "k", "t", 6, 6, split=True).select("k", "part", "words"))
+    assert parts == [(1, 1, 6), (1, 2, 6), (4, 1, 9)]
