@@ -55,21 +55,42 @@ def statistics(works: DataFrame) -> DataFrame:
     return works.agg(F.count(F.lit(1)).alias("works"), F.count_distinct("brain").alias("brains"), F.count("translator").alias("translated"), F.count_if(F.col("gutenberg_id").isNotNull()).alias("with_gutenberg_id"), F.array_join(F.sort_array(F.collect_set(T.known_language(F.col("lang")))), ",").alias("languages"))
 
 
-def check(works: DataFrame, licenses: DataFrame, texts: DataFrame) -> DataFrame:
-    """work_row and error of every fault: bad id, duplicate id, missing title, unknown licence, no text.
+def duplicates(rows: DataFrame, key: str) -> DataFrame:
+    """key and rows of each key that more than one row has; nulls are no key."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
-    A null id is bad; the first delivery of an id is no duplicate.
+
+def unique(rows: DataFrame, key: str) -> DataFrame:
+    """The rows as they are; the job fails with the key's name when two of them have one key."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    told = F.when((n > 1) & F.col(key).isNotNull(), F.raise_error(F.concat(F.lit("duplicate id: "), F.col(key).cast("string")))).otherwise(F.col(key))
+    return rows.withColumn(key, told)
+
+
+def check(works: DataFrame, licenses: DataFrame, texts: DataFrame, authors: DataFrame | None = None) -> DataFrame:
+    """work_row and error of every fault: bad id, duplicate id, missing title, unknown licence, no text, and
+    where they can be told unknown author (authors: id, against brain) and unknown or missing original of a
+    translation (columns origin and derived_from).
+
+    A null id is bad; the first delivery of an id is no duplicate. A translation needs no text of its own.
     """
     rows = with_canonical_license(works, licenses)
     nth = F.row_number().over(Window.partitionBy("work_id").orderBy("work_row"))
     fault = lambda df, error: df.select("work_row", F.lit(error).alias("error"))
+    made = F.coalesce(F.col("origin") == "hub_translation", F.lit(False)) if "origin" in works.columns else F.lit(False)
     out = [
         fault(rows.where(~F.coalesce(F.col("work_id").rlike(ID_PATTERN), F.lit(False))), "bad id"),
         fault(rows.where("work_id is not null").withColumn("nth", nth).where("nth > 1"), "duplicate id"),
         fault(rows.where(F.trim(F.coalesce("work", F.lit(""))) == ""), "missing title"),
         fault(rows.where("not license_known"), "license not in catalog"),
-        fault(rows.join(texts.select("work_id").distinct(), "work_id", "left_anti"), "no text"),
+        fault(rows.where(~made).join(texts.select("work_id").distinct(), "work_id", "left_anti"), "no text"),
     ]
+    if authors is not None:
+        out.append(fault(rows.join(authors.select(F.col("id").alias("brain")).distinct(), "brain", "left_anti"), "unknown author"))
+    if "derived_from" in works.columns:
+        derived = rows.where(made).withColumn("of", F.coalesce("derived_from", F.lit("")))
+        out.append(fault(derived.where("of = ''"), "translation without its original"))
+        out.append(fault(derived.where("of <> ''").join(works.select(F.col("work_id").alias("of")).distinct(), "of", "left_anti"), "unknown original"))
     all_faults = out[0]
     for x in out[1:]:
         all_faults = all_faults.unionByName(x)

@@ -6,14 +6,16 @@ Each stage is columns and windows over lines; only the check of characters in or
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from quiremill.functions import text as T
 from quiremill.operators import blocks as B
+from quiremill.operators import contents as C
 from quiremill.operators import lines as L
+from quiremill.operators import spans as S
 
 # Cues, directions and apparatus lines.
 CUE = r"^[A-Z][A-Z ,.'-]{2,40}\.$"
@@ -38,38 +40,77 @@ def drop_spans(lines: DataFrame, key: str) -> DataFrame:
     return wrap.unionByName(repeated)
 
 
-def labelled(lines: DataFrame, key: str) -> DataFrame:
+def _runs(x: DataFrame, key: str, member: Column, least: int, score: float) -> DataFrame:
+    """Runs of at least `least` member lines without a blank line inside, that end as verse does in a share of `score` and none of which is no verse, become verse."""
+    w = Window.partitionBy(key).orderBy("line_index")
+    m = F.coalesce(member, F.lit(False))
+    fresh = m & (~F.coalesce(F.lag(m).over(w), F.lit(False)) | F.coalesce("blank_before", F.lit(False)))
+    x = x.withColumns({"_m": m, "_run": F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    run = Window.partitionBy(key, "_run", "_m")
+    bad, hit = L.no_verse(F.col("text")), L.verse_end(F.col("text"))
+    verse = F.col("_m") & (F.count(F.lit(1)).over(run) >= least) & ~F.bool_or(bad).over(run) & (F.avg(hit.cast("double")).over(run) >= score)
+    return x.withColumn("role", F.when(verse, "verse_line").otherwise(F.col("role"))).drop("_m", "_run")
+
+
+def with_contents(x: DataFrame, key: str) -> DataFrame:
+    """Lines of tables of contents get the role toc and are joined within their table."""
+    runs = C.contents_runs(x, key).select(key, "first_line", "last_line")
+    at = runs.select(key, F.explode(F.sequence("first_line", "last_line")).alias("line_index"), (F.col("last_line")).alias("_last"))
+    both = x.join(at, [key, "line_index"], "left")
+    toc = F.col("_last").isNotNull()
+    return both.withColumns({"role": F.when(toc, "toc").otherwise(F.col("role")), "level": F.when(toc, 0).otherwise(F.col("level")), "join_next": F.when(toc, F.col("line_index") < F.col("_last")).otherwise(F.col("join_next"))}).drop("_last")
+
+
+def labelled(lines: DataFrame, key: str, gutenberg: Column | None = None) -> DataFrame:
     """Lines with role, level, confidence and join_next by rules.
 
     Roles of single lines come first; then lines after a speaker's cue are dialogue until another role
-    comes; then indented runs become verse; then join_next is decided for pairs of prose.
+    comes; a quotation that goes on over lines keeps the role of its first one; then runs of indented lines
+    and of short ones that end as verse does become verse (gutenberg: in texts from there, true where it
+    isn't given); then join_next is decided for pairs of prose.
     """
+    gutenberg = F.lit(True) if gutenberg is None else gutenberg
     s = T.strip(F.col("text"))
     play = F.count_if(s.rlike(CUE) & ~s.rlike(NO_CUE)).over(Window.partitionBy(key)) >= 4
     hard = T.hard_structural(s)
-    role = (
-        F.when(s.rlike(WIKI), "metadata").when(s.rlike(r"^[\-–—_*=\s]{3,}$"), "hr").when(F.col("_play") & s.rlike(DIRECTION), "stage_direction").when(s.rlike(T.CAPS_YEAR), "list_item").when(F.col("_play") & s.rlike(CUE) & ~s.rlike(NO_CUE), "speaker_cue")
-        .when(s.rlike(r"^\(\d+\)\s+"), "list_item").when(hard, "heading").when((F.col("indent") >= 4) & (F.length(s) < 72) & ~s.rlike(r"\.$"), "verse_line").otherwise("prose")
-    )
+    single = {
+        "metadata": s.rlike(WIKI), "hr": s.rlike(T.RULE), "stage_direction": F.col("_play") & s.rlike(DIRECTION), "speaker_cue": F.col("_play") & s.rlike(CUE) & ~s.rlike(NO_CUE) & ~s.rlike(T.CAPS_YEAR),
+        "list_item": s.rlike(T.CAPS_YEAR) | s.rlike(r"^\(\d+\)\s+"), "heading": hard, "verse_line": (F.col("indent") >= 4) & (F.length(s) < 72) & ~s.rlike(r"\.$"),
+    }
+    role = F.coalesce(*(F.when(c, F.lit(k)) for k, c in single.items()), F.lit("prose"))
     x = lines.withColumn("_play", play).withColumn("role", role)
     w = Window.partitionBy(key).orderBy("line_index")
+    plain = F.col("role").isin("prose", "verse_line")
     # The last line that isn't plain says whether plain ones belong to a cue.
-    before = F.last(F.when(~F.col("role").isin("prose", "verse_line"), F.col("role")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("role", F.when(F.col("role").isin("prose", "verse_line") & (before == "speaker_cue"), "dialogue_line").otherwise(F.col("role")))
-    level = F.when(F.col("role") != "heading", 0).when(s.rlike(r"(?i)^(?:CHAPTER|BOOK|PART|VOLUME)\b"), 1).otherwise(2)
-    x = x.withColumns({"level": level, "confidence": F.when(F.col("role") == "prose", 0.92).when(F.col("role") == "verse_line", 0.87).otherwise(0.95), "_next": F.lead("role").over(w)})
+    before = F.last(F.when(~plain, F.col("role")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("role", F.when(plain & (before == "speaker_cue"), "dialogue_line").otherwise(F.col("role")))
+    quoted = L.join_evidence(F.lag("text").over(w), F.col("text"), F.lit(False), F.lit(False))[1]["quotation"] & plain & F.lag(plain).over(w)
+    x = x.withColumn("_goes_on", F.coalesce(quoted & F.col("role").isin("prose", "verse_line"), F.lit(False)))
+    x = x.withColumn("_quote", F.sum((~F.col("_goes_on")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("role", F.when(F.col("_goes_on"), F.first("role").over(Window.partitionBy(key, "_quote").orderBy("line_index"))).otherwise(F.col("role"))).drop("_quote")
+    x = _runs(x, key, gutenberg & (F.col("role") == "prose") & (F.col("indent") >= 2), 3, 0.45)
+    x = _runs(x, key, gutenberg & (F.col("role") == "prose") & (F.length("text") <= 85), 4, 0.55)
+    level = F.when(F.col("role") != "heading", 0).when(s.rlike(r"(?i)^(?:CHAPTER|BOOK|PART|VOLUME)(?:[^\p{L}]|$)"), 1).otherwise(2)
+    x = x.withColumns({"level": level, "confidence": F.when(F.col("role") == "prose", 0.92).when(F.col("role") == "verse_line", 0.87).otherwise(0.95), "_next": F.lead("role").over(w), "_quote_next": F.lead("_goes_on").over(w)})
     decided = L.join_decisions(x.select(key, "line_index", "text", "blank_before"), key).select(key, "line_index", F.col("join_next").alias("_joins"))
     both = x.join(decided, [key, "line_index"], "left")
-    same = (F.col("role") == F.col("_next")) & F.col("role").isin("prose", "dialogue_line")
-    return both.withColumn("join_next", F.coalesce(F.col("_joins") & same, F.lit(False))).drop("_play", "_next", "_joins")
+    same = (F.col("role") == F.col("_next")) & (F.col("role").isin("prose", "dialogue_line") | (F.col("role").isin("verse_line") & F.col("_quote_next")))
+    return both.withColumn("join_next", F.coalesce(F.col("_joins") & same, F.lit(False))).drop("_play", "_next", "_joins", "_goes_on", "_quote_next")
 
 
-def editions(texts: DataFrame, key: str) -> DataFrame:
-    """key, blocks, content_kind, markdown and hash of each text's edition: apparatus dropped, lines labelled, blocks made, headings merged. Null and empty texts have no edition."""
+def edition_blocks(texts: DataFrame, key: str) -> DataFrame:
+    """key, block, type, level, lines, text, speaker and spans of each text: apparatus dropped, lines labelled, contents found, blocks made and merged, inline spans marked. Null and empty texts have no blocks."""
     table = L.line_table(texts, key)
     kept = table.join(drop_spans(table, key).select(key, "start_char"), [key, "start_char"], "left_anti")
-    made = B.from_labels(labelled(kept, key), key)
-    return B.markdown(B.merged_headings(made, key), key)
+    made = B.from_labels(with_contents(labelled(kept, key), key), key)
+    for kind in ("metadata", "blockquote"):
+        made = B.merged_neighbours(made, key, kind)
+    return B.merged_headings(made, key).withColumn("spans", S.inline_spans(F.col("text")))
+
+
+def editions(texts: DataFrame, key: str) -> DataFrame:
+    """key, blocks, content_kind, markdown and hash of each text's edition. Null and empty texts have none."""
+    return B.markdown(edition_blocks(texts, key), key)
 
 
 @pandas_udf(BooleanType())
@@ -77,18 +118,33 @@ def in_order(source: pd.Series, part: pd.Series) -> pd.Series:
     """Whether the characters of the second, white space aside, stand in the first in the same order. Each character depends on where the last one was found."""
 
     def one(s: str, p: str) -> bool:
-        rest = iter("".join((s or "").split()))
-        return all(c in rest for c in "".join((p or "").replace("> ", "").split()))
+        source, at = "".join((s or "").split()), 0
+        for c in "".join((p or "").split()):
+            at = source.find(c, at) + 1  # searched in C, not character by character
+            if not at:
+                return False
+        return True
 
     return pd.Series([one(s, p) for s, p in zip(source, part)])
 
 
-def fidelity(texts: DataFrame, made: DataFrame, key: str) -> DataFrame:
-    """key and whether the edition keeps the order of characters, its hash is that of its text, and it has 500 blocks at most."""
-    joined = texts.select(key, F.col("text").alias("source")).join(made, key)
+def fidelity(texts: DataFrame, blocks: DataFrame, made: DataFrame, key: str) -> DataFrame:
+    """key and five checks of an edition: schema (no block has errors), order_kept (its characters stand in the
+    text in the same order), markdown_kept and hash_kept (reading text and hash are those of the blocks),
+    spans_kept (each span is what stands at its place) and sane (500 blocks at most, none of text empty)."""
+    again = B.markdown(blocks, key).select(key, F.col("markdown").alias("_markdown"), F.col("hash").alias("_hash"))
+    wrong = F.exists("spans", lambda s: F.substr(F.col("text"), s["start"] + 1, s["end"] - s["start"]) != s["span"])
+    faults = block_errors(blocks).groupBy(key).agg(F.count(F.lit(1)).alias("_errors"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda b: b["text"]), "\n")
+    empty = F.col("type").isin("paragraph", "heading", "verse_line", "stanza", "blockquote") & (F.trim(F.coalesce("text", F.lit(""))) == "")
+    told = blocks.groupBy(key).agg(whole.alias("_body"), F.count_if(F.coalesce(wrong, F.lit(False))).alias("_wrong"), F.count_if(empty).alias("_empty"))
+    x = texts.select(key, F.col("text").alias("_source")).join(made, key).join(again, key).join(told, key).join(faults, key, "left")
     # Hyphens at line ends are undone by design, so they don't count.
-    bare = lambda c: F.replace(F.replace(c, F.lit("-"), F.lit("")), F.lit("*"), F.lit(""))
-    return joined.select(key, in_order(bare(F.col("source")), bare(F.col("markdown"))).alias("order_kept"), (F.sha2("markdown", 256) == F.col("hash")).alias("hash_kept"), (F.col("blocks") <= 500).alias("sane"))
+    bare = lambda c: F.replace(c, F.lit("-"), F.lit(""))
+    return x.select(
+        key, F.col("_errors").isNull().alias("schema"), in_order(bare(F.col("_source")), bare(F.col("_body"))).alias("order_kept"), (F.col("markdown") == F.col("_markdown")).alias("markdown_kept"), (F.col("hash") == F.col("_hash")).alias("hash_kept"),
+        (F.col("_wrong") == 0).alias("spans_kept"), ((F.col("blocks") <= 500) & (F.col("_empty") == 0)).alias("sane"),
+    )
 
 
 def block_errors(blocks: DataFrame) -> DataFrame:

@@ -54,14 +54,22 @@ def uncertain_ranges(labels: DataFrame, key: str, order: str, threshold: float =
     return grouped.groupBy(key, "g").agg(F.min(order).alias("first_line"), F.max(order).alias("last_line")).drop("g")
 
 
+def no_verse(s: Column) -> Column:
+    """A line that no verse has: too long, with a brace, or naming a unit."""
+    return (F.length(s) > 85) | s.contains("{") | s.rlike(r"(?i)(?:^|[^\p{L}\p{N}_])(?:CHAPTER|ACT|SCENE|BOOK)(?:[^\p{L}\p{N}_]|$)")
+
+
+def verse_end(s: Column) -> Column:
+    """A line that ends as verse does: in a note's mark, or short and in a comma or the like."""
+    return s.rlike(r"\[\d+\]$") | (s.rlike(T.VERSE_END) & (F.length(s) < 75))
+
+
 def verse_runs(lines: DataFrame, key: str, least: int = 3, score: float = 0.45) -> DataFrame:
     """key, first_line, lines and score of runs of indented prose that read as verse: the share of lines that end as verse does, none of them disqualified."""
     prose = (F.col("role") == "prose") & (F.col("indent") >= 2)
     w = Window.partitionBy(key).orderBy("line_index")
     runs = islands(lines, [key], ["line_index"], prose).withColumn("part", F.sum(F.col("blank_before").cast("int")).over(w))
-    s = F.col("text")
-    bad = (F.length(s) > 85) | s.contains("{") | s.rlike(r"(?i)\b(?:CHAPTER|ACT|SCENE|BOOK)\b")
-    hit = s.rlike(r"\[\d+\]$") | (s.rlike(T.VERSE_END) & (F.length(s) < 75))
+    bad, hit = no_verse(F.col("text")), verse_end(F.col("text"))
     found = runs.groupBy(key, "island", "part").agg(F.min("line_index").alias("first_line"), F.count(F.lit(1)).alias("lines"), F.when(F.bool_or(bad), 0.0).otherwise(F.avg(hit.cast("double"))).alias("score"))
     return found.where((F.col("lines") >= least) & (F.col("score") >= score)).drop("island", "part")
 

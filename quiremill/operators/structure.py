@@ -81,3 +81,9 @@ def division_level(kinds: DataFrame, key: str) -> DataFrame:
     c = kinds.groupBy(key).agg(n("chapter"), n("book"), n("part"))
     level = F.when(F.col("chapter") >= 2, "chapter").when(F.col("book") >= 2, "book").when(F.col("part") >= 2, "part").when(F.col("chapter") >= 1, "chapter").when(F.col("book") >= 1, "book").otherwise("none")
     return c.withColumn("level", level)
+
+
+def prioritised(candidates: DataFrame, key: str, order: str, confidence: str, most: int) -> DataFrame:
+    """key, order and place of the `most` candidates of each text with the greatest confidence, null the least, ties by order."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(confidence), order))
+    return candidates.select(key, order, place.alias("place")).where(F.col("place") <= most)

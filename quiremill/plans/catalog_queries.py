@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quiremill.functions import text as T
@@ -91,13 +92,26 @@ def work_credits(spark, d):
     return catalog.credits(table(spark, d, "works"), table(spark, d, "segments"))
 
 
-@query("""with k as (select doc_id, case when doc_id % 3 = 0 then 'stale' else sha256(text) end as digest from documents where text is not null and doc_id % 5 > 0)
+@query("""with k as (select doc_id, sha256(first_value(text) over (partition by work_id, chapter order by fetched_at, doc_id)) as digest from documents where text is not null and work_id is not null)
   select case when text is null then 'missing' when k.digest = sha256(text) then 'unchanged' else 'updated' end as status, count(*) as documents from documents left join k using (doc_id) group by 1""")
 def hash_refresh(spark, d):
-    """Documents by whether their digest has changed, a third of the known ones being stale and a fifth unknown."""
+    """Documents by whether their digest is that of the chapter's first fetch; those without a work are known by none."""
     docs = table(spark, d, "documents")
-    known = docs.where("text is not null and doc_id % 5 > 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "stale").otherwise(F.sha2("text", 256)).alias("digest"))
-    return catalog.hash_refresh(docs, known)
+    first = F.first("text").over(Window.partitionBy("work_id", "chapter").orderBy("fetched_at", "doc_id"))
+    return catalog.hash_refresh(docs, docs.where("text is not null and work_id is not null").select("doc_id", F.sha2(first, 256).alias("digest")))
+
+
+@query(f"""with {_LATEST} select work_id, case when chunking = 'verse' then 'poetry' when regexp_matches(lower(array_to_string(concepts, ' ')), 'memoir|autobiograph|life') then 'memoir-biography' else 'essays' end as category from l""")
+def category_guess(spark, d):
+    """Works by what kind of reading they are."""
+    works = catalog.latest(table(spark, d, "works"), ["work_id"], "ingested_at", "work_row")
+    return works.select("work_id", T.category(F.col("brain"), F.col("chunking"), F.col("concepts")).alias("category"))
+
+
+@query("select work_id, count(*) as deliveries from works group by 1 having count(*) > 1")
+def duplicate_ids(spark, d):
+    """Ids that several rows have."""
+    return catalog.duplicates(table(spark, d, "works"), "work_id").withColumnRenamed("rows", "deliveries")
 
 
 @query("select w.brain, count(distinct w.work_id) as works, count(distinct t.work_id) as with_lines, count(t.line_id) as lines from (select distinct brain, work_id from works) w left join text_lines t using (work_id) group by 1")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quiremill.functions import text as T
 from quiremill.operators import edition, lines, matching, notes, translation
+from quiremill.operators.catalog import latest
 from quiremill.plans.line_queries import labelled
 from quiremill.plans.text_queries import like, strip_sql
 from quiremill.session import table
@@ -43,13 +45,16 @@ def footnote_gaps(spark, d):
     return notes.gaps(_marks(spark, d), "sample_row", 40)
 
 
-@query(f"with {_MARKS}, a as (select number, count(*) as marks from k group by 1), b as (select sample_row as number, string_agg(family, ' ' order by family) as body from inline_samples where family is not null group by 1) select number, coalesce(marks, 0) as marks, body, case when body is null then 'no body' when marks is null then 'no mark' else 'linked' end as state from a full join b using (number)")
+@query(r"""with c as (select * from segments qualify row_number() over (partition by segment_id order by arrived_at desc, seg_row desc) = 1), l as (select * from annotations qualify row_number() over (partition by id order by generated_at desc, annotation_row desc) = 1),
+  k as (select segment_id, cast(unnest(flatten(list_transform(regexp_extract_all(source_text, '\[(\d{1,4}(?:,\s*\d{1,4})*)\]', 1), lambda x: regexp_split_to_array(x, ',\s*')))) as int) as number from c), a as (select segment_id, number, count(*) as marks from k group by all),
+  n as (select segment_id, row_number() over (partition by segment_id order by annotation_row) as number, body_vi from l), b as (select segment_id, number, coalesce(string_agg(body_vi, ' ' order by body_vi), '') as body from n group by all)
+  select segment_id, number, coalesce(marks, 0) as marks, body, case when body is null then 'no body' when marks is null then 'no mark' else 'linked' end as state from a full join b using (segment_id, number)""")
 def footnote_links(spark, d):
-    """Marks linked to bodies by number: families of samples stand in for bodies, as the tables have none."""
-    one = F.lit(0).alias("k")
-    found = _marks(spark, d).select(one, "number")
-    bodies = table(spark, d, "inline_samples").where("family is not null").select(one, F.col("sample_row").cast("int").alias("number"), F.col("family").alias("body"))
-    return notes.linked(found, bodies, "k").drop("k")
+    """Marks of the segments' sources linked to the bodies of their annotations, which are numbered in order within a segment."""
+    found = notes.marks(translation.current(table(spark, d, "segments")), ["segment_id"], "source_text")
+    last = latest(table(spark, d, "annotations"), ["id"], "generated_at", "annotation_row")
+    number = F.row_number().over(Window.partitionBy("segment_id").orderBy("annotation_row"))
+    return notes.linked(found, last.select("segment_id", number.alias("number"), F.col("body_vi").alias("body")), "segment_id")
 
 
 @query(f"with {_MARKS}, l as (select sample_row, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as block from inline_samples), b as (select sample_row, block, cast(unnest(flatten(list_transform(regexp_extract_all(t, '\\[(\\d{{1,4}}(?:,\\s*\\d{{1,4}})*)\\]', 1), lambda x: regexp_split_to_array(x, ',\\s*')))) as int) as number from l) select sample_row, number, min(block) as block from b group by all")
@@ -89,7 +94,7 @@ def build_edition(spark, d):
 def fidelity_checks(spark, d):
     """Checks of the editions against their texts."""
     docs = table(spark, d, "documents")
-    return edition.fidelity(docs, edition.editions(docs, "doc_id"), "doc_id")
+    return edition.fidelity(docs, edition.edition_blocks(docs, "doc_id"), edition.editions(docs, "doc_id"), "doc_id")
 
 
 @query(rf"""with s as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as n from documents where text is not null), l as (select *, {strip_sql('t')} as s from s), k as (select *, regexp_matches(s, '(?i)^(?:CHAPTER|CHAP\.?|BOOK|VOLUME|PART|CHƯƠNG|CHAPITRE)\s+(?:[IVXLC]+|\d+)\.?$') as head from l where s <> ''),
@@ -106,12 +111,13 @@ def label_summary(spark, d):
     return labelled(spark, d).groupBy("role", "level", F.coalesce("source", F.lit("none")).alias("source")).agg(F.count(F.lit(1)).alias("lines"), F.count_if("join_next").alias("joined"), F.count_if(F.col("confidence").isNull()).alias("unsure"))
 
 
-@query("""with n as (select * from segments where seg_row % 2 = 1), o as (select * from segments where seg_row % 2 = 0), i as (select segment_id, max(seg_row) as a from o group by 1), p as (select work_id, chapter, max(seg_row) as b from o group by 1, 2)
+@query("""with n as (select * from segments qualify row_number() over (partition by segment_id order by arrived_at desc, seg_row desc) = 1), o as (select * from segments where seg_row not in (select seg_row from n)), i as (select segment_id, max(seg_row) as a from o group by 1), p as (select work_id, chapter, max(seg_row) as b from o group by 1, 2)
   select n.seg_row, coalesce(a, b) as source_row from n left join i using (segment_id) left join p on p.work_id = n.work_id and p.chapter = n.chapter""")
 def inherit_translations(spark, d):
-    """What odd rows of segments take over from even ones, as a later delivery would from an earlier one."""
+    """What the last delivery of each segment takes over from all earlier ones."""
     s = table(spark, d, "segments")
-    return translation.inherited(s.where("seg_row % 2 = 1").select("seg_row", "segment_id", "work_id", "chapter"), s.where("seg_row % 2 = 0"))
+    new = translation.current(s).select("seg_row", "segment_id", "work_id", "chapter")
+    return translation.inherited(new, s.join(new.select("seg_row"), "seg_row", "left_anti"))
 
 
 @query("""with c as (select * from segments qualify row_number() over (partition by segment_id order by arrived_at desc, seg_row desc) = 1), l as (select annotation_row, length(anchor_text) as size, instr(source_text, anchor_text) - 1 as pos, source_text from annotations join c using (segment_id) where length(coalesce(anchor_text, '')) > 0)

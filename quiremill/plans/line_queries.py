@@ -286,22 +286,19 @@ def fuzzy_titles(spark, d):
     return matching.title_scores(titles, heads, "work_id")
 
 
-@query(f"""with {_BLOCKS}, p as (select work_id, block, 'x' as t from b where block % 7 = 0) select work_id, block, case when block % 7 = 0 then 'x' || block else text end as text, block % 7 = 0 as hidden from b""".replace(", p as (select work_id, block, 'x' as t from b where block % 7 = 0)", ""))
+@query(f"with {_BLOCKS} select work_id, block, case when type = 'heading' then 'x' || block else text end as text, type = 'heading' as hidden from b")
 def patch_blocks(spark, d):
-    """Blocks with a log of edits applied: two edits of every seventh block, of which the last of each field holds."""
+    """Blocks with a log of edits applied: two edits of every heading, of which the last of each field holds."""
     b = blocks.block_ids(_blocks(spark, d), "work_id")
-    some = b.where("block % 7 = 0")
+    some = b.where("type = 'heading'")
     log = some.select("work_id", "block_id", F.lit(1).alias("seq"), F.lit("first").alias("text"), F.lit(True).alias("hidden")).unionByName(some.select("work_id", "block_id", F.lit(2).alias("seq"), F.concat(F.lit("x"), F.col("block")).alias("text"), F.lit(None).cast("boolean").alias("hidden")))
     return blocks.patched(b, log, "work_id").select("work_id", "block", "text", "hidden")
 
 
-@query("""select h.work_id, least(count(*), 10) as candidates from text_lines h join line_labels using (line_id) where role = 'heading' group by 1""")
+@query("select work_id, line_index, row_number() over (partition by work_id order by coalesce(confidence, -1) desc, line_index) as place from text_lines join line_labels using (line_id) where role = 'heading' qualify place <= 500")
 def heading_candidates(spark, d):
-    """Candidates for headings of each work, ten at most: those of the greatest confidence, ties to the later line."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("work_id").orderBy(F.desc_nulls_last("confidence"), F.desc("line_index")))
-    return labelled(spark, d).where("role = 'heading'").withColumn("n", n).where("n <= 10").groupBy("work_id").agg(F.count(F.lit(1)).alias("candidates"))
+    """The first 500 candidates for headings of each work, those of the greatest confidence, then in order: as many as a reviewer is given."""
+    return structure.prioritised(labelled(spark, d).where("role = 'heading'"), "work_id", "line_index", "confidence", 500)
 
 
 @query("""select work_id, line_index, confidence from text_lines join line_labels using (line_id) where role = 'heading'""")

@@ -284,8 +284,23 @@ def test_edition(spark):
     made = edition.editions(df, "k")
     r = made.collect()
     assert len(r) == 1 and r[0]["markdown"] == "CHAPTER I\n\nIt was a long wonder of the road to the mill.\n\nAnd so on.\n\nMore."
-    f = edition.fidelity(df, made, "k").first()
-    assert f["order_kept"] and f["hash_kept"] and f["sane"]
+    b = edition.edition_blocks(df, "k")
+    assert list(edition.fidelity(df, b, made, "k").first())[1:] == [True] * 6
+    worse = b.withColumn("text", F.when(F.col("type") == "heading", "CHAPTER 9").otherwise(F.col("text")))
+    assert list(edition.fidelity(df, worse, made, "k").first())[1:] == [True, False, False, False, True, True]
+    torn = b.withColumns({"type": F.when(F.col("type") == "heading", "odd").otherwise(F.col("type")), "spans": F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit("em").alias("style"), F.lit("zz").alias("span")))})
+    f = edition.fidelity(df, torn, made, "k").first()
+    assert not f["schema"] and not f["spans_kept"] and not f["hash_kept"]
+
+
+def test_verse_and_quotations(spark):
+    from quiremill.operators import edition
+
+    verse = ["The mill is old, the river wide,", "The ferry waits beyond the tide;", "And who shall cross it, who shall stay,", "And who shall sing the night away?"]
+    quote = ["“He came to us at noon,", "and we were glad of him,", "and so was she.”"]
+    text = "\n".join(verse) + "\n\n" + "\n".join(quote) + "\n\n" + "It was the first day of the year and the miller went down to the river with the baker,\nwho was his friend."
+    got = [(r["text"], r["role"], r["join_next"]) for r in edition.labelled(lines_of(spark, text), "k").orderBy("line_index").collect()]
+    assert [g[1] for g in got] == ["verse_line"] * 4 + ["prose"] * 5 and [g[2] for g in got[4:]] == [True, True, False, True, False]
 
 
 def test_dialogue(spark):
@@ -392,7 +407,7 @@ def test_bound_captions(spark):
     ("The miller went down to the", "river.", True, False, "hanging across a blank", True), ("He came.", "She left.", True, True, "blank", False), ("The end of the matter", "CHAPTER II", False, True, "structure", False), ("one", "* * * * *", False, True, "rule", False),
     ("he wrote", "And in this wise:", False, True, "lead in", False), ("“no more.”[12]", "then", False, True, "closed quote", False), ("“He came to us,", "And we were glad", False, False, "quotation", True), ("a miller and a ba-", "ker came", False, False, "hyphen", True),
     ("the miller said", "nothing at all", False, False, "continuation", True), ("Said Dr.", "(so they tell)", False, False, "continuation", True), ("It was the longest day that anyone could remember, so", "The baker slept", False, False, "ended", False), ("It was the longest day that anyone could remember, so said", "The baker slept", False, False, "wrapped", True),
-    ("as follows:", "“Come”", False, False, "colon", True), ("see [Job", "12:3]", False, False, "open bracket", True), ("A short one", "Of two", False, True, "default", True), ("A short one", "Of two", False, False, "ended", False), ("LONDON", "MDCCCXC", True, True, "imprint", True), ("It ended here.", "The next", False, True, "ended", False),
+    ("as follows:", "“Come”", False, False, "continuation", True), ("see [Job", "12:3]", False, False, "open bracket", True), ("A short one", "Of two", False, True, "default", True), ("A short one", "Of two", False, False, "ended", False), ("LONDON", "MDCCCXC", True, True, "imprint", True), ("It ended here.", "The next", False, True, "ended", False),
 ])
 def test_join_evidence(spark, before, after, gap, gutenberg, why, joins):
     df = spark.createDataFrame([("w", 0, before, False), ("w", 1, after, gap)], "k string, line_index int, text string, blank_before boolean")
@@ -429,7 +444,7 @@ def test_glossary_terms_of_many_words(spark):
 
 def test_glossary_keeps_last_rows(spark):
     df = spark.createDataFrame([(0, "mill", ["m"], "a"), (1, "mill", None, "b"), (2, "mill", ["m"], "c"), (3, "mill", [], "d")], "place int, name string, aliases array<string>, vi string")
-    assert rows(translation.merged_glossary(df, "place")) == [("mill", [], 1, "d"), ("mill", ["m"], 0, "c")]
+    assert rows(translation.merged_glossary(df, "place")) == [("mill", ["m"], 0, "c"), ("mill", [], 1, "d")]
 
 
 def test_oversized_paragraphs(spark):
@@ -439,3 +454,15 @@ def test_oversized_paragraphs(spark):
     assert got[0]["p"][0] == "One two three. Four five six!" and got[3]["p"] == ["a b c d e f g h i"] and got[1]["p"] == [""]
     parts = rows(translation.packed(df, "k", "t", 6, 6, split=True).select("k", "part", "words"))
     assert parts == [(1, 1, 6), (1, 2, 6), (4, 1, 9)]
+
+
+def test_catalogue_faults_of_authors_and_originals(spark):
+    cols = "work_row int, work_id string, brain string, work string, license string, origin string, derived_from string"
+    works = spark.createDataFrame([(0, "a--x", "a", "X", "ok", None, None), (1, "b--y", "b", "Y", "ok", "hub_translation", "a--x"), (2, "b--z", "b", "Z", "ok", "hub_translation", "a--none"), (3, "b--q", "b", "Q", "ok", "hub_translation", None)], cols)
+    ids, texts, authors = spark.createDataFrame([("ok",)], "id string"), spark.createDataFrame([("a--x",)], "work_id string"), spark.createDataFrame([("a",)], "id string")
+    got = rows(catalog.check(works, ids, texts, authors))
+    assert got == sorted([(1, "unknown author"), (2, "unknown author"), (3, "unknown author"), (2, "unknown original"), (3, "translation without its original")], key=repr)
+    assert catalog.check(works.limit(0), ids, texts, authors).count() == 0
+    assert catalog.unique(works, "work_id").count() == 4 and catalog.duplicates(works.union(works), "work_id").count() == 4
+    with pytest.raises(Exception, match="duplicate id"):
+        catalog.unique(works.union(works.limit(1)), "work_id").collect()
