@@ -67,10 +67,10 @@ def letter_vectors() -> np.ndarray:
 def bundle(counts: np.ndarray) -> np.ndarray:
     """The unit vector that bundles n-grams by their counts, counts[a, b, c] for the symbols a, b, c in order."""
     v = letter_vectors()
-    inner = counts.reshape(-1, SYMBOLS).astype(np.float32) @ v
+    inner = counts.reshape(-1, SYMBOLS) @ v.astype(np.float64)
     inner = (inner.reshape(SYMBOLS, SYMBOLS, DIMENSIONS) * np.roll(v, 1, axis=1)[None]).sum(axis=1)
     total = (inner * np.roll(v, 2, axis=1)).sum(axis=0)
-    return total / max(float(np.linalg.norm(total)), 1e-9)
+    return (total / max(float(np.linalg.norm(total)), 1e-9)).astype(np.float32)
 
 
 def products(prototypes: np.ndarray) -> np.ndarray:
