@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 from quiremill.functions import text as T
 from quiremill.operators.lines import islands
 from quiremill.operators.matching import STOP_WORDS, folded
+from quiremill.session import cut, spread
 
 # Chapter lines, headers of contents, titles.
 CHAPTER_LINE = r"(?i)^(?:(?:CHAPTER|CHAP\.?)\s+[IVXLC\d]+(?:\.\s*$|[.:]\s|\.\s|\s+[A-Z])|(?:BOOK|PART|VOLUME)\s+[IVXLC\d]+(?:[.:]\s|\.\s|\s+[A-Z]))"
@@ -94,17 +95,21 @@ def match_contents(lines: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     word, never all lines; then each text's hits are gone through once. Texts without lines or entries
     have no rows; lines over 120 characters are no headings; null labels match nothing.
     """
-    title = lambda c: F.coalesce(F.when(_folded(F.regexp_replace(c, NUMBERED, "")) != "", _folded(F.regexp_replace(c, NUMBERED, ""))), _folded(c))
     weight = F.array_distinct(F.filter(F.split("k", " "), lambda v: (F.length(v) > 1) & ~v.isin(*sorted(STOP_WORDS))))
-    e = entries.where("label is not null").select(key, "entry", _number(F.col("label")).alias("number"), title(F.col("label")).alias("k")).withColumn("weight", weight)
+    e = entries.where("label is not null").select(key, "entry", _number(F.col("label")).alias("number"), _folded(F.regexp_replace("label", NUMBERED, "")).alias("bare"), _folded(F.col("label")).alias("whole")).withColumn("k", F.coalesce(F.nullif("bare", F.lit("")), "whole")).drop("bare", "whole").withColumn("weight", weight)
     e = e.withColumn("asked", F.element_at(F.array_sort("weight", lambda a, b: F.length(a) - F.length(b)), -1))
-    x = lines.where("length(text) between 1 and 120").select(key, "line_index", _number(F.col("text")).alias("number"), _folded(F.col("text")).alias("k"))
+    # Both are asked for by number, title and word: folded once.
+    e = cut(e)
+    x = cut(spread(lines.where("length(text) between 1 and 120").select(key, "line_index", "text")).select(key, "line_index", _number(F.col("text")).alias("number"), _folded(F.col("text")).alias("k")))
     cols = [key, "entry", "line_index"]
     by_number = e.where("number <> ''").join(x.where("number <> ''").drop("k"), [key, "number"]).select(*cols)
     plain = e.where("number = '' and k <> ''").drop("number")
     by_title = plain.join(x.drop("number"), [key, "k"]).select(*cols)
-    words = x.select(key, "line_index", F.array_distinct(F.split("k", " ")).alias("words")).withColumn("asked", F.explode("words"))
-    by_words = plain.where(F.size("weight") >= 2).join(words, [key, "asked"]).where(F.size(F.array_except("weight", "words")) == 0).select(*cols)
+    many = plain.where(F.size("weight") >= 2)
+    # Of a line only the words that its text's entries ask for are told apart.
+    asked = many.groupBy(key).agg(F.collect_set("asked").alias("wanted"))
+    words = x.join(asked, key).select(key, "line_index", F.array_distinct(F.split("k", " ")).alias("words"), "wanted").withColumn("asked", F.explode(F.array_intersect("words", "wanted"))).drop("wanted")
+    by_words = many.join(words, [key, "asked"]).where(F.size(F.array_except("weight", "words")) == 0).select(*cols)
     hits = by_number.union(by_title).union(by_words).groupBy(key, "entry").agg(F.sort_array(F.collect_set("line_index")).alias("at"))
     one = "array<struct<entry:int,line_index:int>>"
 

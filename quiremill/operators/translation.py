@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quiremill.functions import text as T
 from quiremill.operators.catalog import latest
+from quiremill.session import spread
 
 OUTPUT_RATIO, OVERHEAD = 1.15, 2500
 
@@ -19,17 +20,19 @@ def current(segments: DataFrame) -> DataFrame:
     return latest(segments, ["segment_id"], "arrived_at", "seg_row")
 
 
-def completeness(segments: DataFrame) -> DataFrame:
-    """segment_id, work_id, words and completeness of each segment's last delivery: truncated, ok, raw_pending or empty.
+def completeness(segments: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """segment_id, work_id, chapter, words, completeness and the columns of `keep` of each segment's last delivery: truncated, ok, raw_pending or empty.
 
     Truncated is a final text that breaks off where its source doesn't, or that has two footnote marks
     more or less than it. Null texts count as empty.
     """
-    s = current(segments)
+    # Told where the texts are read, so that what goes over the network is a word, not three texts.
     final, source = T.strip(F.coalesce("final", F.lit(""))), F.coalesce("source_text", F.lit(""))
     marks = F.abs(F.regexp_count(source, F.lit(T.MARKER)) - F.regexp_count(final, F.lit(T.MARKER)))
     state = F.when(T.truncated(source, final) | ((final != "") & (marks >= 2)), "truncated").when(final != "", "ok").when(T.strip(F.coalesce("draft_raw", F.lit(""))) != "", "raw_pending").otherwise("empty")
-    return s.select("segment_id", "work_id", "chapter", F.coalesce("words", F.lit(0)).alias("words"), state.alias("completeness"))
+    kept = [F.col(c) for c in keep]
+    told = spread(segments).select("segment_id", "work_id", "chapter", F.coalesce("words", F.lit(0)).alias("words"), state.alias("completeness"), *kept, "arrived_at", "seg_row")
+    return current(told).select("segment_id", "work_id", "chapter", "words", "completeness", *keep)
 
 
 def estimate(complete: DataFrame) -> DataFrame:
@@ -43,8 +46,7 @@ def estimate(complete: DataFrame) -> DataFrame:
 
 def assembled(segments: DataFrame) -> DataFrame:
     """work_id, segments, missing, chars and hash of each work's final texts in order of chapters, joined by blank lines. Works without any final text have an empty one."""
-    c = completeness(segments).select("segment_id", "completeness")
-    s = current(segments).join(c, "segment_id")
+    s = completeness(segments, ("final",))
     ok = F.col("completeness") == "ok"
     pieces = F.array_sort(F.collect_list(F.when(ok, F.struct(T.chapter_rank(F.col("chapter")).alias("r"), "chapter", "segment_id", T.strip(F.col("final")).alias("t")))))
     text = F.array_join(F.transform(pieces, lambda p: p["t"]), "\n\n")
