@@ -97,7 +97,7 @@ def match_contents(lines: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """
     weight = F.array_distinct(F.filter(F.split("k", " "), lambda v: (F.length(v) > 1) & ~v.isin(*sorted(STOP_WORDS))))
     e = entries.where("label is not null").select(key, "entry", _number(F.col("label")).alias("number"), _folded(F.regexp_replace("label", NUMBERED, "")).alias("bare"), _folded(F.col("label")).alias("whole")).withColumn("k", F.coalesce(F.nullif("bare", F.lit("")), "whole")).drop("bare", "whole").withColumn("weight", weight)
-    e = e.withColumn("asked", F.element_at(F.array_sort("weight", lambda a, b: F.length(a) - F.length(b)), -1))
+    e = e.withColumn("asked", F.try_element_at(F.array_sort("weight", lambda a, b: F.length(a) - F.length(b)), F.lit(-1)))
     # Both are asked for by number, title and word: folded once.
     e = cut(e)
     x = cut(spread(lines.where("length(text) between 1 and 120").select(key, "line_index", "text")).select(key, "line_index", _number(F.col("text")).alias("number"), _folded(F.col("text")).alias("k")))
