@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quiremill.llm.boost import Boost
 from quiremill.llm.lookalikes import LOOKALIKES, plain
-from quiremill.llm.sitelines import found_lines, letters
+from quiremill.llm.sitelines import letters, repeated_lines
 from quiremill.llm import words as W
 from quiremill.llm.tables import Bitmap, bitmap, cut_table
 from quiremill.session import BROADCAST_LIMIT
@@ -213,7 +213,8 @@ def judged_lines(lines: DataFrame, labels: DataFrame, works: DataFrame) -> DataF
 
     Without texts: those are read again where they lie.
     """
-    site = cut_table(found_lines(lines, works))
+    # Each line of a repeated block is repeated itself, so the blocks needn't be put together to leave out their lines.
+    site = repeated_lines(lines, works)[0].select("line_id")
     heads, joins = fit_lines(lines, labels, works, site)
     told = _told(_shape_columns(lines_with_shape(lines, labels, works, site)), heads)
     # All windows are of one order, so lines are sorted once; furniture is skipped as null.

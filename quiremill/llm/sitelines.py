@@ -93,6 +93,14 @@ def longest_blocks(hot: DataFrame, sites: DataFrame, least_works: int = 3, least
     return longest
 
 
+def repeated_lines(lines: DataFrame, works: DataFrame, least_works: int = 3, least_share: float = 0.1, least_letters: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The lines that span enough works by themselves (line_id, work, pos, site, rank and works), and the sites with their works."""
+    ids = cut_table(line_ids(lines, works, least_letters))
+    sites = cut_table(_sites(lines, works))
+    often = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_works).select("id")
+    return cut_table(_spanning(ids.join(often.hint("shuffle_hash"), "id", "left_semi").withColumnRenamed("id", "rank"), sites, least_works, least_share)), sites
+
+
 def site_lines(lines: DataFrame, works: DataFrame, least_works: int = 3, least_share: float = 0.1, least_letters: int = 20) -> tuple[DataFrame, DataFrame]:
     """The lines (line_id, work, pos) that a site repeats, and the occurrences of maximal blocks (work, pos, site, rank, works, depth).
 
@@ -102,10 +110,7 @@ def site_lines(lines: DataFrame, works: DataFrame, least_works: int = 3, least_s
     without a work and null texts never count; equal rows count once per work. Of several lines with
     one line_index all count, and the one of the least rank stands in blocks.
     """
-    ids = cut_table(line_ids(lines, works, least_letters))
-    sites = cut_table(_sites(lines, works))
-    often = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_works).select("id")
-    hot = cut_table(_spanning(ids.join(often.hint("shuffle_hash"), "id", "left_semi").withColumnRenamed("id", "rank"), sites, least_works, least_share))
+    hot, sites = repeated_lines(lines, works, least_works, least_share, least_letters)
     at_pos = hot.groupBy("work", "pos").agg(F.min(F.struct("rank", "site", "works")).alias("r")).select("work", "pos", "r.*")
     found = longest_blocks(at_pos, sites, least_works, least_share)
     w = Window.partitionBy("work").orderBy("pos")

@@ -130,7 +130,7 @@ def test_maximal_blocks_equal_brute_force(spark):
     want = brute_blocks(sequences, 3)
     assert sorted((names_[r["work"]], r["pos"], r["depth"]) for r in found.collect()) == want and max(n for *_, n in want) >= 5
     cover = {(i, k + j) for i, k, n in want for j in range(n)}
-    assert {where[r[0]] for r in sitelines.covered(hot, found).collect()} == cover
+    assert {where[r[0]] for r in sitelines.covered(hot, found).collect()} == cover == {where[r["line_id"]] for r in sitelines.repeated_lines(lines, works)[0].collect()}
     # The blocks are what tells the lines: without the longer ones their inner lines stay.
     assert {where[r[0]] for r in sitelines.covered(hot, found.where("depth = 1")).collect()} < cover
 
